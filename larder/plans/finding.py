@@ -69,12 +69,12 @@ def _matches(spark: SparkSession, sf_dir: str, text: bool = False, **filters) ->
         _SHOWN_PLACE,
         select=rf"""
 SELECT {_columns()} FROM shown p
-WHERE p.name ILIKE '%tion%' ESCAPE '\' OR p.city ILIKE '%tion%' ESCAPE '\' OR p.district ILIKE '%tion%' ESCAPE '\'
-  OR p.category ILIKE '%tion%' ESCAPE '\'
-  OR EXISTS (SELECT 1 FROM menu_items m WHERE m.restaurant_id = p.id AND m.name ILIKE '%tion%' ESCAPE '\')
-  OR EXISTS (SELECT 1 FROM user_reviews r WHERE r.restaurant_id = p.id AND r.comment ILIKE '%tion%' ESCAPE '\')
-  OR EXISTS (SELECT 1 FROM ext_reviews x WHERE x.restaurant_id = p.id AND x.review_text ILIKE '%tion%' ESCAPE '\')""".replace(
-            "%tion%", "%large%w_dget%"
+WHERE p.name ILIKE '%theron%' ESCAPE '\' OR p.city ILIKE '%theron%' ESCAPE '\' OR p.district ILIKE '%theron%' ESCAPE '\'
+  OR p.category ILIKE '%theron%' ESCAPE '\'
+  OR EXISTS (SELECT 1 FROM menu_items m WHERE m.restaurant_id = p.id AND m.name ILIKE '%theron%' ESCAPE '\')
+  OR EXISTS (SELECT 1 FROM user_reviews r WHERE r.restaurant_id = p.id AND r.comment ILIKE '%theron%' ESCAPE '\')
+  OR EXISTS (SELECT 1 FROM ext_reviews x WHERE x.restaurant_id = p.id AND x.review_text ILIKE '%theron%' ESCAPE '\')""".replace(
+            "%theron%", "%large%w_dget%"
         ),
     ),
 )
@@ -89,14 +89,14 @@ def search_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         _SHOWN_PLACE,
         select=rf"""
 SELECT {_columns()} FROM shown p
-WHERE concat_ws(chr(10), p.name, p.city, p.district, p.category) ILIKE '%tion%' ESCAPE '\'
-  OR p.id IN (SELECT restaurant_id FROM menu_items WHERE name ILIKE '%tion%' ESCAPE '\')
-  OR p.id IN (SELECT restaurant_id FROM user_reviews WHERE comment ILIKE '%tion%' ESCAPE '\')
-  OR p.id IN (SELECT restaurant_id FROM ext_reviews WHERE review_text ILIKE '%tion%' ESCAPE '\')""",
+WHERE concat_ws(chr(10), p.name, p.city, p.district, p.category) ILIKE '%theron%' ESCAPE '\'
+  OR p.id IN (SELECT restaurant_id FROM menu_items WHERE name ILIKE '%theron%' ESCAPE '\')
+  OR p.id IN (SELECT restaurant_id FROM user_reviews WHERE comment ILIKE '%theron%' ESCAPE '\')
+  OR p.id IN (SELECT restaurant_id FROM ext_reviews WHERE review_text ILIKE '%theron%' ESCAPE '\')""",
     ),
 )
 def search_review_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _matches(spark, sf_dir, text=True, search="tion")
+    return _matches(spark, sf_dir, text=True, search="theron")
 
 
 @register(
