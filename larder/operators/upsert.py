@@ -3,7 +3,7 @@
 A review is known by its provider id or else by its fingerprint. Rows act in page order: each one meets the
 state that the rows before it left. Nearly all identities are plain (one fingerprint, or one provider id with
 fingerprints of its own); these are settled with aggregates and joins. The rest, where the result depends on how
-ids and fingerprints alternate, is replayed in order, place by place.
+ids and fingerprints alternate, is replayed in order, one small connected component at a time.
 """
 
 from __future__ import annotations
@@ -162,35 +162,17 @@ _REPLAYED = (
 )
 
 
-def _roots(links: list[tuple]) -> dict:
-    """Connected keys: every key mapped to a representative."""
-    parent: dict = {}
-
-    def find(key):
-        parent.setdefault(key, key)
-        while parent[key] != key:
-            parent[key] = parent[parent[key]]
-            key = parent[key]
-        return key
-
-    for left, right in links:
-        parent[find(left)] = find(right)
-    return {key: find(key) for key in list(parent)}
-
-
 def _replay(rows: pd.DataFrame) -> pd.DataFrame:
-    """Tangled rows of one place in page order, against the states that earlier rows left."""
+    """Tangled rows of one component in page order, against the states that earlier rows left."""
     rows = rows.sort_values(["page_index", "pos"]).reset_index(drop=True)
     objects: dict[str, dict] = {}
     by_pid: dict[str, str] = {}
     by_hash: dict[str, str] = {}
-    links: list[tuple] = []
     for row in rows.itertuples():
         for side, table, key in (("p", by_pid, row.pid), ("h", by_hash, row.review_hash)):
             stored_id = getattr(row, f"{side}_id")
             if stored_id is not None and key:
                 table[key] = stored_id
-                links.append(((side, key), ("s", stored_id)))
                 objects.setdefault(
                     stored_id,
                     {
@@ -205,7 +187,6 @@ def _replay(rows: pd.DataFrame) -> pd.DataFrame:
                 )
     names, statuses = [], []
     for row in rows.itertuples():
-        links.append((("h", row.review_hash), ("p", row.pid) if row.pid else ("h", row.review_hash)))
         name = by_pid.get(row.pid) if row.pid else None
         name = name or by_hash.get(row.review_hash)
         if name is None:
@@ -221,15 +202,13 @@ def _replay(rows: pd.DataFrame) -> pd.DataFrame:
                 by_pid[row.pid] = name
         names.append(name)
         statuses.append(status)
-    roots = _roots(links)
-    # Two rows of the table would share a provider id or a fingerprint: nothing of that identity is applied.
-    broken, owners = set(), {}
+    # Two rows of the table would share a provider id or a fingerprint: nothing of the component is applied.
+    owners: dict[tuple, str] = {}
+    broken = False
     for name, state in objects.items():
         for key in (("h", state["hash"]), ("p", state["pid"])):
-            if key[1] and owners.setdefault(key, name) != name:
-                broken.add(roots.get(key))
+            broken |= bool(key[1]) and owners.setdefault(key, name) != name
     owner = [objects[name] for name in names]
-    rejected = [roots[("h", h)] in broken for h in rows["review_hash"]]
     return pd.DataFrame(
         {
             "restaurant_id": rows["restaurant_id"],
@@ -240,18 +219,52 @@ def _replay(rows: pd.DataFrame) -> pd.DataFrame:
             "stored_id": [state["stored"] for state in owner],
             "stored_digest": [state["first"] for state in owner],
             "stored_created": pd.Series([state["created"] for state in owner], dtype="datetime64[ns]"),
-            "status": ["rejected" if bad else status for bad, status in zip(rejected, statuses)],
-            "reject_reason": ["key_conflict" if bad else None for bad in rejected],
-            "is_last": [
-                not bad and state["last"] == at for at, (bad, state) in enumerate(zip(rejected, owner))
-            ],
+            "status": ["rejected"] * len(rows) if broken else statuses,
+            "reject_reason": ["key_conflict" if broken else None] * len(rows),
+            "is_last": [not broken and state["last"] == at for at, state in enumerate(owner)],
         }
     )
 
 
-def _replay_tangled(rows: DataFrame) -> DataFrame:
-    flat = rows.select(
+def _components(edges: DataFrame) -> DataFrame:
+    """Add ``component`` to tangled pairs: those linked by a fingerprint, a provider id or a stored row share it.
+
+    The smallest name spreads over shared nodes until nothing changes; few rounds, as components are small.
+    """
+
+    def node(kind: str, name: Column) -> Column:
+        return F.when(name.isNotNull() & (name != ""), F.concat(F.lit(kind), name))
+
+    nodes = F.array_compact(
+        F.array(
+            node("h", F.col("review_hash")),
+            node("p", F.col("pid")),
+            node("s", F.col("at_pid.id")),
+            node("s", F.col("at_hash.id")),
+        )
+    )
+    linked = edges.select(*_EDGE, nodes.alias("nodes"))
+    current = cut_lineage(linked.withColumn("component", F.array_min("nodes")))
+    while True:
+        spread = current.select(*_EDGE, "component", F.explode("nodes").alias("node"))
+        smallest = spread.groupBy("restaurant_id", "node").agg(F.min("component").alias("_low"))
+        best = (
+            spread.join(smallest, ["restaurant_id", "node"])
+            .groupBy(*_EDGE)
+            .agg(F.min("_low").alias("_low"))
+        )
+        moved = cut_lineage(current.join(best, _EDGE))
+        current = moved.withColumn("component", F.col("_low")).drop("_low")
+        if moved.filter(F.col("component") != F.col("_low")).isEmpty():
+            return current.select(*_EDGE, "component")
+
+
+def _replay_tangled(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Replay component by component. One component acts in sequence; all of them run side by side."""
+    grouped = rows.join(_components(pairs), _EDGE)
+    flat = grouped.select(
         *SEQUENCE,
+        "component",
         "pid",
         "review_hash",
         "digest",
@@ -267,7 +280,7 @@ def _replay_tangled(rows: DataFrame) -> DataFrame:
             )
         ],
     )
-    return flat.groupBy("restaurant_id").applyInPandas(_none_for_missing, _REPLAYED)
+    return flat.groupBy("restaurant_id", "component").applyInPandas(_none_for_missing, _REPLAYED)
 
 
 def _none_for_missing(rows: pd.DataFrame) -> pd.DataFrame:
@@ -294,7 +307,8 @@ def upsert_reviews(
     rows = cut_lineage(_narrow(incoming, SEQUENCE))
     old = _narrow(stored, ["id", "restaurant_id", "created_at"])
     touched = old.join(rows.select("restaurant_id").distinct(), "restaurant_id", "left_semi")
-    matched = rows.join(_identities(rows, touched), _EDGE)
+    identities = cut_lineage(_identities(rows, touched))
+    matched = rows.join(identities, _EDGE)
     plain = with_previous(
         matched.filter(F.col("label").isNotNull()).select(*SEQUENCE, "digest", "label", "target"),
         ["restaurant_id", "label"],
@@ -320,8 +334,11 @@ def upsert_reviews(
         F.lit(None).cast("string").alias("reject_reason"),
         "is_last",
     )
-    replayed = _replay_tangled(matched.filter(F.col("label").isNull()))
-    judged = settled.unionByName(replayed)
+    tangled = identities.filter(F.col("label").isNull())
+    judged = settled
+    if not tangled.isEmpty():
+        replayed = _replay_tangled(matched.filter(F.col("label").isNull()), tangled)
+        judged = settled.unionByName(replayed)
     changed = judged.filter(
         F.col("is_last") & (F.col("stored_id").isNull() | (F.col("stored_digest") != F.col("digest")))
     )
