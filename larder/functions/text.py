@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # All Unicode white space, not only the blank that ``trim`` removes.
 _SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
@@ -34,18 +34,37 @@ def _bytes_as_utf8(latin1: Column) -> Column:
     return F.try_validate_utf8(F.encode(latin1, "ISO-8859-1").cast("string"))
 
 
+def _read_latin1_as_utf8(text: Column) -> Column:
+    one_byte = F.when(~text.rlike(r"[^\x{00}-\x{ff}]"), text)
+    return F.coalesce(_bytes_as_utf8(one_byte), text)
+
+
+def _read_cp1252_as_utf8(text: Column) -> Column:
+    fits = ~text.rlike(rf"[\x{{80}}-\x{{9f}}]|[^\x{{00}}-\x{{ff}}{_CP1252_CHARS}]")
+    as_bytes = F.translate(F.when(fits, text), _CP1252_CHARS, _CP1252_BYTES)
+    return F.coalesce(_bytes_as_utf8(as_bytes), text)
+
+
+def _only_beyond_ascii(text: Column, step: Column) -> Column:
+    return F.when(text.rlike(r"[^\x{00}-\x{7f}]"), step).otherwise(text)
+
+
 def repair_text(text: Column) -> Column:
     """Undo UTF-8 that was read as Latin-1 or as code page 1252.
 
     Each step applies only where every character fits the code page and the bytes are valid UTF-8;
     plain ASCII is passed through at the price of one scan.
     """
-    one_byte = F.when(~text.rlike(r"[^\x{00}-\x{ff}]"), text)
-    first = F.coalesce(_bytes_as_utf8(one_byte), text)
-    fits = ~first.rlike(rf"[\x{{80}}-\x{{9f}}]|[^\x{{00}}-\x{{ff}}{_CP1252_CHARS}]")
-    as_bytes = F.translate(F.when(fits, first), _CP1252_CHARS, _CP1252_BYTES)
-    second = F.coalesce(_bytes_as_utf8(as_bytes), first)
-    return F.when(text.rlike(r"[^\x{00}-\x{7f}]"), second).otherwise(text)
+    return _only_beyond_ascii(text, _read_cp1252_as_utf8(_read_latin1_as_utf8(text)))
+
+
+def repair_columns(df: DataFrame, names: list[str]) -> DataFrame:
+    """``repair_text`` for many columns, one projection per step, so that no input is worked out twice."""
+    for step in (_read_latin1_as_utf8, _read_cp1252_as_utf8):
+        df = df.withColumns(
+            {name: _only_beyond_ascii(F.col(name), step(F.col(name))) for name in names}
+        )
+    return df
 
 
 def repair_map(values: Column) -> Column:

@@ -87,7 +87,7 @@ def import_area(
     found = page_items(fetched.drop("source_failed"), PLACE_LISTS)
     marked = cut_lineage(found.withColumn("_kept", keep(F.col("item"))))
     kept = marked.filter("_kept").drop("_kept")
-    cleaned = cut_lineage(clean_items(kept, city))
+    cleaned = clean_items(kept, city)
     places = import_places(cleaned, stored_places, as_of)
     outcomes = cut_lineage(places.outcomes)
     new_places = cut_lineage(places.new_places)

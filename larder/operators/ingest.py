@@ -9,8 +9,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 from larder import model
 from larder.functions import payload as P
 from larder.functions.ids import stable_id
-from larder.functions.text import clean_text, clip, district_from_address, repair_map, repair_text
+from larder.functions.text import (
+    clean_text,
+    clip,
+    district_from_address,
+    nonblank,
+    repair_columns,
+    repair_map,
+)
 from larder.operators.ordering import first_wins, flag
+from larder.session import cut_lineage
 
 SEQUENCE = ["source_rank", "page_index", "pos"]
 IDENTITY = ["name", "latitude", "longitude"]
@@ -43,60 +51,75 @@ _MEMBERS = [
     "user_review",
 ]
 
+_TEXTS = [
+    "name",
+    "phone",
+    "website",
+    "description",
+    "opening_hours",
+    "category",
+    "price_level",
+    "google_place_id",
+    "serpapi_data_id",
+    "thumbnail",
+    "reviews_link",
+    "photos_link",
+    "user_review",
+]
+
 # Longest cleaned text per column where the table itself sets no limit.
 _LONG_TEXT = {"opening_hours": 4000, "user_review": 4000}
 
 
 def place_payload(items: DataFrame) -> DataFrame:
-    """Typed provider fields beside the sequence columns; a first choice that is empty falls through."""
-    rows = items.withColumn("f", P.read_fields(F.col("item"), _MEMBERS))
-    field = F.col("f")
-
-    def text(value: Column) -> Column:
-        return repair_text(P.text_of(value))
-
-    def either(first: str, second: str) -> Column:
-        return P.truthy_or(field[first], field[second])
-
-    def coordinate(name: str) -> Column:
-        return P.to_double(P.truthy_or(P.member(field["gps_coordinates"], name), field[name]))
-
-    return rows.select(
-        *[name for name in items.columns if name != "item"],
-        text(either("title", "name")).alias("name"),
-        P.only_text(field["address"]).alias("address"),
-        coordinate("latitude").alias("latitude"),
-        coordinate("longitude").alias("longitude"),
-        P.to_double(field["rating"]).alias("rating"),
-        P.to_int(either("reviews", "review_count")).alias("review_count"),
-        text(field["phone"]).alias("phone"),
-        text(field["website"]).alias("website"),
-        text(field["description"]).alias("description"),
-        text(field["hours"]).alias("opening_hours"),
-        repair_map(P.to_text_map(field["operating_hours"])).alias("operating_hours"),
-        text(either("type", "category")).alias("category"),
-        text(field["price"]).alias("price_level"),
-        text(either("place_id", "google_maps_place_id")).alias("google_place_id"),
-        text(either("data_id", "serpapi_data_id")).alias("serpapi_data_id"),
-        text(field["thumbnail"]).alias("thumbnail"),
-        text(field["reviews_link"]).alias("reviews_link"),
-        text(field["photos_link"]).alias("photos_link"),
-        text(field["user_review"]).alias("user_review"),
+    """Typed provider fields beside the sequence columns; a first choice that is empty falls through.
+
+    The item is parsed once. Each step is a projection of its own, because a choice is read several times.
+    """
+    kept = [name for name in items.columns if name != "item"]
+    fields = items.select(*kept, P.read_fields(F.col("item"), _MEMBERS).alias("f")).select(*kept, "f.*")
+    gps = F.col("gps_coordinates")
+    chosen = fields.withColumns(
+        {
+            "name": P.truthy_or(F.col("title"), F.col("name")),
+            "latitude": P.truthy_or(P.member(gps, "latitude"), F.col("latitude")),
+            "longitude": P.truthy_or(P.member(gps, "longitude"), F.col("longitude")),
+            "review_count": P.truthy_or(F.col("reviews"), F.col("review_count")),
+            "category": P.truthy_or(F.col("type"), F.col("category")),
+            "google_place_id": P.truthy_or(F.col("place_id"), F.col("google_maps_place_id")),
+            "serpapi_data_id": P.truthy_or(F.col("data_id"), F.col("serpapi_data_id")),
+            "opening_hours": F.col("hours"),
+            "price_level": F.col("price"),
+        }
+    )
+    typed = chosen.select(
+        *kept,
+        P.only_text(F.col("address")).alias("address"),
+        *[P.to_double(F.col(name)).alias(name) for name in ("latitude", "longitude", "rating")],
+        P.to_int(F.col("review_count")).alias("review_count"),
+        repair_map(P.to_text_map(F.col("operating_hours"))).alias("operating_hours"),
+        *[P.text_of(F.col(name)).alias(name) for name in _TEXTS],
     )
+    return repair_columns(typed, [*_TEXTS, "address"])
 
 
 def clean_items(items: DataFrame, city: str) -> DataFrame:
-    """Cleaned columns and ``reject_reason`` per item. Keep the result where several steps read it."""
+    """Cleaned columns and ``reject_reason`` per item, cut from their lineage.
+
+    Several steps read the result, and the filters of these steps must not be pushed through the cleaning,
+    where Catalyst would write the whole cleaning out once per filter.
+    """
     limits = {**model.MAX_LENGTH["places"], **_LONG_TEXT}
-    raw = place_payload(items)
-    texts = [name for name in raw.columns if name in limits]
     town = F.coalesce(clean_text(F.lit(city), 100), clip(F.lit(city), 100))
-    cleaned = raw.withColumns({name: clean_text(F.col(name), limits[name]) for name in texts})
+    # Texts are repaired once as provider values and once more as cleaned values: damage may be twofold.
+    again = repair_columns(place_payload(items), _TEXTS)
+    cleaned = again.withColumns({name: clip(nonblank(F.col(name)), limits[name]) for name in _TEXTS})
     located = cleaned.withColumns(
         {"city": town, "district": district_from_address(F.col("address"), F.lit(city))}
     )
     missing = F.col("name").isNull() | F.col("latitude").isNull() | F.col("longitude").isNull()
-    return located.drop("address").withColumn("reject_reason", F.when(missing, F.lit("missing_field")))
+    judged = located.drop("address").withColumn("reject_reason", F.when(missing, F.lit("missing_field")))
+    return cut_lineage(judged)
 
 
 @dataclass(frozen=True)

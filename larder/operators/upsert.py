@@ -79,7 +79,9 @@ def _stored_by(stored: DataFrame, key: str, prefix: str) -> DataFrame:
 def _identities(rows: DataFrame, stored: DataFrame) -> DataFrame:
     """Per distinct (place, provider id, fingerprint): ``label`` of its identity and the stored row, or ``tangled``.
 
-    Works on distinct pairs, so any number of copies of one review weighs as much as one.
+    Works on distinct pairs, so any number of copies of one review weighs as much as one. Aggregates and not
+    windows, as one fingerprint may come with very many provider ids. Every step is read by the next one twice,
+    hence the cuts; the rows are narrow.
     """
     pairs = rows.select(*_EDGE).distinct()
     pid = F.nullif(F.col("pid"), F.lit(""))
@@ -89,7 +91,7 @@ def _identities(rows: DataFrame, stored: DataFrame) -> DataFrame:
         F.bool_or(pid.isNull()).alias("h_bare"),
     )
     by_hash = by_hash.join(_stored_by(stored, "review_hash", "at_hash"), ["restaurant_id", "review_hash"], "left")
-    seen = pairs.join(by_hash, ["restaurant_id", "review_hash"])
+    seen = cut_lineage(pairs.join(by_hash, ["restaurant_id", "review_hash"]))
     several_pids = F.coalesce(F.col("h_low") != F.col("h_high"), F.lit(False))
     by_pid = (
         seen.filter(F.col("pid") != "")
@@ -102,7 +104,7 @@ def _identities(rows: DataFrame, stored: DataFrame) -> DataFrame:
         )
         .join(_stored_by(stored, "pid", "at_pid"), ["restaurant_id", "pid"], "left")
     )
-    both = seen.join(by_pid, ["restaurant_id", "pid"], "left")
+    both = cut_lineage(seen.join(by_pid, ["restaurant_id", "pid"], "left"))
     # What the provider id of a fingerprint knows, for the rows that carry no provider id themselves.
     around = both.groupBy("restaurant_id", "review_hash").agg(
         F.bool_or(F.coalesce("p_spread", F.lit(False))).alias("n_spread"),
@@ -123,12 +125,14 @@ def _identities(rows: DataFrame, stored: DataFrame) -> DataFrame:
     label = F.when(one_hash, F.concat(F.lit("h"), "review_hash")).when(
         F.coalesce(one_pid, F.lit(False)), F.concat(F.lit("p"), "pid")
     )
-    labelled = known.select(
-        *_EDGE,
-        label.alias("label"),
-        F.coalesce("n_pid", "at_hash").alias("target"),
-        "at_pid",
-        "at_hash",
+    labelled = cut_lineage(
+        known.select(
+            *_EDGE,
+            label.alias("label"),
+            F.coalesce("n_pid", "at_hash").alias("target"),
+            "at_pid",
+            "at_hash",
+        )
     )
     # A stored row that two identities lay claim to ties them together.
     claims = labelled.select(
@@ -306,7 +310,9 @@ def upsert_reviews(
     """
     rows = cut_lineage(_narrow(incoming, SEQUENCE))
     old = _narrow(stored, ["id", "restaurant_id", "created_at"])
-    touched = old.join(rows.select("restaurant_id").distinct(), "restaurant_id", "left_semi")
+    touched = cut_lineage(
+        old.join(rows.select("restaurant_id").distinct(), "restaurant_id", "left_semi")
+    )
     identities = cut_lineage(_identities(rows, touched))
     matched = rows.join(identities, _EDGE)
     plain = with_previous(

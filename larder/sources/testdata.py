@@ -190,3 +190,107 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
         created.alias("updated_at"),
     )
     return model.conform(rows, model.USERS)
+
+
+# --- provider payloads built from the tables ---------------------------------------------------------------------
+
+
+def misread(text: Column) -> Column:
+    """UTF-8 bytes read as Latin-1: the damage that provider texts arrive with."""
+    return F.decode(text.cast("binary"), "ISO-8859-1")
+
+
+def place_item() -> Column:
+    """JSON of one provider place for a located customer."""
+    key = F.col("c_custkey")
+    name = F.concat("c_name", F.lit(" Café"))
+    title = F.when(key % 11 == 0, F.lit("")).when(key % 2 == 0, misread(name))
+    other = F.when(key % 11 == 0, F.lit("  ")).otherwise(name)
+    return F.to_json(
+        F.struct(
+            title.alias("title"),
+            other.alias("name"),
+            F.concat(
+                F.lit("Street "), _text(key), F.lit(", "), "r_name", F.lit("/"), "n_name"
+            ).alias("address"),
+            F.struct(
+                (key % 90).alias("latitude"), ((key % 180) + F.lit(0.5)).alias("longitude")
+            ).alias("gps_coordinates"),
+            F.when(key % 180 == 0, F.lit(45.5)).alias("latitude"),
+            (F.col("c_acctbal") / 1000).alias("rating"),
+            F.concat(_text(key), F.lit("")).alias("reviews"),
+            F.col("c_mktsegment").alias("type"),
+            F.when(key % 2 == 0, F.concat(F.lit("0x"), _text(key))).alias("data_id"),
+            F.when(key % 3 == 0, F.concat(F.lit("place"), _text(key))).alias("place_id"),
+            F.create_map(F.lit("monday"), F.lit("9-5"), F.lit("tuesday"), misread(F.lit("9–5"))).alias(
+                "operating_hours"
+            ),
+        )
+    )
+
+
+def _page(rows: DataFrame, keys: list[str], list_name: Column, rest: Column) -> DataFrame:
+    """Items (``at``, ``item``) of a page as one JSON text; a page holds a fixed share of the key range."""
+    items = F.transform(F.array_sort(F.collect_list(F.struct("at", "item"))), lambda row: row["item"])
+    pages = rows.groupBy(*keys).agg(F.array_join(items, ",").alias("items"))
+    body = F.concat(
+        F.lit('{"'), list_name, F.lit('":["not an object",'), "items", F.lit("]"), rest, F.lit("}")
+    )
+    return pages.select(*keys, body.alias("body"))
+
+
+def place_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search pages, one search per region, and one more search that finds every seventh place again."""
+    rows = _located_customers(spark, sf_dir).select(
+        F.concat(F.lit("places in "), "r_name").alias("source_query"),
+        F.col("r_regionkey").alias("source_rank"),
+        F.floor(F.col("c_custkey") / 100).cast("int").alias("page_index"),
+        F.col("c_custkey").alias("at"),
+        place_item().alias("item"),
+    )
+    again = rows.filter(F.col("at") % 7 == 0).withColumns(
+        {"source_query": F.lit("places again"), "source_rank": F.lit(99)}
+    )
+    odd = F.col("page_index") % 3 == 1
+    return _page(
+        rows.unionByName(again),
+        ["source_query", "source_rank", "page_index"],
+        F.when(odd, F.lit('local_results":{"none":1},"places')).otherwise(F.lit("local_results")),
+        F.lit(',"serpapi_pagination":{"next_page_token":"more"}'),
+    )
+
+
+def review_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Provider review JSON per event: restaurant_id, event_id, item."""
+    reviews = ext_reviews(spark, sf_dir)
+    return reviews.select(
+        "restaurant_id", F.col("id").cast("long").alias("event_id"), F.col("raw_json").alias("item")
+    )
+
+
+def review_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Review pages per place; the token is nested, flat, blank or missing."""
+    rows = review_items(spark, sf_dir).select(
+        "restaurant_id",
+        F.floor(F.col("event_id") / 1000).cast("int").alias("page_index"),
+        F.col("event_id").alias("at"),
+        "item",
+    )
+    turn = (F.col("restaurant_id").cast("long") + F.col("page_index")) % 9
+    token = (
+        F.when(turn == 8, F.lit(',"next_page_token":"  "'))
+        .when(turn == 7, F.lit(""))
+        .when(turn % 2 == 1, F.lit(',"next_page_token":"more"'))
+        .otherwise(F.lit(',"serpapi_pagination":{"next_page_token":" more "}'))
+    )
+    return _page(rows, ["restaurant_id", "page_index"], F.lit("reviews"), token)
+
+
+def landed_review_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Review pages keyed by what the provider was asked for."""
+    key = F.col("restaurant_id").cast("long")
+    target = F.when(key % 2 == 0, F.concat(F.lit("0x"), "restaurant_id")).when(
+        key % 3 == 0, F.concat(F.lit("place"), "restaurant_id")
+    )
+    pages = review_pages(spark, sf_dir).withColumn("target_id", target)
+    return pages.filter(F.col("target_id").isNotNull()).drop("restaurant_id")
