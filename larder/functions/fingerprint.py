@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from larder.functions import payload as P
-from larder.functions.text import first_nonblank, nonblank, strip
+from larder.functions.text import nonblank, strip
 
-FIELDS = [
+_TYPED = [
+    "author_name",
+    "rating",
+    "review_text",
+    "review_date",
+    "profile_photo",
+    "likes",
+    "provider_review_id",
+    "language",
+    "review_hash",
+    "raw_json",
+]
+
+_MEMBERS = [
     "user",
     "review_id",
     "rating",
@@ -22,13 +35,6 @@ FIELDS = [
 ]
 
 
-def review_text(fields: Column) -> Column:
-    """First text that is not blank, from the flat fields and then the nested snippet."""
-    nested = P.member(fields["extracted_snippet"], "original")
-    candidates = [fields["review_text"], fields["text"], fields["snippet"], nested]
-    return first_nonblank(*[P.only_text(candidate) for candidate in candidates])
-
-
 def join_components(author: Column, rating: Column, text: Column, date: Column) -> Column:
     """SHA-256 over the four parts, each stripped and lower-cased; a missing part counts as empty."""
 
@@ -39,28 +45,63 @@ def join_components(author: Column, rating: Column, text: Column, date: Column)
     return F.sha2(joined, 256)
 
 
-def review_fingerprint(fields: Column, rating_text: Column) -> Column:
-    """``rating_text`` is the rating as it is spelled in the JSON: 5 and 5.0 differ."""
-    author = P.text_of(P.member(fields["user"], "name"))
-    date = P.text_of(P.truthy_or(fields["iso_date"], fields["date"]))
-    return join_components(author, rating_text, review_text(fields), date)
-
+def typed_fields(items: DataFrame, keep: list[str], default_language: str | None) -> DataFrame:
+    """``keep`` and the typed columns of the review JSON in ``item``; the raw record stays as ``raw_json``.
 
-def review_columns(raw_json: Column, fields: Column, default_language: str | None) -> dict[str, Column]:
-    """The typed columns of an external review; the raw record stays beside them."""
-    spelled = P.read_fields(raw_json, ["rating"], "string")["rating"]
-    review_id = P.only_text(fields["review_id"])
-    language = nonblank(P.only_text(fields["language"]))
-    fallback = nonblank(F.lit(default_language).cast("string"))
-    return {
-        "author_name": nonblank(P.only_text(P.member(fields["user"], "name"))),
-        "rating": P.to_rating(fields["rating"]),
-        "review_text": review_text(fields),
-        "review_date": nonblank(P.only_text(fields["iso_date"])),
-        "profile_photo": nonblank(P.only_text(P.member(fields["user"], "thumbnail"))),
-        "likes": P.to_int(fields["likes"]),
-        "provider_review_id": F.when(nonblank(review_id).isNotNull(), review_id),
-        "language": F.coalesce(language, fallback),
-        "review_hash": review_fingerprint(fields, spelled),
-        "raw_json": raw_json,
+    One parse for the typed values and one for the rating as it is spelled (5 and 5.0 give different
+    fingerprints). Each step is a projection of its own: a value is worked out once and the generated code
+    stays small.
+    """
+    item = F.col("item")
+    parsed = items.select(
+        *keep,
+        item.alias("raw_json"),
+        P.read_fields(item, _MEMBERS).alias("f"),
+        P.read_fields(item, ["rating"], "string")["rating"].alias("rating_spelled"),
+    ).select(*keep, "raw_json", "rating_spelled", "f.*")
+    user, snippet = F.col("user"), F.col("extracted_snippet")
+    members = parsed.withColumns(
+        {
+            "user_name": P.member(user, "name"),
+            "user_photo": P.member(user, "thumbnail"),
+            "nested_text": P.member(snippet, "original"),
+            "any_date": P.truthy_or(F.col("iso_date"), F.col("date")),
+        }
+    )
+    texts = {
+        "author_name": "user_name",
+        "profile_photo": "user_photo",
+        "text1": "review_text",
+        "text2": "text",
+        "text3": "snippet",
+        "text4": "nested_text",
+        "review_date": "iso_date",
+        "provider_review_id": "review_id",
+        "language": "language",
     }
+    plain = members.select(
+        *keep,
+        "raw_json",
+        "rating_spelled",
+        *[P.only_text(F.col(source)).alias(name) for name, source in texts.items()],
+        P.text_of(F.col("user_name")).alias("any_author"),
+        P.text_of(F.col("any_date")).alias("any_date"),
+        P.to_rating(F.col("rating")).alias("rating"),
+        P.to_int(F.col("likes")).alias("likes"),
+    )
+    candidates = ["text1", "text2", "text3", "text4"]
+    stripped = ["author_name", "profile_photo", "review_date", "language", *candidates]
+    cleaned = plain.withColumns({name: nonblank(F.col(name)) for name in stripped})
+    review_id = F.col("provider_review_id")
+    language = F.coalesce("language", nonblank(F.lit(default_language).cast("string")))
+    filled = cleaned.withColumns(
+        {
+            "review_text": F.coalesce(*candidates),
+            "language": language,
+            "provider_review_id": F.when(strip(review_id) != "", review_id),
+        }
+    )
+    fingerprint = join_components(
+        F.col("any_author"), F.col("rating_spelled"), F.col("review_text"), F.col("any_date")
+    )
+    return filled.withColumn("review_hash", fingerprint).select(*keep, *_TYPED)

@@ -18,7 +18,10 @@ _CP1252_BYTES = "".join(byte for _, byte in _CP1252)
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^{_SPACE}+|{_SPACE}+\z", "")
+    """Text without white space at its ends; the pattern runs only where an end has some."""
+    ends = F.concat(F.left(text, F.lit(1)), F.right(text, F.lit(1)))
+    stripped = F.regexp_replace(text, rf"^{_SPACE}++|{_SPACE}++\z", "")
+    return F.when(ends.rlike(_SPACE), stripped).otherwise(text)
 
 
 def nonblank(text: Column) -> Column:
@@ -40,9 +43,11 @@ def _read_latin1_as_utf8(text: Column) -> Column:
 
 
 def _read_cp1252_as_utf8(text: Column) -> Column:
-    fits = ~text.rlike(rf"[\x{{80}}-\x{{9f}}]|[^\x{{00}}-\x{{ff}}{_CP1252_CHARS}]")
-    as_bytes = F.translate(F.when(fits, text), _CP1252_CHARS, _CP1252_BYTES)
-    return F.coalesce(_bytes_as_utf8(as_bytes), text)
+    # Characters that the code page lacks stay beyond 0xFF after the translation.
+    wide = text.rlike(r"[^\x{00}-\x{ff}]")
+    as_latin1 = F.when(wide, F.translate(text, _CP1252_CHARS, _CP1252_BYTES)).otherwise(text)
+    fits = ~text.rlike(r"[\x{80}-\x{9f}]") & ~as_latin1.rlike(r"[^\x{00}-\x{ff}]")
+    return F.coalesce(_bytes_as_utf8(F.when(fits, as_latin1)), text)
 
 
 def _only_beyond_ascii(text: Column, step: Column) -> Column:
@@ -77,10 +82,6 @@ def clean_text(text: Column, length: int) -> Column:
     return clip(nonblank(repair_text(text)), length)
 
 
-def first_nonblank(*texts: Column) -> Column:
-    return F.coalesce(*[nonblank(text) for text in texts])
-
-
 def clean_email(email: Column) -> Column:
     return F.lower(email)
 
@@ -106,26 +107,35 @@ def search_pattern(term: str | None) -> str | None:
     return "".join(out)
 
 
-def district_from_address(address: Column, city: Column) -> Column:
-    """District named in an address, ``Unknown`` where none is.
+def town_key(city: Column) -> Column:
+    return F.lower(strip(repair_text(city)))
+
+
+def district_in(address: Column, town: Column) -> Column:
+    """District named in an address that is repaired and stripped, ``Unknown`` where none is.
 
     ``.../District/City`` gives the part before the city. Otherwise the comma part before the first one
-    that mentions the city counts.
+    that mentions the city counts. ``town`` comes from ``town_key``.
     """
-    town = F.lower(strip(repair_text(city)))
-    raw = strip(repair_text(address))
 
     def parts(separator: str) -> Column:
         return F.filter(
-            F.transform(F.split(raw, separator), strip), lambda part: part != F.lit("")
+            F.transform(F.split(address, separator), strip), lambda part: part != F.lit("")
         )
 
     by_slash, by_comma = parts("/"), parts(",")
-    ends_in_town = (F.size(by_slash) >= 2) & (F.lower(F.try_element_at(by_slash, F.lit(-1))) == town)
+    ends_in_town = F.lower(F.try_element_at(by_slash, F.lit(-1))) == town
+    before_town = F.when(ends_in_town, F.try_element_at(by_slash, F.lit(-2)))
     first_hit = F.array_position(
         F.transform(by_comma, lambda part: F.contains(F.lower(part), town)), F.lit(True)
     )
-    found = F.when(
-        F.contains(raw, F.lit("/")) & ends_in_town, F.try_element_at(by_slash, F.lit(-2))
-    ).when(first_hit > 1, F.try_element_at(by_comma, (first_hit - 1).cast("int")))
+    # Position 0 means no hit, position 1 has nothing before it; both become NULL.
+    at = F.nullif(F.greatest(first_hit - 1, F.lit(0)), F.lit(0)).cast("int")
+    found = F.coalesce(
+        F.when(F.contains(address, F.lit("/")), before_town), F.try_element_at(by_comma, at)
+    )
     return F.coalesce(clip(found, 100), F.lit("Unknown"))
+
+
+def district_from_address(address: Column, city: Column) -> Column:
+    return district_in(strip(repair_text(address)), town_key(city))

@@ -12,10 +12,12 @@ from larder.functions.ids import stable_id
 from larder.functions.text import (
     clean_text,
     clip,
-    district_from_address,
+    district_in,
     nonblank,
     repair_columns,
     repair_map,
+    strip,
+    town_key,
 )
 from larder.operators.ordering import first_wins, flag
 from larder.session import cut_lineage
@@ -112,10 +114,13 @@ def clean_items(items: DataFrame, city: str) -> DataFrame:
     limits = {**model.MAX_LENGTH["places"], **_LONG_TEXT}
     town = F.coalesce(clean_text(F.lit(city), 100), clip(F.lit(city), 100))
     # Texts are repaired once as provider values and once more as cleaned values: damage may be twofold.
-    again = repair_columns(place_payload(items), _TEXTS)
-    cleaned = again.withColumns({name: clip(nonblank(F.col(name)), limits[name]) for name in _TEXTS})
+    again = repair_columns(place_payload(items), [*_TEXTS, "address"])
+    cleaned = again.withColumns(
+        {name: clip(nonblank(F.col(name)), limits[name]) for name in _TEXTS}
+        | {"address": strip(F.col("address"))}
+    )
     located = cleaned.withColumns(
-        {"city": town, "district": district_from_address(F.col("address"), F.lit(city))}
+        {"city": town, "district": district_in(F.col("address"), town_key(F.lit(city)))}
     )
     missing = F.col("name").isNull() | F.col("latitude").isNull() | F.col("longitude").isNull()
     judged = located.drop("address").withColumn("reject_reason", F.when(missing, F.lit("missing_field")))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from larder import model
 from larder.functions import payload as P
-from larder.functions.fingerprint import FIELDS, review_columns
+from larder.functions.fingerprint import typed_fields
 from larder.functions.ids import stable_id
 from larder.functions.text import nonblank
 from larder.operators.contacts import sync_targets
@@ -44,9 +44,7 @@ _EDGE = ["restaurant_id", "pid", "review_hash"]
 
 def typed_reviews(items: DataFrame, default_language: str | None = None) -> DataFrame:
     """Provider review JSON to the columns of an external review, beside the sequence columns."""
-    rows = items.withColumn("f", P.read_fields(F.col("item"), FIELDS))
-    columns = review_columns(F.col("item"), F.col("f"), default_language)
-    return rows.select(*SEQUENCE, *[column.alias(name) for name, column in columns.items()])
+    return typed_fields(items, SEQUENCE, default_language)
 
 
 def state_digest() -> Column:

@@ -126,7 +126,8 @@ def payload_area_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("repair_roundtrip", "SELECT doc_id, text AS repaired, text AS untouched FROM documents")
 def repair_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Damaged texts come back whole, undamaged ones stay as they are."""
-    return D.read(spark, sf_dir, "documents").select(
+    documents = D.read(spark, sf_dir, "documents").select("doc_id", "text")
+    return D.spread(documents, "doc_id").select(
         "doc_id",
         repair_text(D.misread(F.col("text"))).alias("repaired"),
         repair_text(F.col("text")).alias("untouched"),

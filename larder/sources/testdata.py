@@ -19,6 +19,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition a small input that would otherwise be worked on by fewer tasks than there are cores.
+
+    An input with enough partitions of its own (any large one) is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def _text(column: str | Column) -> Column:
     return (F.col(column) if isinstance(column, str) else column).cast("string")
 
@@ -124,6 +133,7 @@ def ext_reviews(spark: SparkSession, sf_dir: str, text: bool = True) -> DataFram
     """External reviews; ``text=False`` leaves the texts (and the join that brings them) out."""
     events = read(spark, sf_dir, "events")
     if text:
+        events = spread(events, "event_id")
         documents = read(spark, sf_dir, "documents").select("doc_id", "text")
         events = events.join(documents, F.col("event_id") == F.col("doc_id"), "left")
     else:
