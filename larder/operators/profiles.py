@@ -32,11 +32,11 @@ def _split(rows: DataFrame, number, part_rows: int) -> DataFrame:
     if hot is None:
         return rows.withColumn("part", F.lit(0).cast("long"))
     marked = mark_hot(rows, ["restaurant_id"], hot)
-    small = marked.filter(~F.col("_hot")).withColumn("part", F.lit(0).cast("long"))
-    sliced = number(marked.filter("_hot")).withColumn(
+    small = marked.filter(~F.col("_hot")).drop("_hot").withColumn("part", F.lit(0).cast("long"))
+    sliced = number(marked.filter("_hot").drop("_hot")).withColumn(
         "part", F.floor((F.col("position") - 1) / part_rows)
     )
-    return small.unionByName(sliced.drop("position")).drop("_hot")
+    return small.unionByName(sliced.drop("position"))
 
 
 def _gather(rows: DataFrame, order: list[Column], fields: list[str], name: str) -> DataFrame:
