@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -48,15 +49,23 @@ class AreaImport:
 
 
 def ordinals(items: DataFrame) -> DataFrame:
-    """Add ``ordinal`` and ``total``: the place of an item in the whole run, numbered in parallel."""
+    """Add ``ordinal`` and ``total``: the place of an item in the whole run, numbered in parallel.
+
+    ``items`` is counted at once; hand in rows that are cut from their lineage.
+    """
     levels = [
         ("source", F.col("source_rank")),
         ("page", F.col("page_index")),
         ("pos", F.floor(F.col("pos") / 1000)),
     ]
     numbered = with_position(items, [], levels, [F.col(name) for name in SEQUENCE], "ordinal")
-    total = items.agg(F.count(F.lit(1)).alias("total"))
-    return numbered.crossJoin(F.broadcast(total))
+    return numbered.withColumn("total", F.lit(items.count()).cast("long"))
+
+
+def _side_by_side(parts: list[DataFrame]) -> DataFrame:
+    """Frames of one row each as one row: put under each other, then the only value of each column."""
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return stacked.agg(*[F.max(name).alias(name) for name in stacked.columns])
 
 
 def search_items(pages: DataFrame, max_pages: int) -> DataFrame:
@@ -100,10 +109,7 @@ def import_area(
     counted = marked.agg(
         F.count(F.lit(1)).alias("discovered"), F.count_if(~F.col("_kept")).alias("invalid")
     )
-    # Each part is an aggregate without keys, that is exactly one row.
-    one_row = counted
-    for part in (import_counts(outcomes), totals, searches, failed):
-        one_row = one_row.crossJoin(part)
+    one_row = _side_by_side([counted, import_counts(outcomes), totals, searches, failed])
     summary = one_row.withColumn("with_review_sync", F.col("imported") - F.col("_failed")).drop("_failed")
     listed = outcomes.join(ordinals(outcomes.select(*SEQUENCE)), SEQUENCE)
     return AreaImport(listed, new_places, reviews, summary)

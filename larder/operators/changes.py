@@ -304,7 +304,10 @@ class Cascade:
 
 
 def delete_places(requests: DataFrame, users: DataFrame, tables: dict[str, DataFrame]) -> Cascade:
-    """``requests``: seq, actor_id, id. Administrators only; takes dishes, reviews and favorites along."""
+    """``requests``: seq, actor_id, id. Administrators only; takes dishes, reviews and favorites along.
+
+    The verdicts are cut from their lineage, since every table of the cascade reads them.
+    """
     known = _exists(_with_actor(requests, users), tables["places"], "id", "_found")
     judged = known.withColumns(
         {
@@ -314,7 +317,7 @@ def delete_places(requests: DataFrame, users: DataFrame, tables: dict[str, DataF
             "_asks_row": F.lit(False),
         }
     )
-    final = _delete_once(judged)
+    final = cut_lineage(_delete_once(judged))
     gone = final.filter(F.col("reject_reason").isNull()).select("id")
     after, counts = {}, []
     for name, table in tables.items():

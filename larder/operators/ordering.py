@@ -87,7 +87,7 @@ def with_position(
             )
         rows = mark_hot(df, keys, hot)
     else:
-        if df.limit(hot_rows + 1).count() <= hot_rows:
+        if df.count() <= hot_rows:
             return df.withColumn(
                 name, F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)).cast("long")
             )

@@ -402,9 +402,10 @@ def sync_reviews(
     max_pages: int = 10,
     default_language: str | None = None,
 ) -> Synced:
-    """Review sync of all given places at once; filter ``places`` to sync a selection.
+    """Review sync of all given places at once.
 
-    A place with an unreadable page among its fetched ones is left alone as a whole.
+    A place with an unreadable page among its fetched ones is left alone as a whole. To sync a selection, hand
+    in ``tables.by_ids(places, ids)``.
     """
     fetched = fetched_pages(pages_of_places(places, landed), "restaurant_id", max_pages)
     good = fetched.filter(~F.col("source_failed")).drop("source_failed")

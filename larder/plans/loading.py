@@ -7,11 +7,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from larder import model
 from larder.functions import payload as P
 from larder.functions.dates import parse_iso
-from larder.functions.text import district_from_address, repair_text
+from larder.functions.text import district_in, repair_text, strip, town_key
 from larder.operators import area_import as A, ingest as I, upsert as U
 from larder.plans.oracle import over_domain
 from larder.plans.registry import register
 from larder.sources import pages as S, testdata as D
+from larder.sources.tables import by_ids
 
 ALL_PAGES = 2**31 - 1
 
@@ -151,8 +152,11 @@ def districts(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(key % 5 == 2, F.concat("n_name", F.lit(", "), "r_name"))
         .when(key % 5 == 3, F.concat(street, F.lit(", "), "r_name"))
     )
-    located = D._located_customers(spark, sf_dir)
-    return located.select(key.alias("k"), district_from_address(address, F.col("n_name")).alias("district"))
+    located = D.located_customers(spark, sf_dir)
+    cleaned = located.select(
+        key.alias("k"), strip(repair_text(address)).alias("address"), town_key(F.col("n_name")).alias("town")
+    )
+    return cleaned.select("k", district_in(F.col("address"), F.col("town")).alias("district"))
 
 
 @register(
@@ -562,3 +566,32 @@ def review_sync_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
         max_pages=6,
     )
     return synced.stats
+
+
+@register(
+    "review_sync_selected",
+    over_domain(
+        *_REVIEW_PAGES,
+        select="""
+SELECT CAST(f.user_id AS VARCHAR) AS restaurant_id, count(*) FILTER (e.event_id % 2 = 1) AS changed
+FROM fetched f JOIN events e ON e.user_id = f.user_id AND e.event_id // 1000 = f.page_index
+JOIN places p ON p.id = CAST(f.user_id AS VARCHAR) WHERE f.user_id % 2 = 0 AND p.city = 'NATION_7' GROUP BY f.user_id
+UNION ALL
+SELECT CAST(f.user_id AS VARCHAR), count(*) FILTER (e.event_id % 2 = 1)
+FROM fetched f JOIN events e ON e.user_id = f.user_id AND e.event_id // 1000 = f.page_index
+JOIN places p ON p.id = CAST(f.user_id AS VARCHAR)
+WHERE f.user_id % 2 = 1 AND f.user_id % 3 = 0 AND p.city = 'NATION_7' GROUP BY f.user_id""",
+    ),
+)
+def review_sync_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sync of the places of one city, given as a list of keys."""
+    places = D.places(spark, sf_dir)
+    chosen = by_ids(places, places.filter(F.col("city") == "NATION_7").select("id"))
+    synced = U.sync_reviews(
+        chosen,
+        D.landed_review_pages(spark, sf_dir),
+        _stored_reviews(spark, sf_dir),
+        D.as_of(),
+        max_pages=6,
+    )
+    return synced.stats.select("restaurant_id", "changed")

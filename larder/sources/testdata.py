@@ -32,7 +32,7 @@ def _text(column: str | Column) -> Column:
     return (F.col(column) if isinstance(column, str) else column).cast("string")
 
 
-def _located_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def located_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation, region = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
     area = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
     return read(spark, sf_dir, "customer").join(area, F.col("c_nationkey") == F.col("n_nationkey"))
@@ -64,7 +64,7 @@ def places(spark: SparkSession, sf_dir: str) -> DataFrame:
     website = F.when(key % 5 == 0, F.lit("  ")).otherwise(
         F.concat(F.lit(" https://example.org/"), _text(key))
     )
-    located = _located_customers(spark, sf_dir).select(
+    located = located_customers(spark, sf_dir).select(
         _text(key).alias("id"),
         F.col("c_name").alias("name"),
         F.col("n_name").alias("city"),
@@ -251,7 +251,7 @@ def _page(rows: DataFrame, keys: list[str], list_name: Column, rest: Column) ->
 
 def place_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search pages, one search per region, and one more search that finds every seventh place again."""
-    rows = _located_customers(spark, sf_dir).select(
+    rows = located_customers(spark, sf_dir).select(
         F.concat(F.lit("places in "), "r_name").alias("source_query"),
         F.col("r_regionkey").alias("source_rank"),
         F.floor(F.col("c_custkey") / 100).cast("int").alias("page_index"),
