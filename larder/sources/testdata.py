@@ -240,7 +240,14 @@ def place_item() -> Column:
 
 
 def _page(rows: DataFrame, keys: list[str], list_name: Column, rest: Column) -> DataFrame:
-    """Items (``at``, ``item``) of a page as one JSON text; a page holds a fixed share of the key range."""
+    """Items (``at``, ``item``) of a page as one JSON text; a page holds a fixed share of the key range.
+
+    The explicit partitioning is the one the grouping needs anyway. It keeps small test pages from ending up in
+    a single partition, and with them all parsing that follows.
+    """
+    spark = rows.sparkSession
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    rows = rows.repartition(partitions, *keys)
     items = F.transform(F.array_sort(F.collect_list(F.struct("at", "item"))), lambda row: row["item"])
     pages = rows.groupBy(*keys).agg(F.array_join(items, ",").alias("items"))
     body = F.concat(
