@@ -93,14 +93,11 @@ def with_position(
             )
         rows = df.withColumns({"_all": F.lit(0), "_hot": F.lit(True)})
         keys = ["_all"]
-    labels = [f"_level_{label}" for label, _ in levels]
-    rows = rows.withColumns(
-        {text: F.when(F.col("_hot"), column) for text, (_, column) in zip(labels, levels)}
-    )
+    rows, labels = _cut_into_pieces(rows, keys, levels, hot_rows)
     numbered = rows.withColumn(
         "_within", F.row_number().over(Window.partitionBy(*keys, *labels).orderBy(*order))
     )
-    before = _shift(rows.filter("_hot"), keys, labels)
+    before = _shift(rows.filter("_split"), keys, labels)
     renamed = before.select(
         *[F.col(column).alias(f"_b{column}") for column in keys + labels], "_before"
     )
@@ -113,6 +110,30 @@ def with_position(
     return placed.select(*df.columns, name)
 
 
+def _cut_into_pieces(
+    rows: DataFrame, keys: list[str], levels: list[tuple[str, Column]], hot_rows: int
+) -> tuple[DataFrame, list[str]]:
+    """Label rows of hot groups with their piece, one level at a time, as long as a piece is still too large.
+
+    A label is an array of one value, or of none where no cut is needed, so that it is never NULL. ``_split`` keeps
+    which rows belong to a hot group at all.
+    """
+    rows, labels = rows.withColumn("_split", F.col("_hot")), []
+    for label, column in levels:
+        piece = F.array(column)
+        labels.append(f"_level_{label}")
+        rows = rows.withColumn(
+            labels[-1], F.when(F.col("_hot"), piece).otherwise(F.slice(piece, 1, 0))
+        )
+        if len(labels) == len(levels):
+            break
+        still = hot_groups(rows.filter("_hot"), keys + labels, hot_rows)
+        if still is None:
+            break
+        rows = mark_hot(rows.drop("_hot"), keys + labels, still)
+    return rows, labels
+
+
 def with_previous(
     df: DataFrame,
     keys: list[str],
