@@ -167,14 +167,14 @@ def choose_cutoffs(
         side = F.col("_good") if of_good else ~F.col("_good")
         return F.array(*[F.count_if(side & (F.col("_values")[place] > cutoff)) for place, cutoff in tests])
 
-    sums = (
+    sums = stage(
         values.join(agreed, "_id")
         .groupBy("stratum")
         .agg(F.count_if("_good").alias("n_good"), hits(True).alias("_lost"), hits(False).alias("_caught"))
     )
     allowed = risk / len(rules)
-    strata = sums.agg(F.count(F.lit(1)).alias("_strata"))
-    tested = sums.join(F.broadcast(strata)).select(  # one row
+    level = error / max(1, sums.count() * len(tests))
+    tested = sums.select(
         "stratum",
         F.transform(
             F.sequence(F.lit(0), F.lit(len(tests) - 1)),
@@ -185,11 +185,10 @@ def choose_cutoffs(
                 _tail(F.col("n_good"), F.get(F.col("_lost"), i), allowed).alias("tail"),
             ),
         ).alias("_tests"),
-        (F.lit(error) / (F.col("_strata") * len(tests))).alias("_level"),
     )
     best = lambda place: F.array_max(
         F.transform(
-            F.filter("_tests", lambda t: (t["rule"] == place) & (t["tail"] <= F.col("_level")) & (t["caught"] > 0)),
+            F.filter("_tests", lambda t: (t["rule"] == place) & (t["tail"] <= level) & (t["caught"] > 0)),
             lambda t: F.struct(t["caught"], t["cutoff"]),
         )
     )["cutoff"]
