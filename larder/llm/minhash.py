@@ -12,7 +12,8 @@ nobody is compared with everybody. Each bucket first hangs its classes under its
 components, and a bucket whose classes are one component is done, as further links would change nothing. In the buckets still
 open, a class can only have a link to another component if enough of its shingles occur in another component: with s shared
 shingles, sizes n and m and the limit t, similarity t needs s >= t / (1 + t) * (n + m). That is exact and comes from aggregates. What
-remains is tried against the class that shares most, and at last pair by pair under the same bound, so that no link is lost.
+remains is tried against the class that shares most. What is open even then is compared block by block inside the tasks, so that no
+link is lost.
 
 Defined results: a null or empty text has no shingles and no links; rows that share an id count as one document, whatever
 their texts; a row with a null id is linked with nothing and stays, with a null component; every input row gives one output
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,9 @@ from larder.staging import stage
 _RING_BITS = 20
 #: Places are read in blocks of so many, which bounds the memory for a long text.
 _BLOCK = 256
+#: Documents in a block of the last comparison, and columns of an incidence matrix that are in memory together.
+_BLOCK_DOCUMENTS = 256
+_COLUMNS = 4_096
 
 
 @dataclass(frozen=True)
@@ -162,6 +167,52 @@ def _with_bound(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return stage(known)
 
 
+def _links_of_blocks(percent: int, key: tuple, rows: pa.Table) -> pa.Table:
+    """Similar pairs of different components in one or between two blocks, by products of their incidence matrices."""
+    ids, components_of, sizes = (rows.column(name).to_numpy() for name in ("id", "component", "n"))
+    sets = rows.column("shingles").combine_chunks()
+    owner = np.repeat(np.arange(len(ids)), np.diff(sets.offsets.to_numpy()))
+    values, inverse, times = np.unique(sets.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    twice = np.cumsum(times > 1) - 1
+    here = times[inverse] > 1
+    owner, column = owner[here], twice[inverse[here]]
+    common = np.zeros((len(ids), len(ids)), np.float32)
+    order = np.argsort(column, kind="stable")
+    bounds = np.searchsorted(column[order], np.arange(0, int(column.max(initial=-1)) + 1 + _COLUMNS, _COLUMNS))
+    for k, (low, high) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+        part = np.zeros((len(ids), _COLUMNS), np.float32)
+        part[owner[order[low:high]], column[order[low:high]] - k * _COLUMNS] = 1
+        common += part @ part.T
+    found = common.astype(np.int64)
+    linked = found * 100 >= percent * (sizes[:, None] + sizes[None, :] - found)
+    linked &= (ids[:, None] < ids[None, :]) & (components_of[:, None] != components_of[None, :])
+    one, other = np.nonzero(linked)
+    return pa.table({"one": pa.array(ids[one], pa.int64()), "other": pa.array(ids[other], pa.int64())})
+
+
+def _within_groups(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All links between different components in the groups that open buckets hold together.
+
+    A group is cut into blocks, and each task compares two blocks; only links leave it. Which pair of blocks a task has takes up
+    a row per document and block, not one per pair of documents.
+    """
+    pivots = rest.groupBy("key").agg(F.min("id").alias("pivot"))
+    groups = components(rest.join(pivots, "key").select("pivot", "id").distinct(), "pivot", "id")
+    groups = stage(groups.select(F.col("node").alias("id"), F.col("component").alias("group")))
+    numbers = groups.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / _BLOCK_DOCUMENTS).alias("blocks"))
+    placed = rest.select("id", "component", "n").distinct().join(groups, "id").join(numbers, "group")
+    mine = placed.withColumn("_block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    spread = mine.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    keyed = spread.select(
+        "group", F.least("_block", "_other").alias("low"), F.greatest("_block", "_other").alias("high"), "id", "component", "n"
+    )
+    return (
+        keyed.join(sets, "id")
+        .groupBy("group", "low", "high")
+        .applyInArrow(partial(_links_of_blocks, percent), "one long, other long")
+    )
+
+
 def _links(classes: DataFrame, docs: DataFrame, banding: Banding) -> DataFrame:
     """Components of the classes that have links: ``node`` and ``component``."""
     rows = classes.select(F.explode("keys").alias("key"), "id", "n")
@@ -193,10 +244,7 @@ def _links(classes: DataFrame, docs: DataFrame, banding: Banding) -> DataFrame:
     rest = _with_bound(labelled(found), sets, banding.percent)
     if rest.isEmpty():
         return found
-    a, b = rest.alias("a"), rest.alias("b")
-    fits = F.least("a.shared", "b.shared") * (100 + banding.percent) >= banding.percent * (F.col("a.n") + F.col("b.n"))
-    last = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & F.expr("a.component <> b.component") & fits)
-    edges = edges.union(verified(last.select(F.col("a.id").alias("one"), F.col("b.id").alias("other"))))
+    edges = edges.union(stage(_within_groups(rest, sets, banding.percent)))
     return stage(components(edges, "one", "other"))
 
 
