@@ -11,14 +11,11 @@ from __future__ import annotations
 import itertools
 import json
 import os
-import re
 
 import numpy as np
 
-#: A worker forgets all words when it knows so many; this bounds its memory and changes no result.
-_REMEMBERED = 1_000_000
-#: White space that may join with its neighbours: two in a row, at an end, or anything but space and line feed.
-_IRREGULAR = re.compile(r"\s\s|^\s|\s$|[^\S \n]")
+#: A worker forgets what the current batch does not need when it knows so many words; this bounds its memory and changes no result.
+_REMEMBERED = 1_500_000
 _MARK = "¦"
 
 
@@ -34,69 +31,77 @@ class Encoder:
             described = json.load(file)
         #: Whether a word keeps the space before it; else white space only ends words.
         self._spaced = described["normalizer"] is None
-        self._after_space: dict[str, bytes] = {}
-        self._bare: dict[str, bytes] = {}
+        self._known: dict[str, bytes] = {}
+        self._feed = self._whole("\n")
+        self._mark = "\n" if self._spaced else f"\n{_MARK}\n"
 
     def _whole(self, text: str) -> bytes:
         return np.array(self._library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, words: set[str], known: dict[str, bytes], before: str) -> None:
-        """Encode new words in one text, with a mark between any two."""
-        if len(known) + len(words) > _REMEMBERED:
-            known.clear()
-        mark = f"\n{_MARK}\n" if not self._spaced else "\n"
-        separator = np.frombuffer(self._whole(mark), "<u4")
-        odd = [word for word in words if _MARK in word]
-        plain = [word for word in words if _MARK not in word]
-        for start in range(0, len(plain), 20_000):
-            part = plain[start : start + 20_000]
-            ids = self._library.encode_batch_fast([mark.join([before + word for word in part])], add_special_tokens=False)[0].ids
-            ids = np.array(ids, "<u4")
+    def _keys(self, text: str | None) -> list[str] | None:
+        """The words to look up, those at the start of a line with the line feed before them; None for irregular white space.
+
+        Only single spaces and line feeds between words are regular: then there are as many words as any white space makes.
+        """
+        if not text:
+            return []
+        if not self._spaced:
+            return text.replace("\n", " ").split(" ")
+        keys = ("\n" + text.replace("\n", " \n")).split(" ")
+        return keys if len(keys) == len(text.split()) else None
+
+    def _learn(self, keys: set[str]) -> None:
+        if not self._spaced:
+            self._encode_joined(list(keys), list(keys), b"")
+            return
+        starts = [key for key in keys if key[0] == "\n"]
+        others = [key for key in keys if key[0] != "\n"]
+        self._encode_joined(starts, [key[1:] for key in starts], self._feed)
+        self._encode_joined(others, [" " + key for key in others], b"")
+
+    def _encode_joined(self, keys: list[str], words: list[str], before: bytes) -> None:
+        """Encode new words in one text, with a mark between any two; one by one where a word holds the mark."""
+        separator = np.frombuffer(self._whole(self._mark), "<u4")
+        width, odd = len(separator), []
+        for start in range(0, len(words), 20_000):
+            part = [k for k in range(start, min(start + 20_000, len(words))) if _MARK not in words[k]]
+            odd += [k for k in range(start, min(start + 20_000, len(words))) if _MARK in words[k]]
+            joined = self._mark.join([words[k] for k in part])
+            ids = np.array(self._library.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
             hits = np.flatnonzero(ids == separator[-1])
-            width = len(separator)
             if len(hits) != len(part) - 1:
                 odd += part
                 continue
-            starts = np.concatenate(([0], hits + 1))
-            ends = np.concatenate((hits - (width - 1), [len(ids)]))
+            starts = np.concatenate(([0], hits + 1)).tolist()
+            ends = np.concatenate((hits - (width - 1), [len(ids)])).tolist()
             data = ids.tobytes()
-            known.update(zip(part, [data[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist())]))
-        for word in odd:
-            known[word] = self._whole(before + word)
+            self._known.update(
+                zip([keys[k] for k in part], [before + data[4 * a : 4 * b] for a, b in zip(starts, ends)])
+            )
+        for k in odd:
+            self._known[keys[k]] = before + self._whole(words[k])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        return self._encode_spaced(texts) if self._spaced else self._encode_dropped(texts)
-
-    def _encode_dropped(self, texts: list[str | None]) -> list[bytes]:
-        """White space is dropped: words between spaces or line feeds, whatever else is in them."""
-        split = [text.replace("\n", " ").split(" ") if text else [] for text in texts]
-        new = set(itertools.chain.from_iterable(split)).difference(self._bare)
-        if len(self._bare) + len(new) > _REMEMBERED:
-            self._bare.clear()
-            new = set(itertools.chain.from_iterable(split))
-        self._learn(new, self._bare, "")
-        known = self._bare.__getitem__
-        return [b"".join(map(known, words)) for words in split]
-
-    def _encode_spaced(self, texts: list[str | None]) -> list[bytes]:
-        """A word takes the one space before it along; a line feed between two words stands alone."""
-        regular = [bool(text) and not _IRREGULAR.search(text) for text in texts]
-        lines = [[line.split(" ") for line in text.split("\n")] if ok else [] for text, ok in zip(texts, regular)]
-        first = {line[0] for found in lines for line in found}
-        inner = set().union(*[line[1:] for found in lines for line in found]) if lines else set()
-        for words, known, before in ((first, self._bare, ""), (inner, self._after_space, " ")):
-            new = words.difference(known)
-            if len(known) + len(new) > _REMEMBERED:
-                known.clear()
-                new = words
-            self._learn(new, known, before)
-        feed, bare, spaced = self._whole("\n"), self._bare, self._after_space.__getitem__
-        return [
-            feed.join([bare[line[0]] + b"".join(map(spaced, line[1:])) for line in found])
-            if ok
-            else self._whole(text or "")
-            for text, ok, found in zip(texts, regular, lines)
-        ]
+        keys = [self._keys(text) for text in texts]
+        flat = list(itertools.chain.from_iterable(found for found in keys if found))
+        ids = list(map(self._known.get, flat))
+        new = [k for k, found in enumerate(ids) if found is None]
+        if new:
+            if len(self._known) + len(new) > _REMEMBERED:
+                self._known = {key: found for key, found in zip(flat, ids) if found is not None}
+            self._learn({flat[k] for k in new})
+            for k in new:
+                ids[k] = self._known[flat[k]]
+        result, at = [], 0
+        for text, found in zip(texts, keys):
+            if found is None:
+                result.append(self._whole(text))
+                continue
+            joined = b"".join(ids[at : at + len(found)])
+            at += len(found)
+            # the first word has been looked up as if it began a line
+            result.append(joined[len(self._feed) :] if self._spaced and found else joined)
+        return result
 
 
 _encoders: dict[str, Encoder] = {}

@@ -275,7 +275,8 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
     # one narrow row per file, not per document
     earlier = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     placed = manifest.select("path", F.coalesce(F.sum("tokens").over(earlier), F.lit(0)).cast("long").alias("before"))
-    return placed.repartition(F.col("path")).mapInArrow(
+    # a task per file: its row says nothing of the work behind it
+    return placed.repartition(max(1, manifest.count())).mapInArrow(
         read, "id long, start long, n_tokens long, ids_crc32 long"
     )
 
