@@ -10,7 +10,8 @@ and one more will do for t = 0.8. What is left is compared with the templates th
 All steps are SQL functions over the row itself: no shuffle, no Python.
 
 Defined results: a null or empty text has no licence; every input row gives one output row, repeated ids included; of templates
-with one coefficient the first by name wins; an empty table gives an empty result; other columns pass through untouched.
+with one coefficient the first by name wins; an empty table gives an empty result; other columns pass through
+untouched, except those with the names of the result's own columns, which are replaced.
 """
 
 from __future__ import annotations
@@ -123,12 +124,13 @@ def scan_licences(
         )
         return F.filter(scored, lambda s: s["dice"] >= limit)
 
-    hits = docs.withColumn("_hits", F.flatten(F.transform(grouped, against)))
+    found = docs.select(F.struct(*docs.columns).alias("_row"), F.flatten(F.transform(grouped, against)).alias("_hits"))
     best = F.array_max(F.transform("_hits", lambda s: s["dice"]))
     first = F.array_min(F.transform(F.filter("_hits", lambda s: s["dice"] == F.col("_best")), lambda s: s["name"]))
-    return hits.withColumn("_best", best).select(
-        *docs.columns,
-        first.alias("licence"),
-        F.col("_best").alias("dice"),
-        F.array_sort(F.array_distinct(F.transform("_hits", lambda s: s["name"]))).alias("licences"),
-    )
+    made = {
+        "licence": first,
+        "dice": F.col("_best"),
+        "licences": F.array_sort(F.array_distinct(F.transform("_hits", lambda s: s["name"]))),
+    }
+    kept = [F.col(f"_row.`{name}`").alias(name) for name in docs.columns if name not in made]
+    return found.withColumn("_best", best).select(*kept, *[column.alias(name) for name, column in made.items()])

@@ -212,6 +212,6 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
         F.max("copies").alias("_copies")
     )
     known = taken.filter("_copies > 0").withColumnsRenamed({"doc_id": "_id", "_hash": "_its"})
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_its"))
-    copies = F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))
-    return docs.join(known, same).withColumn("_copy", copies).select(*[docs[name] for name in docs.columns])
+    same = docs["doc_id"].eqNullSafe(known["_id"]) & (F.xxhash64(docs["text"]) == known["_its"])
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), known["_copies"])).alias("_copy")
+    return docs.join(known, same).select(*[docs[name] for name in docs.columns], copies).drop("_copy")

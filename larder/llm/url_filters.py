@@ -12,7 +12,8 @@ All steps are SQL functions and joins. Verdicts are made once per distinct URL.
 short; a longer one is joined by token.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path and gets the verdict of no rule; every input
-row gives one output row; an empty table gives an empty result; other columns pass through untouched.
+row gives one output row; an empty table gives an empty result; other columns pass through untouched,
+except those with the names of the result's own columns, which are replaced.
 """
 
 from __future__ import annotations
@@ -131,15 +132,16 @@ def judge_urls(
         fitting.select("_url", "name", "verdict", "is_domain", rank.alias("_rank"))
         .groupBy("_url")
         .agg(F.max(F.struct("_rank", "is_domain", "name", "verdict")).alias("_best"))
-        .select("_url", "_best.*")
-    )
-    joined = pages.join(best, address == F.col("_url"), "left")
-    domain = F.coalesce(F.col("is_domain"), F.lit(False))
-    return joined.select(
-        *[pages[name] for name in pages.columns],
-        host_of(address).alias("host"),
-        path_of(address).alias("path"),
-        F.when(domain, F.col("name")).alias("rule"),
-        F.when(~domain, F.col("name")).alias("pattern"),
-        F.coalesce("verdict", F.lit("allow")).alias("verdict"),
     )
+    joined = pages.join(best, pages[url] == best["_url"], "left")
+    found = best["_best"]
+    domain = F.coalesce(found["is_domain"], F.lit(False))
+    made = {
+        "host": host_of(pages[url]),
+        "path": path_of(pages[url]),
+        "rule": F.when(domain, found["name"]),
+        "pattern": F.when(~domain, found["name"]),
+        "verdict": F.coalesce(found["verdict"], F.lit("allow")),
+    }
+    kept = [pages[name] for name in pages.columns if name not in made]
+    return joined.select(*kept, *[column.alias(name) for name, column in made.items()])
