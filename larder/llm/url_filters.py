@@ -5,7 +5,7 @@ is indexed by the one of its tokens that fewest URLs have. The tokens of a URL f
 these run their regular expressions. A rule without a whole token is indexed by the empty token, which every URL has.
 
 Domain rules fit a host and all its subdomains if the path starts with the rule's; the longest wins. Where none fits, the
-longest fitting pattern decides, in which ``*`` stands for anything and ``^`` for a place where no letter or digit is;
+longest fitting pattern decides, in which ``*`` stands for anything and ``^`` for one character that is no letter or digit, or an end;
 where nothing fits, ``allow``. Of equally long rules, block wins.
 
 All steps are SQL functions and joins. Verdicts are made once per distinct URL. The index goes to all tasks if the list of rules is
@@ -51,7 +51,7 @@ def domain_rule(verdict: str, host: str, path: str = "/") -> UrlRule:
 def pattern_rule(verdict: str, pattern: str) -> UrlRule:
     """``*`` and ``^`` as said above; all else stands for itself, capitals as small letters."""
     pattern = pattern.lower()
-    translated = {"*": "[\\s\\S]*", "^": "(?:^|$|(?<![a-z0-9])|(?![a-z0-9]))"}
+    translated = {"*": "[\\s\\S]*", "^": "(?:^|$|[^a-z0-9])"}
     expression = "".join(translated.get(c) or re.escape(c) for c in pattern)
     tokens = re.findall(r"(?<![a-z0-9*])[a-z0-9]+(?![a-z0-9*])", pattern)
     inner = [t.group() for t in re.finditer(r"(?<=[^a-z0-9*])[a-z0-9]+(?=[^a-z0-9*])", pattern)]
