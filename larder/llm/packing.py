@@ -35,6 +35,8 @@ from larder.staging import stage
 _TEXTS = 512
 #: Pieces of one length are ranked in buckets of the whole table's pieces of about this size, 16 at least.
 _BUCKET_ROWS = 100_000
+#: Configurations that column generation tries; the mix it has by then is a valid one, if not yet the best.
+_COLUMNS_TRIED = 1_000
 
 
 @dataclass
@@ -85,10 +87,10 @@ def best_configurations(sizes: list[int], demands: list[int], capacity: int) ->
     basis = np.diag([float(capacity // size) for size in sizes])
     amounts = np.array([n / (capacity // size) for size, n in zip(sizes, demands)])
     depth = capacity // min(sizes)
-    for _ in range(100 * k):
+    for _ in range(_COLUMNS_TRIED):
         prices = np.linalg.solve(basis.T, np.ones(k))
         column = _most_valuable(sizes, prices, capacity, depth)
-        if prices @ column <= 1 + 1e-9:
+        if prices @ column <= 1 + 1e-4:
             break
         change = np.linalg.solve(basis, column)
         usable = change > 1e-12
@@ -149,10 +151,18 @@ class _Free:
         return space, first, n
 
 
-def make_plan(histogram: dict[int, int], capacity: int, groups: int = 32, large: float = 1 / 6) -> Plan:
-    """The runs for so many pieces of each length."""
+def make_plan(histogram: dict[int, int], capacity: int, groups: tuple[int, ...] = (0, 32, 96), large: float = 1 / 6) -> Plan:
+    """The runs for so many pieces of each length: the plan with the fewest sequences over several numbers of groups.
+
+    Without groups, all lengths are left to best fit, so the plan is never worse than that.
+    """
+    plans = [_grouped_plan(histogram, capacity, n, large) for n in groups]
+    return min(plans, key=lambda plan: plan.sequences)
+
+
+def _grouped_plan(histogram: dict[int, int], capacity: int, groups: int, large: float) -> Plan:
     plan, free = Plan(capacity), _Free()
-    big = {length: n for length, n in histogram.items() if capacity * large < length < capacity}
+    big = {length: n for length, n in histogram.items() if groups and capacity * large < length < capacity}
     rest = {length: n for length, n in histogram.items() if length not in big}
     cut = equal_groups(big, groups) if big else []
     merged: dict[int, list[list[int]]] = {}
@@ -277,7 +287,7 @@ def pack(
     tokenizer: str,
     capacity: int = 4096,
     end_id: int = 1,
-    groups: int = 32,
+    groups: tuple[int, ...] = (0, 32, 96),
     id_column: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
