@@ -24,7 +24,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -167,7 +166,7 @@ def _with_bound(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return stage(known)
 
 
-def _links_of_blocks(percent: int, key: tuple, rows: pa.Table) -> pa.Table:
+def _links_of_blocks(rows: pa.Table, percent: int) -> pa.Table:
     """Similar pairs of different components in one or between two blocks, by products of their incidence matrices."""
     ids, components_of, sizes = (rows.column(name).to_numpy() for name in ("id", "component", "n"))
     sets = rows.column("shingles").combine_chunks()
@@ -196,6 +195,10 @@ def _within_groups(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     A group is cut into blocks, and each task compares two blocks; only links leave it. Which pair of blocks a task has takes up
     a row per document and block, not one per pair of documents.
     """
+
+    def links(key: tuple, rows: pa.Table) -> pa.Table:
+        return _links_of_blocks(rows, percent)
+
     pivots = rest.groupBy("key").agg(F.min("id").alias("pivot"))
     groups = components(rest.join(pivots, "key").select("pivot", "id").distinct(), "pivot", "id")
     groups = stage(groups.select(F.col("node").alias("id"), F.col("component").alias("group")))
@@ -209,7 +212,7 @@ def _within_groups(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return (
         keyed.join(sets, "id")
         .groupBy("group", "low", "high")
-        .applyInArrow(partial(_links_of_blocks, percent), "one long, other long")
+        .applyInArrow(links, "one long, other long")
     )
 
 
