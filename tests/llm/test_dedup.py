@@ -4,13 +4,12 @@ import hashlib
 from itertools import combinations
 
 import numpy as np
-import odd
 import pytest
-from pyspark.sql import functions as F
 
 from larder.llm import edit_fingerprints as E
 from larder.llm import minhash as M
 from larder.llm.catalog import QUERIES
+from llm import odd
 
 SF = "/root/testdata/sf0.001"
 
