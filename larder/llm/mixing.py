@@ -18,6 +18,8 @@ empty result; other columns are not read.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -141,15 +143,13 @@ def _step(state: DataFrame, sums: DataFrame) -> DataFrame:
     return bracketed.withColumn("variable", F.when(F.col("variable").isNotNull(), following)).drop("_words", "_slope")
 
 
-def _copies(block: pd.DataFrame) -> pd.DataFrame:
+def _copies(block: pd.DataFrame, most: int) -> pd.DataFrame:
     """Whole copies of one block's documents, the error in words carried from the longest to the shortest."""
     block = block.sort_values(["size", "doc_id", "_hash"], ascending=[False, True, True], kind="stable")
     carried, copies = 0.0, np.zeros(len(block), np.int64)
     for k, (size, rate) in enumerate(zip(block["size"].tolist(), block["rate"].tolist())):
         if size:
-            floor = int(rate)
-            wanted = rate - floor + carried / size
-            copies[k] = floor + (rate > floor and wanted >= 0.5)
+            copies[k] = min(most, max(0, math.floor(rate + carried / size + 0.5)))
             carried += (rate - copies[k]) * size
     return block.assign(copies=copies).drop(columns=["_source", "_block"])
 
@@ -184,7 +184,7 @@ def _mixed(docs: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
         F.pmod(F.xxhash64("doc_id", "_hash"), blocks).alias("_block"),
     )
     return rated.groupBy("_source", "_block").applyInPandas(
-        _copies,
+        lambda block: _copies(block, most),
         f"doc_id {dict(docs.dtypes)['doc_id']}, _hash long, size long, source_size long, target double, rate double, copies long",
     )
 
