@@ -169,8 +169,7 @@ def test_blocks_see_only_what_comes_before():
     """A document's score up to some place does not depend on what follows it."""
     code = C.Code([b"a", b"b"], np.ones(C._FIRST_WORD + 2))
     mixing = C.Mixing(table_bits=8, block=8)
-    rows = []
-    tables = C.Tables(rows, code, mixing)
+    tables = C.Tables({}, code, mixing)
     words = [b"a", b"b", b"q"] * 30
     one, two = C.Bits(code, [words], 8), C.Bits(code, [words, [b"zzz"] * 50, words], 8)
     alone = C.mix(one, *tables.read(one), C.first_weights(), mixing)
