@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from larder.functions import payload as P
 from larder.operators.ingest import SEQUENCE, clean_items, import_counts, import_places
-from larder.operators.ordering import with_position
+from larder.operators.numbering import numbered
 from larder.operators.upsert import Synced, sync_reviews, sync_totals
 from larder.session import cut_lineage
 from larder.sources.pages import PLACE_LISTS, fetched_pages, page_items
@@ -53,13 +53,8 @@ def ordinals(items: DataFrame) -> DataFrame:
 
     ``items`` is counted at once; hand in rows that are cut from their lineage.
     """
-    levels = [
-        ("source", F.col("source_rank")),
-        ("page", F.col("page_index")),
-        ("pos", F.floor(F.col("pos") / 1000)),
-    ]
-    numbered = with_position(items, [], levels, [F.col(name) for name in SEQUENCE], "ordinal")
-    return numbered.withColumn("total", F.lit(items.count()).cast("long"))
+    placed = numbered(items, [F.col(name) for name in SEQUENCE], "ordinal")
+    return placed.withColumn("total", F.lit(items.count()).cast("long"))
 
 
 def _side_by_side(parts: list[DataFrame]) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from larder import model
 from larder.functions.ids import stable_id
 from larder.functions.text import clean_email
+from larder.operators import favorites as pairs
 from larder.operators.ordering import first_wins, flag
 from larder.session import cut_lineage
 
@@ -337,6 +338,24 @@ def delete_places(requests: DataFrame, users: DataFrame, tables: dict[str, DataF
     return Cascade(_verdicts(final), reduce(DataFrame.unionByName, counts), after)
 
 
+def toggle_favorites(
+    requests: DataFrame, users: DataFrame, places: DataFrame, favorites: DataFrame, as_of: Column
+) -> Changed:
+    """``requests``: seq, actor_id, restaurant_id. A toggle is a create or a delete and obeys the rules of both.
+
+    Only the actor's own pairs are touched, so ownership holds by itself.
+    """
+    known = _exists(_with_actor(requests, users), places, "restaurant_id", "_place")
+    judged = known.withColumn(
+        "reject_reason",
+        _first_reason(*_actor_rules(admin_only=False), (~F.col("_place"), "no_place")),
+    )
+    accepted = judged.filter(F.col("reject_reason").isNull())
+    asked = accepted.select(F.col("actor_id").alias("user_id"), "restaurant_id")
+    table = pairs.toggled(favorites, asked, as_of)
+    return Changed(_verdicts(judged), model.conform(table, model.FAVORITES))
+
+
 # --- registration ----------------------------------------------------------------------------------------------
 
 
@@ -371,6 +390,7 @@ def register_users(requests: DataFrame, users: DataFrame, as_of: Column) -> Chan
         _first_reason(
             (F.col("username").isNull() | ~length.between(shortest, longest), "bad_username"),
             (F.col("email").isNull() | ~F.col("email").rlike(_EMAIL), "bad_email"),
+            (F.char_length("email") > model.MAX_LENGTH["users"]["email"], "too_long"),
         ),
     )
     stored = flag(judged, users.select("username").distinct(), ["username"], "_name_stored")

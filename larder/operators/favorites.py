@@ -26,8 +26,8 @@ def favorite_flags(places: DataFrame, favorites: DataFrame, user_id: str) -> Dat
     return flag(places, mine, ["id"], "is_favorite")
 
 
-def toggle_favorites(favorites: DataFrame, requests: DataFrame, as_of: Column) -> DataFrame:
-    """Favorites after the requests: each one removes a pair that is there and adds one that is not.
+def toggled(favorites: DataFrame, requests: DataFrame, as_of: Column) -> DataFrame:
+    """Favorites after accepted requests: each one removes a pair that is there and adds one that is not.
 
     Only whether the number of toggles of a pair is odd matters, so one aggregation settles the batch.
     """

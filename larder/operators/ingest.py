@@ -152,7 +152,8 @@ def import_places(cleaned: DataFrame, stored: DataFrame, as_of: Column) -> Impor
     )
     new_rows = judged.filter("_new").withColumns(
         {
-            "id": stable_id(*[F.col(name) for name in IDENTITY]),
+            # a place may be renamed and imported again, so the run and the row are part of the id
+            "id": stable_id(*[F.col(name) for name in IDENTITY + SEQUENCE], as_of),
             "created_at": as_of,
             "updated_at": as_of,
         }

@@ -74,25 +74,17 @@ def with_position(
     name: str = "position",
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """1-based position of every row in its group (in the whole frame where ``keys`` is empty).
+    """1-based position of every row in its group; ``numbering.numbered`` does the same for a whole frame.
 
     ``order`` must be a total order. ``levels`` are (name, column) pairs, never NULL, coarse to fine, such
     that sorting by them in turn never contradicts ``order``.
     """
-    if keys:
-        hot = hot_groups(df, keys, hot_rows)
-        if hot is None:
-            return df.withColumn(
-                name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long")
-            )
-        rows = mark_hot(df, keys, hot)
-    else:
-        if df.count() <= hot_rows:
-            return df.withColumn(
-                name, F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)).cast("long")
-            )
-        rows = df.withColumns({"_all": F.lit(0), "_hot": F.lit(True)})
-        keys = ["_all"]
+    hot = hot_groups(df, keys, hot_rows)
+    if hot is None:
+        return df.withColumn(
+            name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long")
+        )
+    rows = mark_hot(df, keys, hot)
     rows, labels = _cut_into_pieces(rows, keys, levels, hot_rows)
     numbered = rows.withColumn(
         "_within", F.row_number().over(Window.partitionBy(*keys, *labels).orderBy(*order))
@@ -174,6 +166,8 @@ def first_wins(df: DataFrame, keys: list[str], sequence: list[str]) -> DataFrame
     Join the result back on ``sequence``, which is unique, and not on the keys: copies of one key then
     spread over all tasks.
     """
+    if len(sequence) == 1:  # a number, unlike a struct, is combined in hash tables
+        return df.groupBy(*keys).agg(F.min(sequence[0]).alias(sequence[0])).select(*keys, *sequence)
     earliest = F.min(F.struct(*sequence)).alias("_first")
     return df.groupBy(*keys).agg(earliest).select(*keys, "_first.*")
 

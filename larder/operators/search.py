@@ -7,14 +7,15 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, functions as F
 
 from larder.functions.text import search_pattern
-from larder.operators.ordering import flag, with_position
+from larder.operators.numbering import numbered
+from larder.operators.ordering import flag
 from larder.operators.stats import review_stats
 from larder.sources.tables import by_ids
 
 SORTS = ("name", "rating", "created_at")
 DEFAULT_LIMIT, MAX_LIMIT = 20, 100
-# Up to this depth a page is found by a bounded top-k; deeper pages by numbering rows in parallel.
-TOP_K_DEPTH = 10_000
+# Up to this depth a page is a bounded top-k; deeper ones come from positions in the whole order.
+TOP_K_DEPTH = 500
 
 _OWN_TEXT = ["name", "description", "city", "district", "category"]
 _LIST_COLUMNS = [
@@ -134,18 +135,6 @@ def _order(sort: str) -> list[Column]:
     return first + [F.col("id").asc()]
 
 
-def _levels(sort: str) -> list[tuple[str, Column]]:
-    """Coarse keys that follow ``_order``, for numbering rows in parallel."""
-    newest_day = (-F.unix_date(F.to_date("created_at"))).cast("long")
-    rating = F.coalesce(-F.col("average_exact").cast("decimal(30,10)"), F.lit(99).cast("decimal(30,10)"))
-    by_id = ("id", F.coalesce(F.substring("id", 1, 4), F.lit("")))
-    return {
-        "name": [("a", F.substring("name", 1, 2)), ("b", F.substring("name", 1, 12))],
-        "rating": [("rating", rating), ("day", newest_day)],
-        "created_at": [("day", newest_day), ("time", -F.unix_micros("created_at")), by_id],
-    }[sort]
-
-
 def matching_places(tables: Tables, query: Query) -> DataFrame:
     """All matches with their statistics, unsorted and unpaged."""
     df = _with_stats(_filtered(tables, query), tables)
@@ -165,7 +154,7 @@ def _cut_page(df: DataFrame, query: Query) -> DataFrame:
     order = _order(query.sort)
     if query.offset + query.limit <= TOP_K_DEPTH:
         return df.orderBy(*order).offset(query.offset).limit(query.limit)
-    placed = with_position(df, [], _levels(query.sort), order, "_at")
+    placed = numbered(df, order, "_at")
     wanted = F.col("_at").between(query.offset + 1, query.offset + query.limit)
     return placed.filter(wanted).drop("_at")
 

@@ -19,6 +19,7 @@ from larder.functions.fingerprint import typed_fields
 from larder.functions.ids import stable_id
 from larder.functions.text import nonblank
 from larder.operators.contacts import sync_targets
+from larder.operators.components import components
 from larder.operators.ordering import HOT_ROWS, with_previous
 from larder.session import cut_lineage
 from larder.sources.pages import REVIEW_LISTS, fetched_pages, page_items
@@ -158,7 +159,7 @@ def _identities(rows: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 _REPLAYED = (
-    "restaurant_id string, page_index int, pos int, digest string, label string, "
+    "restaurant_id string, page_index int, pos long, digest string, label string, "
     "stored_id string, stored_digest string, stored_created timestamp, status string, "
     "reject_reason string, is_last boolean"
 )
@@ -229,13 +230,10 @@ def _replay(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _components(edges: DataFrame) -> DataFrame:
-    """Add ``component`` to tangled pairs: those linked by a fingerprint, a provider id or a stored row share it.
-
-    The smallest name spreads over shared nodes until nothing changes; few rounds, as components are small.
-    """
+    """Add ``component`` to tangled pairs: those linked by a fingerprint, a provider id or a stored row share it."""
 
     def node(kind: str, name: Column) -> Column:
-        return F.when(name.isNotNull() & (name != ""), F.concat(F.lit(kind), name))
+        return F.when(name.isNotNull() & (name != ""), F.concat("restaurant_id", F.lit(f"\x1f{kind}"), name))
 
     nodes = F.array_compact(
         F.array(
@@ -245,20 +243,10 @@ def _components(edges: DataFrame) -> DataFrame:
             node("s", F.col("at_hash.id")),
         )
     )
-    linked = edges.select(*_EDGE, nodes.alias("nodes"))
-    current = cut_lineage(linked.withColumn("component", F.array_min("nodes")))
-    while True:
-        spread = current.select(*_EDGE, "component", F.explode("nodes").alias("node"))
-        smallest = spread.groupBy("restaurant_id", "node").agg(F.min("component").alias("_low"))
-        best = (
-            spread.join(smallest, ["restaurant_id", "node"])
-            .groupBy(*_EDGE)
-            .agg(F.min("_low").alias("_low"))
-        )
-        moved = cut_lineage(current.join(best, _EDGE))
-        current = moved.withColumn("component", F.col("_low")).drop("_low")
-        if moved.filter(F.col("component") != F.col("_low")).isEmpty():
-            return current.select(*_EDGE, "component")
+    linked = cut_lineage(edges.select(*_EDGE, nodes.alias("nodes")))
+    named = linked.select(*_EDGE, F.get("nodes", F.lit(0)).alias("node"))
+    links = linked.select(F.get("nodes", F.lit(0)).alias("one"), F.explode("nodes").alias("other"))
+    return named.join(components(links, "one", "other"), "node").select(*_EDGE, "component")
 
 
 def _replay_tangled(rows: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -95,8 +95,8 @@ asked AS (
     CASE WHEN k % 7 = 0 THEN NULL ELSE CAST((k + turn) % 6 AS VARCHAR) END AS rating,
     k % 3 <> 0 AS sets_rating, k % 2 = 0 AS sets_comment,
     CASE WHEN k % 5 = 0 THEN NULL ELSE 'edit ' || turn END AS comment
-  FROM (SELECT o_orderkey AS k, 0 AS turn, o_orderkey AS seq FROM orders
-        UNION ALL SELECT o_orderkey, 1, o_orderkey + 1000000000000 FROM orders WHERE o_orderkey % 5 < 2))""", f"""
+  FROM (SELECT o_orderkey AS k, 0 AS turn, o_orderkey * 4 AS seq FROM orders
+        UNION ALL SELECT o_orderkey, 1, o_orderkey * 4 + 1 FROM orders WHERE o_orderkey % 5 < 2))""", f"""
 final AS (
   SELECT a.*, r.id AS found, coalesce({_ACTOR_REASON},
     CASE WHEN sets_rating AND a.rating IS NULL THEN 'null_field'
@@ -117,7 +117,7 @@ def _review_edits(spark: SparkSession, sf_dir: str) -> C.Changed:
         lambda name, _: ((name == "rating") & (k % 3 != 0)) | ((name == "comment") & (k % 2 == 0)),
     )
     asked = rows.select(
-        (k + turn * F.lit(10**12)).alias("seq"),
+        (k * 4 + turn).alias("seq"),
         F.when(k % 4 == 0, k.cast("string"))
         .when(k % 4 == 1, "1")
         .when(k % 4 == 2, "2")
@@ -165,9 +165,9 @@ _REVIEW_DELETES = ("""
 asked AS (
   SELECT *, CAST(k AS VARCHAR) AS id,
     CASE WHEN turn = 0 AND k % 3 = 0 THEN '2' WHEN k % 4 = 0 THEN '10' WHEN k % 2 = 0 THEN '1' ELSE CAST(k AS VARCHAR) END AS actor
-  FROM (SELECT o_orderkey AS k, 0 AS turn, o_orderkey AS seq FROM orders
-        UNION ALL SELECT o_orderkey, 1, o_orderkey + 1000000000000 FROM orders
-        UNION ALL SELECT o_orderkey, 2, o_orderkey + 2000000000000 FROM orders WHERE o_orderkey % 6 = 0))""", f"""
+  FROM (SELECT o_orderkey AS k, 0 AS turn, o_orderkey * 4 AS seq FROM orders
+        UNION ALL SELECT o_orderkey, 1, o_orderkey * 4 + 1 FROM orders
+        UNION ALL SELECT o_orderkey, 2, o_orderkey * 4 + 2 FROM orders WHERE o_orderkey % 6 = 0))""", f"""
 checked AS (
   SELECT a.*, {_ACTOR_REASON} AS actor_reason, r.id AS found,
     r.id IS NOT NULL AND u.is_active AND (r.user_id = actor OR u.is_admin) AS good
@@ -186,7 +186,7 @@ def _deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     k, turn = F.col("k"), F.col("turn")
     return rows.select(
-        (k + turn * F.lit(10**12)).alias("seq"),
+        (k * 4 + turn).alias("seq"),
         F.when((turn == 0) & (k % 3 == 0), "2")
         .when(k % 4 == 0, "10")
         .when(k % 2 == 0, "1")
@@ -319,9 +319,9 @@ def create_places(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _PLACE_EDITS = (f"""
 asked AS (
-  SELECT *, {_ACTORS} AS actor, CAST(CASE WHEN k % 17 = 0 THEN k + 1000000000000 ELSE k END AS VARCHAR) AS id
-  FROM (SELECT c_custkey AS k, 0 AS turn, c_custkey AS seq FROM customer
-        UNION ALL SELECT c_custkey, 1, c_custkey + 1000000000000 FROM customer WHERE c_custkey % 4 = 0))""", f"""
+  SELECT *, {_ACTORS} AS actor, CASE WHEN k % 17 = 0 THEN 'none' || k ELSE CAST(k AS VARCHAR) END AS id
+  FROM (SELECT c_custkey AS k, 0 AS turn, c_custkey * 4 AS seq FROM customer
+        UNION ALL SELECT c_custkey, 1, c_custkey * 4 + 1 FROM customer WHERE c_custkey % 4 = 0))""", f"""
 final AS (
   SELECT a.*, coalesce({_ADMIN_REASON}, CASE WHEN k % 7 = 0 THEN 'null_field' WHEN k % 11 = 0 THEN 'too_short'
     WHEN k % 13 = 0 THEN 'too_long' WHEN k % 19 = 0 THEN 'bad_value' WHEN k % 17 = 0 THEN 'not_found' END) AS reason
@@ -342,9 +342,9 @@ def _place_edits(spark: SparkSession, sf_dir: str) -> C.Changed:
     )
     where = F.create_map(F.lit("latitude"), F.when(k % 19 == 0, "north").otherwise("12.25"))
     asked = rows.select(
-        (k + turn * F.lit(10**12)).alias("seq"),
+        (k * 4 + turn).alias("seq"),
         _actor(),
-        F.when(k % 17 == 0, k + F.lit(10**12)).otherwise(k).cast("string").alias("id"),
+        F.when(k % 17 == 0, F.concat(F.lit("none"), k.cast("string"))).otherwise(k.cast("string")).alias("id"),
         F.map_concat(name, where, F.when(turn == 0, clear).otherwise(F.expr("map()").cast("map<string,string>"))).alias("changes"),
     )
     return C.update_places(asked, D.users(spark, sf_dir), D.places(spark, sf_dir), D.as_of())
@@ -438,6 +438,7 @@ final AS (SELECT seq, CASE WHEN g % 9 = 0 AND turn IN (0, 2) THEN 'bad_username'
   WHEN g % 7 = 0 AND turn = 2 THEN 'bad_email'
   WHEN g % 5 = 0 AND turn <= 1 AND g % 9 <> 0 THEN 'username_taken'
   WHEN turn = 1 AND g % 9 <> 0 THEN 'username_taken'
+  WHEN g % 11 = 0 AND turn = 3 THEN 'too_long'
   WHEN turn = 3 AND g % 9 <> 0 AND g % 5 <> 0 THEN 'email_taken' END AS reason FROM asked)
 SELECT seq, reason IS NULL AS accepted, reason AS reject_reason FROM final""",
 )
@@ -452,7 +453,8 @@ def register_users(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(name)
     )
     box = F.when(turn == 1, "y").when(turn == 2, "Y").otherwise("x")
-    mail = F.concat(box, group.cast("string"), F.lit("@Example.org"))
+    padding = F.when((group % 11 == 0) & (turn == 3), F.repeat(F.lit("e"), F.lit(250))).otherwise("")
+    mail = F.concat(box, group.cast("string"), padding, F.lit("@Example.org"))
     asked = _orders(spark, sf_dir).select(
         k.alias("seq"),
         username.alias("username"),

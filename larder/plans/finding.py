@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from larder.operators import search as S, stats
@@ -161,6 +163,17 @@ def page_by_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _page(spark, sf_dir)
 
 
+# Deep pages: positions in the whole order instead of a bounded top-k.
+for _name, _sort, _by in (
+    ("name", "name", "name, created_at DESC, id"),
+    ("rating", "rating", "exact DESC NULLS LAST, created_at DESC, id"),
+    ("created", "created_at", "created_at DESC, id"),
+):
+    register(f"search_deep_page_{_name}", _page_sql(_by, 50, 700))(
+        partial(_page, sort=_sort, limit=50, offset=700)
+    )
+
+
 _SEARCH_PAGE = """
 exact >= 2.5 AND id IN (
   SELECT restaurant_id FROM menu_items WHERE name ILIKE '%ring%'
@@ -227,8 +240,8 @@ def rating_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderkey").cast("string").alias("id"),
         F.col("o_custkey").cast("string").alias("restaurant_id"),
         (digit + (F.col("o_orderkey") % 2).cast("int")).alias("rating"),
-        F.col("o_orderkey").alias("seq"),
+        (F.col("o_orderkey") * 2).alias("seq"),
     )
-    batch = once.unionByName(once.withColumn("seq", F.col("seq") + F.lit(10**15)))
+    batch = once.unionByName(once.withColumn("seq", F.col("seq") + 1))
     folded = stats.fold_reviews(stats.review_stats(t.ext_reviews, known), known, batch)
     return folded.select("restaurant_id", "rated_count", "review_count", "average_rating")

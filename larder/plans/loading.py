@@ -11,6 +11,7 @@ from larder.functions.text import district_in, repair_text, strip, town_key
 from larder.operators import area_import as A, ingest as I, upsert as U
 from larder.plans.oracle import over_domain
 from larder.plans.registry import register
+from larder.session import cut_lineage
 from larder.sources import pages as S, testdata as D
 from larder.sources.tables import by_ids
 
@@ -56,25 +57,27 @@ def pages_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _REVIEW_PAGES = """
-review_pages AS (
-  SELECT user_id, CAST(event_id // 1000 AS INTEGER) AS page_index, count(*) AS n,
-    (user_id + event_id // 1000) % 9 >= 7 AS ends
-  FROM events GROUP BY ALL)""", """
-fetched AS (
-  SELECT p.* FROM review_pages p LEFT JOIN (
-    SELECT user_id, min(page_index) AS stop FROM review_pages WHERE ends AND page_index < 6 GROUP BY 1) s
-  ON s.user_id = p.user_id WHERE page_index < 6 AND (stop IS NULL OR page_index <= stop))"""
+paged AS (
+  SELECT *, CAST((row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 10 AS INTEGER) AS page_index
+  FROM events)""",
 
 
 @register(
     "page_cap",
     "WITH "
-    + ",".join(_REVIEW_PAGES)
-    + "SELECT CAST(user_id AS VARCHAR) AS restaurant_id, page_index, n AS reviews FROM fetched",
+    + _REVIEW_PAGES[0]
+    + """,
+review_pages AS (
+  SELECT user_id, page_index, count(*) AS n, (user_id + page_index) % 9 >= 7 AS ends FROM paged GROUP BY ALL),
+fetched AS (
+  SELECT p.* FROM review_pages p LEFT JOIN (
+    SELECT user_id, min(page_index) AS stop FROM review_pages WHERE ends AND page_index < 4 GROUP BY 1) s
+  ON s.user_id = p.user_id WHERE page_index < 4 AND (stop IS NULL OR page_index <= stop))
+SELECT CAST(user_id AS VARCHAR) AS restaurant_id, page_index, n AS reviews FROM fetched""",
 )
 def page_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages up to the page limit and the first page without a token."""
-    fetched = S.fetched_pages(D.review_pages(spark, sf_dir), "restaurant_id", 6)
+    fetched = S.fetched_pages(D.review_pages(spark, sf_dir, stops=True), "restaurant_id", 4)
     items = S.page_items(fetched.filter(~F.col("source_failed")), S.REVIEW_LISTS)
     return items.groupBy("restaurant_id", "page_index").agg(F.count(F.lit(1)).alias("reviews"))
 
@@ -312,6 +315,38 @@ def place_import_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register(
+    "place_import_again",
+    over_domain(
+        *_ITEMS,
+        *_IMPORT,
+        select="""
+SELECT n AS imported, n AS imported_again, CAST(0 AS BIGINT) AS repeated_ids,
+  (SELECT count(*) FROM customer WHERE c_custkey % 3 = 0) + 2 * n AS places
+FROM (SELECT count(*) AS n FROM import_status WHERE status = 'imported')""",
+    ),
+)
+def place_import_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Import, rename what came in, import the same pages again: new places with ids of their own."""
+    stored = _stored_places(spark, sf_dir)
+    cleaned = I.clean_items(_items(spark, sf_dir), "NATION_7")
+    first = cut_lineage(I.import_places(cleaned, stored, D.as_of()).new_places)
+    known = stored.unionByName(first.withColumn("name", F.concat("name", F.lit(" renamed"))))
+    later = D.as_of() + F.expr("INTERVAL 1 DAY")
+    second = I.import_places(cleaned, known, later).new_places
+    marked = known.select("id", (F.col("created_at") == D.as_of()).alias("_first")).withColumn("_again", F.lit(False))
+    every = marked.unionByName(second.select("id", F.lit(False).alias("_first"), F.lit(True).alias("_again")))
+    per_id = every.groupBy("id").agg(
+        F.count_if("_first").alias("_first"), F.count_if("_again").alias("_again"), F.count(F.lit(1)).alias("_rows")
+    )
+    return per_id.agg(
+        F.sum("_first").alias("imported"),
+        F.sum("_again").alias("imported_again"),
+        F.count_if(F.col("_rows") > 1).alias("repeated_ids"),
+        F.sum("_rows").alias("places"),
+    )
+
+
 _AREA = """
 area AS (SELECT *, contains(address, 'NATION_7') AS kept FROM items)""", f"""
 area_first AS (
@@ -322,8 +357,7 @@ area_status AS (
     ELSE 'imported' END AS status,
     row_number() OVER (ORDER BY source_rank, page_index, pos) AS ordinal, count(*) OVER () AS total FROM area_first)""", """
 area_reviews AS (
-  SELECT count(*) AS n FROM area_status JOIN fetched ON fetched.user_id = k JOIN events e ON e.user_id = k
-    AND e.event_id // 1000 = fetched.page_index WHERE status = 'imported' AND k % 2 = 0)"""
+  SELECT count(*) AS n FROM area_status JOIN events e ON e.user_id = k WHERE status = 'imported' AND k % 2 = 0)"""
 
 
 def _area(spark: SparkSession, sf_dir: str) -> A.AreaImport:
@@ -336,7 +370,7 @@ def _area(spark: SparkSession, sf_dir: str) -> A.AreaImport:
         keep=lambda item: P.any_text_contains(item, "nation_7"),
         city="NATION_7",
         search_pages=ALL_PAGES,
-        pages_per_place=6,
+        pages_per_place=ALL_PAGES,
     )
 
 
@@ -418,10 +452,7 @@ def _batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = changed.select("restaurant_id", F.lit(0).alias("turn"), "event_id", "item")
     second = again.select("restaurant_id", F.lit(1).alias("turn"), "event_id", "item")
     rows = first.unionByName(second)
-    page = F.col("turn") * 1_000_000 + F.floor(F.col("event_id") / 1000)
-    return rows.select(
-        "restaurant_id", page.cast("int").alias("page_index"), (F.col("event_id") % 1000).cast("int").alias("pos"), "item"
-    )
+    return rows.select("restaurant_id", F.col("turn").alias("page_index"), F.col("event_id").alias("pos"), "item")
 
 
 def _upserted(spark: SparkSession, sf_dir: str) -> U.Upserted:
@@ -475,8 +506,7 @@ def review_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     over_domain(
         *_UPSERT,
         select="""
-SELECT restaurant_id, CAST(turn * 1000000 + event_id // 1000 AS INTEGER) AS page_index,
-  CAST(event_id % 1000 AS INTEGER) AS pos, status FROM judged""",
+SELECT restaurant_id, turn AS page_index, event_id AS pos, status FROM judged""",
     ),
 )
 def review_upsert_status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -548,12 +578,11 @@ def review_upsert_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     over_domain(
         *_REVIEW_PAGES,
         select="""
-SELECT CAST(f.user_id AS VARCHAR) AS restaurant_id, count(DISTINCT f.page_index) AS pages_fetched,
-  count(*) FILTER (e.event_id % 2 = 1) AS imported, CAST(0 AS BIGINT) AS updated,
-  count(*) FILTER (e.event_id % 2 = 0) AS skipped, CAST(0 AS BIGINT) AS rejected,
-  count(*) FILTER (e.event_id % 2 = 1) AS changed
-FROM fetched f JOIN events e ON e.user_id = f.user_id AND e.event_id // 1000 = f.page_index
-WHERE f.user_id % 2 = 0 OR f.user_id % 3 = 0 GROUP BY f.user_id""",
+SELECT CAST(user_id AS VARCHAR) AS restaurant_id, count(DISTINCT page_index) AS pages_fetched,
+  count(*) FILTER (event_id % 2 = 1) AS imported, CAST(0 AS BIGINT) AS updated,
+  count(*) FILTER (event_id % 2 = 0) AS skipped, CAST(0 AS BIGINT) AS rejected,
+  count(*) FILTER (event_id % 2 = 1) AS changed
+FROM paged JOIN places p ON p.id = CAST(user_id AS VARCHAR) WHERE user_id % 2 = 0 OR user_id % 3 = 0 GROUP BY user_id""",
     ),
 )
 def review_sync_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -563,7 +592,7 @@ def review_sync_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
         D.landed_review_pages(spark, sf_dir),
         _stored_reviews(spark, sf_dir),
         D.as_of(),
-        max_pages=6,
+        max_pages=ALL_PAGES,
     )
     return synced.stats
 
@@ -573,14 +602,9 @@ def review_sync_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     over_domain(
         *_REVIEW_PAGES,
         select="""
-SELECT CAST(f.user_id AS VARCHAR) AS restaurant_id, count(*) FILTER (e.event_id % 2 = 1) AS changed
-FROM fetched f JOIN events e ON e.user_id = f.user_id AND e.event_id // 1000 = f.page_index
-JOIN places p ON p.id = CAST(f.user_id AS VARCHAR) WHERE f.user_id % 2 = 0 AND p.city = 'NATION_7' GROUP BY f.user_id
-UNION ALL
-SELECT CAST(f.user_id AS VARCHAR), count(*) FILTER (e.event_id % 2 = 1)
-FROM fetched f JOIN events e ON e.user_id = f.user_id AND e.event_id // 1000 = f.page_index
-JOIN places p ON p.id = CAST(f.user_id AS VARCHAR)
-WHERE f.user_id % 2 = 1 AND f.user_id % 3 = 0 AND p.city = 'NATION_7' GROUP BY f.user_id""",
+SELECT CAST(user_id AS VARCHAR) AS restaurant_id, count(*) FILTER (event_id % 2 = 1) AS changed
+FROM paged JOIN places p ON p.id = CAST(user_id AS VARCHAR)
+WHERE (user_id % 2 = 0 OR user_id % 3 = 0) AND p.city = 'NATION_7' GROUP BY user_id""",
     ),
 )
 def review_sync_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -592,6 +616,6 @@ def review_sync_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
         D.landed_review_pages(spark, sf_dir),
         _stored_reviews(spark, sf_dir),
         D.as_of(),
-        max_pages=6,
+        max_pages=ALL_PAGES,
     )
     return synced.stats.select("restaurant_id", "changed")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from larder.functions.details import LINK_KEYS, link_parameter
 from larder.operators import contacts, favorites as fav
+from larder.operators.changes import Changed, toggle_favorites
 from larder.operators.profiles import place_profiles
 from larder.operators.reviews import ranked_reviews, unified_reviews
 from larder.operators.stats import review_stats
@@ -157,29 +158,53 @@ def favorite_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fav.favorite_flags(places, D.favorites(spark, sf_dir), "42")
 
 
+_TOGGLES = ("""
+asked AS (
+  SELECT event_id AS seq, json_extract_string(props, '$.k') AS actor,
+    CASE WHEN event_id % 5 = 0 THEN 'nowhere' ELSE CAST(user_id AS VARCHAR) END AS restaurant_id
+  FROM events WHERE event_type IN ('purchase', 'click') AND event_id % 3 <> 0)""", """
+judged AS (
+  SELECT a.*, CASE WHEN u.id IS NULL THEN 'unknown_actor' WHEN NOT u.is_active THEN 'inactive_actor'
+    WHEN p.id IS NULL THEN 'no_place' END AS reason
+  FROM asked a LEFT JOIN users u ON u.id = a.actor LEFT JOIN places p ON p.id = a.restaurant_id)""", """
+counted AS (SELECT actor, restaurant_id, count(*) AS n FROM judged WHERE reason IS NULL GROUP BY ALL)""")
+
+
+def _toggled(spark: SparkSession, sf_dir: str) -> Changed:
+    events = D.read(spark, sf_dir, "events").filter(
+        F.col("event_type").isin("purchase", "click") & (F.col("event_id") % 3 != 0)
+    )
+    asked = events.select(
+        F.col("event_id").alias("seq"),
+        F.get_json_object("props", "$.k").alias("actor_id"),
+        F.when(F.col("event_id") % 5 == 0, F.lit("nowhere")).otherwise(F.col("user_id").cast("string")).alias("restaurant_id"),
+    )
+    favorites = D.favorites(spark, sf_dir)
+    return toggle_favorites(asked, D.users(spark, sf_dir), D.places(spark, sf_dir), favorites, D.as_of())
+
+
+@register(
+    "favorite_toggle_outcome",
+    over_domain(*_TOGGLES, select="SELECT seq, reason IS NULL AS accepted, reason AS reject_reason FROM judged"),
+)
+def favorite_toggle_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on toggles of known and unknown actors and places."""
+    return _toggled(spark, sf_dir).outcomes
+
+
 @register(
     "favorite_toggle",
     over_domain(
-        """
-asked AS (SELECT json_extract_string(props, '$.k') AS user_id, CAST(user_id AS VARCHAR) AS restaurant_id,
-    count(*) AS n FROM events WHERE event_type IN ('purchase', 'click') AND event_id % 3 <> 0 GROUP BY ALL)""",
+        *_TOGGLES,
         select="""
-SELECT coalesce(f.user_id, a.user_id) AS user_id, coalesce(f.restaurant_id, a.restaurant_id) AS restaurant_id,
+SELECT coalesce(f.user_id, a.actor) AS user_id, coalesce(f.restaurant_id, a.restaurant_id) AS restaurant_id,
   CASE WHEN a.n IS NULL THEN f.created_at ELSE TIMESTAMP '2025-01-01' END AS created_at
-FROM favorites f FULL JOIN asked a ON a.user_id = f.user_id AND a.restaurant_id = f.restaurant_id
+FROM favorites f FULL JOIN counted a ON a.actor = f.user_id AND a.restaurant_id = f.restaurant_id
 WHERE (CASE WHEN f.user_id IS NULL THEN 0 ELSE 1 END + coalesce(a.n, 0)) % 2 = 1""",
     ),
 )
 def favorite_toggle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = D.read(spark, sf_dir, "events").filter(
-        F.col("event_type").isin("purchase", "click") & (F.col("event_id") % 3 != 0)
-    )
-    asked = events.select(
-        F.get_json_object("props", "$.k").alias("user_id"),
-        F.col("user_id").cast("string").alias("restaurant_id"),
-    )
-    after = fav.toggle_favorites(D.favorites(spark, sf_dir), asked, D.as_of())
-    return after.select("user_id", "restaurant_id", "created_at")
+    return _toggled(spark, sf_dir).table.select("user_id", "restaurant_id", "created_at")
 
 
 @register(

@@ -32,7 +32,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Job], Job]:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return _plain(job(spark, sf_dir))
 
-        run.__name__, run.__doc__ = job.__name__, job.__doc__
+        run.__name__, run.__doc__ = getattr(job, "__name__", name), job.__doc__
         QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
+from larder.staging import stage
+
 # Results depend on UTC; the rest lets Spark split hot join keys at run time.
 _RUNTIME = {
     "spark.sql.session.timeZone": "UTC",
@@ -39,12 +39,5 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the cluster's shared folder, so lost executors cost no rerun.
-
-    ``spark.checkpoint.dir`` names the folder; only where it is unset (tests) is one made.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="larder-checkpoint-"))
-    return df.checkpoint(eager=True)
+    """The frame as written to the cluster's shared folder, so lost executors cost no rerun and readers take what they need."""
+    return stage(df)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from larder import model
 from larder.functions.fingerprint import join_components
+from larder.operators.ordering import with_position
 from larder.session import configure
 
 AS_OF = "2025-01-01 00:00:00"
@@ -285,18 +286,22 @@ def review_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def review_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Review pages per place; the token is nested, flat, blank or missing."""
-    rows = review_items(spark, sf_dir).select(
+def review_pages(spark: SparkSession, sf_dir: str, stops: bool = False) -> DataFrame:
+    """Review pages of ten per place; the token is nested or flat and, with ``stops``, on some pages blank or missing."""
+    items = review_items(spark, sf_dir)
+    levels = [("thousand", F.floor(F.col("event_id") / 1000)), ("event", F.col("event_id"))]
+    placed = with_position(items, ["restaurant_id"], levels, [F.col("event_id")])
+    rows = placed.select(
         "restaurant_id",
-        F.floor(F.col("event_id") / 1000).cast("int").alias("page_index"),
+        F.floor((F.col("position") - 1) / 10).cast("int").alias("page_index"),
         F.col("event_id").alias("at"),
         "item",
     )
+    stop = F.lit(stops)
     turn = (F.col("restaurant_id").cast("long") + F.col("page_index")) % 9
     token = (
-        F.when(turn == 8, F.lit(',"next_page_token":"  "'))
-        .when(turn == 7, F.lit(""))
+        F.when(stop & (turn == 8), F.lit(',"next_page_token":"  "'))
+        .when(stop & (turn == 7), F.lit(""))
         .when(turn % 2 == 1, F.lit(',"next_page_token":"more"'))
         .otherwise(F.lit(',"serpapi_pagination":{"next_page_token":" more "}'))
     )

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from larder import model
 from larder.operators import changes as C
-from larder.operators.favorites import toggle_favorites
 from larder.operators.quality import quality_report
 
 T0 = datetime.datetime(2024, 1, 1)
@@ -205,9 +204,23 @@ def test_quality_report_finds_violations(spark, users, places):
     }
 
 
-def test_toggles(spark):
+def test_toggles(spark, users, places):
     now = [{"id": f"f{i}", "user_id": "1", "restaurant_id": str(i), "created_at": T0} for i in range(3)]
-    asked = spark.createDataFrame([("1", "0"), ("1", "1"), ("1", "1"), ("1", "5"), ("2", "0")], "user_id string, restaurant_id string")
-    after = toggle_favorites(frame(spark, "favorites", now), asked, as_of()).collect()
+    asked = [("1", "0"), ("1", "1"), ("1", "1"), ("1", "5"), ("2", "0"), ("nobody", "0"), ("9", "1"), ("1", "77")]
+    rows = spark.createDataFrame([(seq, *row) for seq, row in enumerate(asked)], "seq long, actor_id string, restaurant_id string")
+    favorites = frame(spark, "favorites", now)
+    result = C.toggle_favorites(rows, users, places, favorites, as_of())
+    after = result.table.collect()
     assert {(r.user_id, r.restaurant_id) for r in after} == {("1", "1"), ("1", "2"), ("1", "5"), ("2", "0")}
     assert {r.restaurant_id: r.id for r in after}["2"] == "f2"
+    reasons = {r.seq: r.reject_reason for r in result.outcomes.collect()}
+    assert reasons == {seq: None for seq in range(5)} | {5: "unknown_actor", 6: "inactive_actor", 7: "no_place"}
+    report = quality_report({"users": users, "places": places, "favorites": result.table})
+    assert report.filter("table_name = 'favorites' AND violations > 0").isEmpty()
+
+
+def test_long_email_is_rejected(spark, users):
+    asked = [(1, "someone", "a" * 250 + "@x.org", "x"), (2, "another", "a" * 249 + "@x.org", "x")]
+    rows = spark.createDataFrame(asked, "seq long, username string, email string, hashed_password string")
+    outcomes = {r.seq: r.reject_reason for r in C.register_users(rows, users, as_of()).outcomes.collect()}
+    assert outcomes == {1: "too_long", 2: None}

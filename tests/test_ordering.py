@@ -45,13 +45,6 @@ def test_position_in_groups(rows, hot):
     assert {r.id: r["at"] for r in got.collect()} == expected
 
 
-@pytest.mark.parametrize("hot", [3, 10**6])
-def test_position_in_whole_frame(rows, hot):
-    data, df = rows
-    expected = {row[2]: at for at, row in enumerate(sorted(data, key=key), 1)}
-    assert {r.id: r["at"] for r in with_position(df, [], levels(), order(), "at", hot).collect()} == expected
-
-
 @pytest.mark.parametrize("hot", [3, 10**6])
 def test_previous(rows, hot):
     data, df = rows

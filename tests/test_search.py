@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larder import model
-from larder.operators import ordering, search as S
+from larder.operators import search as S
 from larder.operators.profiles import place_profiles
 from larder.operators.reviews import ranked_reviews, unified_reviews
 from larder.operators.stats import combine_stats, review_stats, source_stats
@@ -125,9 +125,6 @@ def test_deep_pages_equal_top_k(spark, monkeypatch, sort):
     query = S.Query(sort=sort, limit=25, offset=37)
     plain = [tuple(r) for r in S.search_places(t, query).select("id", "average_rating").collect()]
     monkeypatch.setattr(S, "TOP_K_DEPTH", 0)
-    monkeypatch.setattr(
-        S, "with_position", lambda *args: ordering.with_position(*args, hot_rows=10)
-    )
     deep = [tuple(r) for r in S.search_places(t, query).select("id", "average_rating").collect()]
     assert deep == plain and len(deep) == 25
 
