@@ -226,8 +226,16 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, risk: float = 0.05, err
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, risk: float = 0.05, error: float = 0.05) -> DataFrame:
-    """The documents that pass, all columns as they were. Texts are read twice instead of being shuffled."""
-    columns = [F.col(f"_row.`{name}`").alias(name) for name in docs.columns]
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "lang", "text")
-    cutoffs = stage(choose_cutoffs(with_counts(rows.drop("_row")).drop("text"), labels, risk=risk, error=error))
-    return judge(with_counts(rows), cutoffs).filter("kept").select(*columns)
+    """The documents that pass, all columns as they were.
+
+    Counts are staged beside what they depend on, text and stratum; a filter on them would repeat the counting for each place
+    that mentions a count.
+    """
+    keys = {"_id": docs["doc_id"], "_in": docs["lang"], "_hash": F.xxhash64(docs["text"])}
+    rows = docs.select("doc_id", "lang", "text", keys["_hash"].alias("_hash"))
+    counted = stage(with_counts(rows).drop("text"))
+    cutoffs = stage(choose_cutoffs(counted, labels, risk=risk, error=error))
+    failed = judge(counted, cutoffs).filter("NOT kept").select(F.col("doc_id").alias("_id"), F.col("lang").alias("_in"), "_hash")
+    gone = stage(failed.distinct())
+    same = [column.eqNullSafe(gone[name]) for name, column in keys.items()]
+    return docs.join(gone, same[0] & same[1] & same[2], "left_anti")
