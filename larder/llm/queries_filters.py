@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from larder.llm import language
-from larder.llm.licences import scan_licences
+from larder.llm import check_sql, language
+from larder.llm.licences import TEMPLATES, bigrams, normalised, scan_licences
 from larder.llm.quality import quality_verdicts
 from larder.llm.registry import register, table
-from larder.llm.url_filters import domain_rule, judge_urls
+from larder.llm.url_filters import PATTERNS, domain_rule, judge_urls
 
 URL_RULES = [
     domain_rule("allow", "org"),
@@ -19,21 +19,24 @@ URL_RULES = [
 ]
 
 
-@register("op2_url_filters")
+@register("op2_url_filters", check_sql.url_filters([*URL_RULES, *PATTERNS]))
 def url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's URL."""
     judged = judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict", "pattern")
 
 
-@register("op4_licence_scan")
+_TEMPLATES = {name: bigrams(normalised(text)) for name, text in TEMPLATES.items()}
+
+
+@register("op4_licence_scan", check_sql.licence_scan(_TEMPLATES))
 def licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence notices in every whole text."""
     scanned = scan_licences(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return scanned.select("doc_id", "licence", F.col("dice"), F.array_join("licences", ", ").alias("licences"))
 
 
-@register("op7_quality_rules")
+@register("op7_quality_rules", check_sql.quality_rules())
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document."""
     judged = quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
