@@ -8,6 +8,7 @@ from larder.operators.ordering import hot_groups, mark_hot, with_position
 from larder.operators.reviews import ranked_reviews, sort_key, unified_reviews
 from larder.operators.search import Tables
 from larder.operators.stats import review_stats
+from larder.sources.tables import by_ids
 
 PART_ROWS = 10_000
 
@@ -46,12 +47,22 @@ def _gather(rows: DataFrame, order: list[Column], fields: list[str], name: str)
     return rows.groupBy("restaurant_id", "part").agg(listed.alias(name))
 
 
-def place_profiles(tables: Tables, part_rows: int = PART_ROWS) -> DataFrame:
-    """One row per place and part.
+def place_profiles(
+    tables: Tables, part_rows: int = PART_ROWS, ids: list[str] | DataFrame | None = None
+) -> DataFrame:
+    """One row per place and part; of the places with the given ``ids`` only, where there are any.
 
+    The ids reach all four scans, so a few profiles cost no more than their rows.
     A place with at most ``part_rows`` dishes and reviews is one row with part 0. A larger one continues in
     parts 1, 2, ... in order, so nothing is cut off and no array grows without bound.
     """
+    if ids is not None:
+        tables = Tables(
+            by_ids(tables.places, ids),
+            by_ids(tables.menu_items, ids, "restaurant_id"),
+            by_ids(tables.user_reviews, ids, "restaurant_id"),
+            by_ids(tables.ext_reviews, ids, "restaurant_id"),
+        )
     reviews = unified_reviews(tables.ext_reviews, tables.user_reviews)
     menu = tables.menu_items.withColumn("price", F.col("price").cast("double"))
 

@@ -13,6 +13,7 @@ from larder.operators.stats import review_stats
 from larder.plans.oracle import SHOWN, over_domain
 from larder.plans.registry import domain, register
 from larder.sources import testdata as D
+from larder.sources.tables import by_ids
 
 _AVERAGE = SHOWN.format("rating_sum", "rated_count")
 _UNIFIED = """
@@ -82,7 +83,7 @@ LEFT JOIN edges e ON e.restaurant_id = p.id""",
 )
 def profiles_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Figures taken from the nested profiles, parts of a large place added up."""
-    parts = place_profiles(domain(spark, sf_dir))
+    parts = place_profiles(domain(spark, sf_dir, text=True))
     cents = F.aggregate(
         "menu_items",
         F.lit(0).cast("decimal(20,2)"),
@@ -107,13 +108,14 @@ def profiles_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     over_domain(
         _UNIFIED,
         _RANKED,
-        select="SELECT restaurant_id, position, id AS review_id, source, rating, created_at FROM ranked",
+        select="SELECT restaurant_id, position, id AS review_id, source, rating, created_at, md5(comment) AS comment_md5 "
+        "FROM ranked",
     ),
 )
 def profile_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The review arrays of the nested profiles, element by element."""
     part_rows = 1_000
-    parts = place_profiles(domain(spark, sf_dir), part_rows)
+    parts = place_profiles(domain(spark, sf_dir, text=True), part_rows)
     listed = parts.select(
         F.col("id").alias("restaurant_id"), "part", F.posexplode("reviews").alias("at", "review")
     )
@@ -124,7 +126,57 @@ def profile_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
         "review.source",
         "review.rating",
         "review.created_at",
+        F.md5("review.comment").alias("comment_md5"),
+    )
+
+
+_CHOSEN = ["1", "2", "3", "50", "51", "none"]
+
+
+@register(
+    "place_profile_by_id",
+    over_domain(
+        _UNIFIED,
+        select=f"""
+SELECT p.id, p.name, {_AVERAGE} AS average_rating, coalesce(s.review_count, 0) AS review_count,
+  (SELECT count(*) FROM unified r WHERE r.restaurant_id = p.id) AS listed_reviews,
+  (SELECT CAST(coalesce(sum(length(r.comment)), 0) AS BIGINT) FROM unified r WHERE r.restaurant_id = p.id) AS comment_chars,
+  (SELECT count(*) FROM menu_items m WHERE m.restaurant_id = p.id) AS menu_size
+FROM places p LEFT JOIN stats s ON s.restaurant_id = p.id WHERE p.id IN ('1', '2', '3', '50', '51')""",
+    ),
+)
+def profile_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles of given places: only their rows are read."""
+    parts = place_profiles(domain(spark, sf_dir, text=True), ids=_CHOSEN)
+    chars = F.aggregate(
+        "reviews", F.lit(0).cast("long"), lambda total, r: total + F.coalesce(F.length(r["comment"]), F.lit(0))
     )
+    return parts.groupBy("id", "name", "average_rating", "review_count").agg(
+        F.sum(F.size("reviews")).alias("listed_reviews"),
+        F.sum(chars).alias("comment_chars"),
+        F.sum(F.size("menu_items")).alias("menu_size"),
+    )
+
+
+@register(
+    "favorite_places_of_user",
+    over_domain(
+        select=f"""
+SELECT f.restaurant_id, p.name, p.city, {_AVERAGE} AS average_rating, coalesce(s.review_count, 0) AS review_count
+FROM favorites f JOIN places p ON p.id = f.restaurant_id LEFT JOIN stats s ON s.restaurant_id = p.id
+WHERE f.user_id = '42'"""
+    ),
+)
+def favorite_places_of_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The places one user has saved, with their statistics; reviews of other places are not read."""
+    t = domain(spark, sf_dir)
+    mine = fav.favorites_of(D.favorites(spark, sf_dir), "42")
+    keys = mine.select("restaurant_id")
+    near = [by_ids(table, keys, "restaurant_id") for table in (t.ext_reviews, t.user_reviews)]
+    stats = review_stats(*near).select(F.col("restaurant_id").alias("id"), "average_rating", "review_count")
+    rows = by_ids(t.places, keys).select("id", "name", "city").join(stats, "id", "left")
+    rows = rows.withColumn("review_count", F.coalesce("review_count", F.lit(0).cast("long")))
+    return fav.favorite_places(mine, rows).drop("user_id")
 
 
 @register(
