@@ -11,8 +11,8 @@ Equal sets are one class before anything else, found by an aggregate; only the c
 nobody is compared with everybody. Each bucket first hangs its classes under its least one; verified links are merged to
 components, and a bucket whose classes are one component is done, as further links would change nothing. In the buckets still
 open, a class can only have a link to another component if enough of its shingles occur in another component: with s shared
-shingles, sizes n and m and the limit t, similarity t needs s >= t / (1 + t) * (n + m). That is exact and comes from aggregates. What
-remains is tried against the class that shares most. What is open even then is compared block by block inside the tasks, so that no
+shingles, sizes n and m and the limit t, similarity t needs s >= t * n and s >= t / (1 + t) * (n + m). That is exact and comes from
+aggregates. What remains is tried against the class that shares most. What is open even then is compared block by block inside the tasks, so that no
 link is lost.
 
 Defined results: a null or empty text has no shingles and no links; rows that share an id count as one document, whatever
@@ -158,12 +158,9 @@ def _with_bound(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         .select("shingle")
     )
     shared = stage(spread.join(across, "shingle").groupBy("id").agg(F.count(F.lit(1)).alias("shared")))
-    known = rows.join(shared, "id")
-    for _ in range(2):
-        least = known.groupBy("key").agg(F.min("n").alias("_least"))
-        enough = F.col("shared") * (100 + percent) >= percent * (F.col("n") + F.col("_least"))
-        known = _open(known.join(least, "key").filter(enough).drop("_least"))
-    return stage(known)
+    # a link shares at least so much of either set
+    enough = (rows["id"] == shared["id"]) & (shared["shared"] * 100 >= percent * rows["n"])
+    return stage(_open(rows.join(shared, enough).select(*[rows[name] for name in rows.columns], "shared")))
 
 
 def _links_of_blocks(rows: pa.Table, percent: int) -> pa.Table:
@@ -202,8 +199,12 @@ def _within_groups(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     pivots = rest.groupBy("key").agg(F.min("id").alias("pivot"))
     groups = components(rest.join(pivots, "key").select("pivot", "id").distinct(), "pivot", "id")
     groups = stage(groups.select(F.col("node").alias("id"), F.col("component").alias("group")))
-    numbers = groups.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / _BLOCK_DOCUMENTS).alias("blocks"))
-    placed = rest.select("id", "component", "n").distinct().join(groups, "id").join(numbers, "group")
+    known = rest.select("id", "component", "n", "shared").distinct().join(groups, "id")
+    least = known.groupBy("group").agg(F.min("n").alias("_least"))
+    enough = F.col("shared") * (100 + percent) >= percent * (F.col("n") + F.col("_least"))
+    fitting = stage(known.join(least, "group").filter(enough).drop("_least", "shared"))
+    numbers = fitting.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / _BLOCK_DOCUMENTS).alias("blocks"))
+    placed = fitting.join(numbers, "group")
     mine = placed.withColumn("_block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     spread = mine.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     keyed = spread.select(
