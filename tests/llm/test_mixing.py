@@ -165,6 +165,34 @@ def test_counts_merge_in_rounds(spark, monkeypatch):
     assert len(merged) == 2 and all((found[p] == sum(tables) * p).all() for p in (1, 2))
 
 
+def test_counts_pass_32_bits(spark):
+    """Sums beyond 2^31 stay sums, through two rounds, and their log odds have the right sign and size."""
+    code = C.Code([b"a", b"b"], np.ones(C._FIRST_WORD + 2))
+    table = np.zeros(2 * code.nodes, np.int32)
+    table[0:4] = [2**31 - 1, 5, 2**31 - 1, 2**31 - 1]
+    rows = [(0, t, zlib.compress(table.tobytes())) for t in range(40)]
+    merged = C._merged(spark.createDataFrame(rows, "piece int, task long, counts binary")).collect()
+    tables = C.Tables({r.piece: bytes(r.counts) for r in merged}, code, C.Mixing(table_bits=8))
+    assert len(merged) == 1 and tables.counts[0][:2].tolist() == [[40 * (2**31 - 1), 200], [40 * (2**31 - 1)] * 2]
+    assert tables.packed[0][0] >> 1 == round(math.log(200.4 / (40 * (2**31 - 1))) / C._STEP) and tables.packed[0][1] == 1
+    full = np.full(1, 2**31 - 1, np.int32)
+    assert C.Tables._packed(full, full).tolist() == [1]
+
+
+def test_full_tables_are_given_away(spark, monkeypatch):
+    """A task that gives its tables away many times counts what it would have counted in one piece."""
+    code = C.Code([b"a", b"b"], np.ones(C._FIRST_WORD + 2))
+    mixing = C.Mixing(table_bits=8)
+    docs = spark.createDataFrame([(f"a b q{k} " * 40,) for k in range(200)], "text string").coalesce(1)
+    whole = {r.piece: bytes(r.counts) for r in C._merged(C._gather(docs, code, mixing)).collect()}
+    monkeypatch.setattr(C, "_FULL", 10_000)
+    assert C._gather(docs, code, mixing).count() > len(whole)
+    parts = C._merged(C._gather(docs, code, mixing)).collect()
+    assert len(parts) == len(whole)
+    for r in parts:
+        assert (C._unzipped(bytes(r.counts)) == C._unzipped(whole[r.piece])).all()
+
+
 def test_blocks_see_only_what_comes_before():
     """A document's score up to some place does not depend on what follows it."""
     code = C.Code([b"a", b"b"], np.ones(C._FIRST_WORD + 2))
