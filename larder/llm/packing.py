@@ -6,7 +6,8 @@ The plan is made from the histogram of piece lengths, which has at most ``capaci
    of a group counts as the group's largest.
 2. For these few sizes the best mix of configurations (multisets of sizes that fit one sequence) is found by column
    generation on the linear program; the multiplicities are rounded down.
-3. Real pieces take the places of the rounded ones, which only frees space. What rounding down left over joins the rest.
+3. Real pieces take the places of the rounded ones, which only frees space: each place takes the largest piece left that leaves
+   the places after it their groups' sizes. What rounding down left over joins the rest.
 4. All other lengths, in descending order, go to the fullest sequence they fit, else to a new one.
 
 Sequences that look alike are handled together, so the plan is a list of runs: so many pieces of one length, from one rank
@@ -21,7 +22,8 @@ columns are not read.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -151,56 +153,79 @@ class _Free:
         return space, first, n
 
 
-def make_plan(histogram: dict[int, int], capacity: int, groups: tuple[int, ...] = (0, 32, 96), large: float = 1 / 6) -> Plan:
-    """The runs for so many pieces of each length: the plan with the fewest sequences over several numbers of groups.
-
-    Without groups, all lengths are left to best fit, so the plan is never worse than that.
-    """
+def make_plan(histogram: dict[int, int], capacity: int, groups: tuple[int, ...] = (32, 96), large: float = 1 / 6) -> Plan:
+    """The runs for so many pieces of each length: the plan with the fewest sequences over several numbers of groups."""
     plans = [_grouped_plan(histogram, capacity, n, large) for n in groups]
     return min(plans, key=lambda plan: plan.sequences)
 
 
 def _grouped_plan(histogram: dict[int, int], capacity: int, groups: int, large: float) -> Plan:
     plan, free = Plan(capacity), _Free()
-    big = {length: n for length, n in histogram.items() if groups and capacity * large < length < capacity}
+    big = {length: n for length, n in histogram.items() if capacity * large < length < capacity}
     rest = {length: n for length, n in histogram.items() if length not in big}
-    cut = equal_groups(big, groups) if big else []
-    merged: dict[int, list[list[int]]] = {}
-    for group in cut:  # groups that begin with one length are of one size
-        merged.setdefault(group[0][0], []).extend(group)
-    sizes, queues = list(merged), list(merged.values())
-    demands = [sum(n for _, n in queue) for queue in queues]
-    for column, n in best_configurations(sizes, demands, capacity):
-        _fill(plan, free, column, n, queues)
-    for queue in queues:
-        for length, n in queue:
-            if n:
-                rest[length] = rest.get(length, 0) + n
+    demands: dict[int, int] = {}
+    for group in equal_groups(big, groups) if big else []:  # groups that begin with one length are of one size
+        demands[group[0][0]] = demands.get(group[0][0], 0) + sum(n for _, n in group)
+    sizes, left = list(demands), _Left(big)
+    found = [
+        ([size for size, times in zip(sizes, column) for _ in range(times)], n)
+        for column, n in best_configurations(sizes, list(demands.values()), capacity)
+    ]
+    for slots, n in sorted(found, reverse=True):  # the largest pieces first, as best fit has them
+        _fill(plan, free, slots, n, left)
+    rest |= left.counts
     for length in sorted(rest, reverse=True):
         _best_fit(plan, free, length, rest[length])
     return plan
 
 
-def _fill(plan: Plan, free: _Free, column: list[int], n: int, queues: list[list[list[int]]]) -> None:
-    """``n`` sequences of one configuration, with the next real pieces of each group."""
-    slots = [i for i, times in enumerate(column) for _ in range(times)]
+class _Left:
+    """Lengths of pieces that have no place yet, and their counts."""
+
+    def __init__(self, counts: dict[int, int]) -> None:
+        self.counts = dict(counts)
+        self._lengths = sorted(counts)
+
+    def largest(self, room: int, used: Counter) -> int | None:
+        """The largest length up to ``room``, without the ``used`` pieces."""
+        at = bisect_right(self._lengths, room)
+        while at and used[self._lengths[at - 1]] == self.counts[self._lengths[at - 1]]:
+            at -= 1
+        return self._lengths[at - 1] if at else None
+
+    def take(self, length: int, n: int) -> None:
+        self.counts[length] -= n
+        if not self.counts[length]:
+            del self.counts[length]
+            self._lengths.remove(length)
+
+
+def _fill(plan: Plan, free: _Free, slots: list[int], n: int, left: _Left) -> None:
+    """``n`` sequences of one configuration with places of these sizes, in descending order, as long as there is a piece for each.
+
+    A gap behind the last place takes the largest pieces that fit, so that fewer sequences are needed than the rounded sizes ask for.
+    """
     while n:
-        alike = n
-        for i in set(slots):
-            while queues[i][0][1] == 0:
-                queues[i].pop(0)
-            times = column[i]
-            alike = min(alike, queues[i][0][1] // times) if queues[i][0][1] >= times else 1
-            alike = max(alike, 1)
+        chosen, room, later, used = [], plan.capacity, sum(slots), Counter()
+        for size in slots:
+            later -= size
+            length = left.largest(room - later, used)
+            if length is None:
+                return
+            chosen.append(length)
+            room -= length
+            used[length] += 1
+        while (length := left.largest(room, used)) is not None:
+            chosen.append(length)
+            room -= length
+            used[length] += 1
+        alike = min(n, *(left.counts[length] // times for length, times in used.items()))
         first, offset = plan.open(alike), 0
-        for i in slots:
-            while queues[i][0][1] == 0:
-                queues[i].pop(0)
-            length = queues[i][0][0]
-            queues[i][0][1] -= alike
+        for length in chosen:
+            left.take(length, alike)
             plan.place(length, first, offset, alike)
             offset += length
-        free.add(plan.capacity - offset, first, alike)
+        free.add(room, first, alike)
         n -= alike
 
 
@@ -287,7 +312,7 @@ def pack(
     tokenizer: str,
     capacity: int = 4096,
     end_id: int = 1,
-    groups: tuple[int, ...] = (0, 32, 96),
+    groups: tuple[int, ...] = (32, 96),
     id_column: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:

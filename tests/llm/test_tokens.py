@@ -65,6 +65,18 @@ def test_plans_place_everything_without_gaps(case):
     assert plan.sequences <= len(free)
 
 
+@pytest.mark.parametrize("case", [0, 1, 2])
+def test_plans_come_from_groups(case):
+    """Best fit is a yardstick alone: the plan is made of configurations, also where best fit needs as few sequences."""
+    wanted = histogram(case)
+    plain, free = P.Plan(4096), P._Free()
+    for length in sorted(wanted, reverse=True):
+        P._best_fit(plain, free, length, wanted[length])
+    plan = P.make_plan(wanted, 4096)
+    assert plan.runs != plain.runs
+    assert plan.sequences <= plain.sequences
+
+
 def test_plan_of_nothing_and_groups_of_equal_cardinality():
     assert P.make_plan({}, 4096).sequences == 0
     groups = P.equal_groups({10: 5, 20: 1, 30: 7}, 4)
