@@ -6,8 +6,8 @@ distance of what is written follows the edit distance of the texts. A fingerprin
 steps the same 32 steps, each as four bits of the character. Texts of any length thus share their early octaves, and the likeness of two
 fingerprints weighs each sample by the steps it stands for.
 
-For a search, groups of sampled characters are bucket keys (bands), and what shares a bucket is verified by the likeness of the
-fingerprints and by the edit distance of the texts themselves.
+For a search, groups of sampled characters are bucket keys (bands), and what shares a bucket is verified by the edit distance of the texts
+themselves.
 
 Defined results: a null text counts as an empty one, whose fingerprint is empty; rows that share an id follow each other
 by the hash of their text; rows without an id come first; a table of one row has itself as the next document; an empty table
@@ -242,18 +242,22 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
 
 
 def band_keys(fingerprint: str, bands: int = 12, rows: int = 6) -> F.Column:
-    """Bucket keys of a fingerprint column: each is made of ``rows`` sampled digits from its later half, where most steps lie."""
+    """Bucket keys of a fingerprint column: each is made of ``rows`` sampled digits from its later half, where most steps lie.
+
+    A text has the keys of its last octave and of the one before it, so that texts whose walks end in neighbouring octaves
+    share those of the shorter one.
+    """
     rng = np.random.default_rng(_SEED + 2)
-    length = F.length(fingerprint)
-    octaves = F.ceil(length / _PER_OCTAVE)
+    octaves = F.greatest(F.ceil(F.length(fingerprint) / _PER_OCTAVE), F.lit(1))
     keys = []
     for band in range(bands):
         back = rng.choice(3 * _PER_OCTAVE, rows, replace=False)
-        # places count back from the last whole octave, so that texts of like length share them
-        start = (octaves - 1) * _PER_OCTAVE
-        digits = [F.substring(fingerprint, (F.greatest(start - int(b), F.lit(1))).cast("int"), F.lit(1)) for b in back]
-        keys.append(F.xxhash64(F.lit(band), octaves, *digits))
-    return F.array(*keys)
+        for last in (octaves, F.greatest(octaves - 1, F.lit(1))):
+            # places count back from the last whole octave, so that texts of like length share them
+            start = F.greatest((last - 1) * _PER_OCTAVE, F.lit(_PER_OCTAVE))
+            digits = [F.substring(fingerprint, (start - F.lit(int(b)) % start).cast("int"), F.lit(1)) for b in back]
+            keys.append(F.xxhash64(F.lit(band), last, *digits))
+    return F.array_distinct(F.array(*keys))
 
 
 def near_texts(
@@ -273,10 +277,9 @@ def near_texts(
             one, other = batch.column(1).to_pylist(), batch.column(3).to_pylist()
             both = from_text(one + other)
             found = likeness(both[: len(one)], both[len(one) :])
-            kept = pa.RecordBatch.from_arrays(
+            yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(found)], names=["query_id", "doc_id", "likeness"]
             )
-            yield kept.filter(pa.array(found >= limit / 2))
 
     likely = pairs.select("query_id", "_one", "doc_id", "_other").mapInArrow(alike, "query_id long, doc_id long, likeness double")
     texts = queries.select(F.col("id").alias("query_id"), F.col("text").alias("_text"))

@@ -177,3 +177,26 @@ def test_near_texts_finds_edited_texts(spark):
     found = {(r.query_id, r.doc_id) for r in E.near_texts(queries, docs).collect()}
     wanted = {(q, q + 100 if q < 100 else q - 100) for q in [0, 20, 100, 120]}
     assert found <= wanted and len(found) >= 0.75 * len(wanted)
+
+
+def searched(spark, pairs, **bands):
+    """Share of pairs of texts that a search finds, and how many of them end in different octaves."""
+    rows = [(2 * k + side, text) for k, pair in enumerate(pairs) for side, text in enumerate(pair)]
+    prints = E.as_text(E._nibbles(E.walk([text for _, text in rows])))
+    docs = spark.createDataFrame([(*row, found) for row, found in zip(rows, prints)], "id long, text string, fingerprint string")
+    found = {(r.query_id, r.doc_id) for r in E.near_texts(docs.filter("id % 2 = 0"), docs, **bands).collect()}
+    across = sum(-(-len(prints[k]) // 32) != -(-len(prints[k + 1]) // 32) for k in range(0, len(prints), 2))
+    return sum((2 * k, 2 * k + 1) in found for k in range(len(pairs))) / len(pairs), across
+
+
+def test_near_texts_across_octaves(spark):
+    texts = [" ".join(odd.words(300 + k, 20 + 11 * k)) for k in range(60)]
+    share, across = searched(spark, [(text, text + " " + text[: len(text) // 5]) for text in texts])
+    assert across >= 5 and share == 1
+
+
+def test_near_texts_with_edits_all_over(spark):
+    """What shares a bucket is judged by the edit distance alone, however unlike the fingerprints are."""
+    texts = [" ".join(odd.words(500 + k, 200)) for k in range(30)]
+    pairs = [(text, "".join("#" if i % 6 == 3 else c for i, c in enumerate(text))) for text in texts]
+    assert searched(spark, pairs, bands=64, rows=2)[0] >= 0.9
