@@ -4,7 +4,7 @@ from importlib import import_module
 
 from larder.llm.registry import ORACLES, QUERIES
 
-for _module in ("queries_filters", "queries_dedup", "queries_tokens", "queries_mixing"):
+for _module in ("queries_filters", "queries_dedup", "queries_tokens", "queries_mixing", "queries_counts"):
     import_module(f"larder.llm.{_module}")
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -121,3 +121,57 @@ ended AS (
   SELECT doc_id, max(dice) AS dice, string_agg(name, ', ' ORDER BY name) AS licences,
     arg_min(name, (-dice, name)) AS licence FROM best GROUP BY doc_id)
 SELECT doc_id, licence, dice, coalesce(licences, '') AS licences FROM documents LEFT JOIN ended USING (doc_id)"""
+
+
+FILTER_AUDIT = rf"""
+WITH split AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '{_WHITE}'), lambda x: x <> '') AS w FROM documents),
+least AS (SELECT t, min(doc_id) AS least FROM split GROUP BY t),
+known AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+sets AS (
+  SELECT part, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w),
+      100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t), regexp_matches(t, '[#$%&*|]'),
+      coalesce(doc_id > least, false)] AS f,
+    count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+  FROM split JOIN least USING (t) LEFT JOIN known USING (doc_id) GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (
+  SELECT filter_order, step, ascii(substr(filter_order, step, 1)) - 64 AS k,
+    list_transform(range(1, step), lambda i: ascii(substr(filter_order, CAST(i AS INTEGER), 1)) - 64) AS earlier
+  FROM orders CROSS JOIN (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS step)),
+judged AS (
+  SELECT part, filter_order, step, k, n, good, toxic, f[k] AS fails, len(list_filter(earlier, lambda i: f[i])) > 0 AS gone,
+    len(list_filter(f, lambda x: x)) = 1 AS single FROM sets CROSS JOIN steps),
+summed AS (
+  SELECT part, filter_order, step, k, sum(n) FILTER (NOT fails AND NOT gone) AS kept, sum(n) FILTER (fails AND NOT gone) AS removed,
+    sum(n) FILTER (fails AND gone) AS redundant, sum(n) FILTER (fails AND single) AS unique_fails,
+    sum(good) FILTER (fails AND NOT gone) AS good_lost, sum(toxic) FILTER (fails AND NOT gone) AS toxic_lost
+  FROM judged GROUP BY ALL)
+SELECT part, filter_order, step, {", ".join(f"CAST(coalesce({name}, 0) AS BIGINT) AS {name}" for name in
+    ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost"))},
+  CAST(coalesce(sum(removed) OVER (PARTITION BY part, k), 0) AS BIGINT) AS shapley
+FROM summed"""
+
+RANKED_SEARCH = r"""
+WITH words AS (
+  SELECT row_number() OVER () AS row, doc_id,
+    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w
+  FROM documents),
+held AS (SELECT row, doc_id, CAST(len(w) AS BIGINT) AS n, unnest(w) AS term FROM words WHERE len(w) > 0),
+total AS (SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM words WHERE len(w) > 0),
+postings AS (SELECT row, doc_id, n, term, CAST(count(*) AS BIGINT) AS tf FROM held GROUP BY ALL),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * t.n + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w FROM postings, total t GROUP BY term, t.n),
+wanted AS (
+  SELECT item_id, term, count(*) AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[0-9a-z\x{80}-\x{10FFFF}]+')) AS term FROM benchmark) GROUP BY ALL),
+scored AS (
+  SELECT item_id, row, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * p.n * t.n) // t.l)))) AS BIGINT) AS score
+  FROM wanted JOIN postings p USING (term) JOIN weights USING (term) CROSS JOIN total t GROUP BY item_id, row, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, row) AS INTEGER) AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 10"""

@@ -22,6 +22,6 @@ def test_equals_sql(spark, connection, name):
 def test_one_query_per_operator():
     names = entry_points.queries()
     assert "pipeline" in names
-    for number in range(1, 11):
+    for number in range(1, 14):
         assert sum(name.startswith(f"op{number}_") for name in names) == 1
     assert set(entry_points.oracle_sql()) <= set(names)
