@@ -15,6 +15,7 @@ from larder import model
 from larder.functions.ids import stable_id
 from larder.functions.text import clean_email
 from larder.operators import favorites as pairs
+from larder.operators.feed import feed_rows, image, no_image
 from larder.operators.ordering import first_wins, flag
 from larder.session import cut_lineage
 
@@ -28,8 +29,11 @@ _EMAIL = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
 
 @dataclass(frozen=True)
 class Changed:
+    """``outcomes``: a verdict per request; ``table``: the new state; ``feed``: changed reviews (see ``feed.py``), None for other tables."""
+
     outcomes: DataFrame
     table: DataFrame
+    feed: DataFrame | None = None
 
 
 def _first_reason(*rules: tuple[Column, str]) -> Column:
@@ -123,7 +127,8 @@ def create_reviews(
         as_of.alias("created_at"),
         as_of.alias("updated_at"),
     )
-    return Changed(_verdicts(final), reviews.unionByName(model.conform(rows, model.USER_REVIEWS)))
+    table = reviews.unionByName(model.conform(rows, model.USER_REVIEWS))
+    return Changed(_verdicts(final), table, feed_rows(rows, "id", no_image(), image("restaurant_id", "rating")))
 
 
 def create_favorites(
@@ -229,6 +234,7 @@ def update_reviews(requests: DataFrame, users: DataFrame, reviews: DataFrame, as
     old = reviews.select(
         "id",
         F.col("user_id").alias("_owner"),
+        F.col("restaurant_id").alias("_at"),
         *[F.col(name).alias(f"_old_{name}") for name in REVIEW_FIELDS],
     )
     known = _with_actor(requests, users).join(old, "id", "left")
@@ -247,7 +253,15 @@ def update_reviews(requests: DataFrame, users: DataFrame, reviews: DataFrame, as
         ),
     )
     good = judged.filter(F.col("reject_reason").isNull())
-    return Changed(_verdicts(judged), _apply_updates(reviews, good, REVIEW_FIELDS, as_of))
+    named = F.map_contains_key("changes", F.lit("rating"))
+    last = good.groupBy("id").agg(
+        F.max(F.when(named, F.struct("seq", rating.try_cast("int").alias("value")))).alias("_set"),
+        F.max("_at").alias("_at"),
+        F.max("_old_rating").alias("_old"),
+    )
+    new = F.when(F.col("_set").isNotNull(), F.col("_set.value")).otherwise(F.col("_old"))
+    feed = feed_rows(last, "id", image("_at", "_old"), image("_at", new))
+    return Changed(_verdicts(judged), _apply_updates(reviews, good, REVIEW_FIELDS, as_of), feed)
 
 
 # --- deletes ---------------------------------------------------------------------------------------------------
@@ -268,7 +282,8 @@ def _delete_once(judged: DataFrame) -> DataFrame:
 
 
 def _delete_owned(requests: DataFrame, users: DataFrame, table: DataFrame) -> Changed:
-    owners = table.select("id", F.col("user_id").alias("_owner"))
+    rating = F.col("rating") if "rating" in table.columns else F.lit(None)
+    owners = table.select("id", F.col("user_id").alias("_owner"), image("restaurant_id", rating).alias("_image"))
     known = _with_actor(requests, users).join(owners, "id", "left")
     judged = known.withColumns(
         {
@@ -282,8 +297,9 @@ def _delete_owned(requests: DataFrame, users: DataFrame, table: DataFrame) -> Ch
         }
     )
     final = _delete_once(judged)
-    deleted = final.filter(F.col("reject_reason").isNull()).select("id")
-    return Changed(_verdicts(final), table.join(deleted, "id", "left_anti").select(*table.columns))
+    deleted = final.filter(F.col("reject_reason").isNull()).select("id", "_image")
+    feed = feed_rows(deleted, "id", F.col("_image"), no_image()) if "rating" in table.columns else None
+    return Changed(_verdicts(final), table.join(deleted.select("id"), "id", "left_anti").select(*table.columns), feed)
 
 
 def delete_reviews(requests: DataFrame, users: DataFrame, reviews: DataFrame) -> Changed:
@@ -297,11 +313,12 @@ def delete_favorites(requests: DataFrame, users: DataFrame, favorites: DataFrame
 
 @dataclass(frozen=True)
 class Cascade:
-    """``removed``: (table_name, removed) per table; ``tables``: the new states."""
+    """``removed``: (table_name, removed) per table; ``tables``: the new states; ``gone``: (id) of the deleted places."""
 
     outcomes: DataFrame
     removed: DataFrame
     tables: dict[str, DataFrame]
+    gone: DataFrame
 
 
 def delete_places(requests: DataFrame, users: DataFrame, tables: dict[str, DataFrame]) -> Cascade:
@@ -335,7 +352,7 @@ def delete_places(requests: DataFrame, users: DataFrame, tables: dict[str, DataF
             )
         )
         after[name] = table.join(keys, key, "left_anti").select(*table.columns)
-    return Cascade(_verdicts(final), reduce(DataFrame.unionByName, counts), after)
+    return Cascade(_verdicts(final), reduce(DataFrame.unionByName, counts), after, gone)
 
 
 def toggle_favorites(

@@ -1,8 +1,7 @@
 """Order-dependent steps that stay exact when one group holds a large part of all rows.
 
-A plain window sends a whole group to one task. Here a group above ``hot_rows`` is cut along
-order-preserving levels (day, then id prefix, ...). Each piece is numbered alone and shifted by the number
-of rows in the pieces before it, which comes from counts aggregated before any shuffle.
+A plain window sends a whole group to one task. Here the rows of groups above ``hot_rows`` are dealt to tasks by ranges of the order
+instead, numbered there, and shifted by the number of rows in the tasks before.
 """
 
 from __future__ import annotations
@@ -11,15 +10,13 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from larder.operators.numbering import numbered
+from larder.session import cut_lineage
+
 HOT_ROWS = 1_000_000
 _MAX_LOCAL_KEYS = 10_000
 
 
-def _same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
-    pairs = [left[name].eqNullSafe(right[name]) for name in names]
-    return reduce(lambda a, b: a & b, pairs, F.lit(True))
-
-
 def hot_groups(df: DataFrame, keys: list[str], hot_rows: int) -> DataFrame | None:
     """Keys with more than ``hot_rows`` rows, or None where there are none.
 
@@ -48,91 +45,30 @@ def mark_hot(df: DataFrame, keys: list[str], hot: DataFrame | None) -> DataFrame
     return joined.withColumn("_hot", F.coalesce("_hot", F.lit(False)))
 
 
-def _shift(rows: DataFrame, keys: list[str], levels: list[str]) -> DataFrame:
-    """Rows per piece turned into the number of rows in the pieces before it, inside each group."""
-    pieces = rows.groupBy(*keys, *levels).agg(F.count(F.lit(1)).alias("_n"))
-    shifted = pieces.select(*keys, *levels)
-    for depth, inner in enumerate(levels):
-        parent = keys + levels[:depth]
-        siblings = pieces.groupBy(*parent, inner).agg(F.sum("_n").alias("_n"))
-        earlier = (
-            Window.partitionBy(*parent).orderBy(inner).rowsBetween(Window.unboundedPreceding, -1)
-        )
-        here = siblings.select(
-            *parent, inner, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias(f"_before{depth}")
-        )
-        shifted = shifted.join(here, parent + [inner])
-    total = reduce(lambda a, b: a + b, [F.col(f"_before{depth}") for depth in range(len(levels))])
-    return shifted.select(*keys, *levels, total.alias("_before"))
-
-
 def with_position(
-    df: DataFrame,
-    keys: list[str],
-    levels: list[tuple[str, Column]],
-    order: list[Column],
-    name: str = "position",
-    hot_rows: int = HOT_ROWS,
+    df: DataFrame, keys: list[str], order: list[Column], name: str = "position", hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """1-based position of every row in its group; ``numbering.numbered`` does the same for a whole frame.
 
-    ``order`` must be a total order. ``levels`` are (name, column) pairs, never NULL, coarse to fine, such
-    that sorting by them in turn never contradicts ``order``.
+    ``order`` must be a total order. Rows of hot groups are numbered as one frame, by ranges of keys and order, and their
+    group's first number is taken off.
     """
     hot = hot_groups(df, keys, hot_rows)
+    plain = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long")
     if hot is None:
-        return df.withColumn(
-            name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long")
-        )
+        return df.withColumn(name, plain)
     rows = mark_hot(df, keys, hot)
-    rows, labels = _cut_into_pieces(rows, keys, levels, hot_rows)
-    numbered = rows.withColumn(
-        "_within", F.row_number().over(Window.partitionBy(*keys, *labels).orderBy(*order))
-    )
-    before = _shift(rows.filter("_split"), keys, labels)
-    renamed = before.select(
-        *[F.col(column).alias(f"_b{column}") for column in keys + labels], "_before"
-    )
-    match = reduce(
-        lambda a, b: a & b,
-        [numbered[column].eqNullSafe(renamed[f"_b{column}"]) for column in keys + labels],
-    )
-    joined = numbered.join(renamed, match, "left")
-    placed = joined.withColumn(name, (F.col("_within") + F.coalesce("_before", F.lit(0))).cast("long"))
-    return placed.select(*df.columns, name)
-
-
-def _cut_into_pieces(
-    rows: DataFrame, keys: list[str], levels: list[tuple[str, Column]], hot_rows: int
-) -> tuple[DataFrame, list[str]]:
-    """Label rows of hot groups with their piece, one level at a time, as long as a piece is still too large.
-
-    A label is an array of one value, or of none where no cut is needed, so that it is never NULL. ``_split`` keeps
-    which rows belong to a hot group at all.
-    """
-    rows, labels = rows.withColumn("_split", F.col("_hot")), []
-    for label, column in levels:
-        piece = F.array(column)
-        labels.append(f"_level_{label}")
-        rows = rows.withColumn(
-            labels[-1], F.when(F.col("_hot"), piece).otherwise(F.slice(piece, 1, 0))
-        )
-        if len(labels) == len(levels):
-            break
-        still = hot_groups(rows.filter("_hot"), keys + labels, hot_rows)
-        if still is None:
-            break
-        rows = mark_hot(rows.drop("_hot"), keys + labels, still)
-    return rows, labels
+    small = rows.filter(~F.col("_hot")).drop("_hot").withColumn(name, plain)
+    placed = numbered(rows.filter("_hot").drop("_hot"), [*[F.col(key).asc() for key in keys], *order], name)
+    first = placed.groupBy(*keys).agg(F.min(name).alias("_first"))
+    renamed = first.select(*[F.col(key).alias(f"_first_{key}") for key in keys], "_first")
+    match = reduce(lambda a, b: a & b, [placed[key].eqNullSafe(renamed[f"_first_{key}"]) for key in keys])
+    joined = placed.join(renamed, match).withColumn(name, F.col(name) - F.col("_first") + 1)
+    return small.unionByName(joined.select(*df.columns, name))
 
 
 def with_previous(
-    df: DataFrame,
-    keys: list[str],
-    levels: list[tuple[str, Column]],
-    order: list[Column],
-    column: str,
-    hot_rows: int = HOT_ROWS,
+    df: DataFrame, keys: list[str], order: list[Column], column: str, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Add ``previous`` (``column`` of the row before in its group), ``is_first`` and ``is_last``."""
     if hot_groups(df, keys, hot_rows) is None:
@@ -144,7 +80,7 @@ def with_previous(
                 "is_last": F.lead(F.lit(True)).over(window).isNull(),
             }
         )
-    placed = with_position(df, keys, levels, order, "_at", hot_rows)
+    placed = cut_lineage(with_position(df, keys, order, "_at", hot_rows))
     last = placed.groupBy(*keys).agg(F.max("_at").alias("_last"))
     ends = last.select(*keys, F.col("_last").alias("_at"), F.lit(True).alias("_is_last"))
     before = placed.select(

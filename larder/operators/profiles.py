@@ -1,16 +1,29 @@
-"""Nested place profiles: the place, its statistics, its menu and its reviews."""
+"""Nested place profiles: the place, its statistics, its menu and its reviews.
+
+A profile has one head row per place (``profile_heads``) and parts with the key (place, part), which hold its dishes and then its reviews, in
+order (``profile_parts``). All rows of all places are sorted by ranges of place and order; a running sum of their bytes, taken
+inside each task and shifted by what the place has in earlier tasks, says in which part a row lies. A part starts where the sum passes a
+multiple of ``part_bytes``, so it holds at most that many bytes and the rest of one row, whatever the size of the place, and which
+rows share a part depends on the place alone. A place of a third of all rows costs each task its share.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from larder.operators.ordering import hot_groups, mark_hot, with_position
-from larder.operators.reviews import ranked_reviews, sort_key, unified_reviews
+from larder.operators.reviews import sort_key, unified_reviews
 from larder.operators.search import Tables
 from larder.operators.stats import review_stats
+from larder.session import cut_lineage
 from larder.sources.tables import by_ids
 
-PART_ROWS = 10_000
+PART_BYTES = 1 << 20
+#: What a row counts for besides its texts.
+ROW_BYTES = 64
+#: ``monotonically_increasing_id`` keeps the task above this bit.
+_TASK_BIT = 33
 
 _MENU = ["id", "name", "price", "category", "description", "created_at", "updated_at"]
 _REVIEW = [
@@ -27,34 +40,80 @@ _REVIEW = [
 ]
 
 
-def _split(rows: DataFrame, number, part_rows: int) -> DataFrame:
-    """Add ``part``: 0 for places of up to ``part_rows`` rows, consecutive slices for larger ones."""
-    hot = hot_groups(rows, ["restaurant_id"], part_rows)
-    if hot is None:
-        return rows.withColumn("part", F.lit(0).cast("long"))
-    marked = mark_hot(rows, ["restaurant_id"], hot)
-    small = marked.filter(~F.col("_hot")).drop("_hot").withColumn("part", F.lit(0).cast("long"))
-    sliced = number(marked.filter("_hot").drop("_hot")).withColumn(
-        "part", F.floor((F.col("position") - 1) / part_rows)
+def _nested(df: DataFrame, fields: list[str], order: list[Column], name: str, other: str, kind: T.DataType, rank: int) -> DataFrame:
+    """Rows as (restaurant_id, rank, key, bytes, ``name``, ``other``); ``key`` is the text-sortable order inside the place."""
+    texts = [f.name for f in df.schema.fields if f.name in fields and isinstance(f.dataType, T.StringType)]
+    size = reduce(lambda a, b: a + b, [F.coalesce(F.octet_length(text), F.lit(0)) for text in texts], F.lit(ROW_BYTES))
+    keys = [key.alias(f"k{i}") for i, key in enumerate(order)]
+    return df.select(
+        "restaurant_id",
+        F.lit(rank).alias("rank"),
+        F.struct(*keys).alias("key"),
+        size.cast("long").alias("bytes"),
+        F.struct(*fields).alias(name),
+        F.lit(None).cast(kind).alias(other),
     )
-    return small.unionByName(sliced.drop("position"))
 
 
-def _gather(rows: DataFrame, order: list[Column], fields: list[str], name: str) -> DataFrame:
-    """One sorted array per place and part; an array never exceeds the part size."""
-    keyed = F.struct(*[key.alias(f"k{i}") for i, key in enumerate(order)], F.struct(*fields).alias("row"))
-    listed = F.transform(F.array_sort(F.collect_list(keyed)), lambda item: item["row"])
-    return rows.groupBy("restaurant_id", "part").agg(listed.alias(name))
+def _rows(tables: Tables) -> DataFrame:
+    """Dishes by id, then reviews newest first, as one frame."""
+    menu = tables.menu_items.withColumn("price", F.col("price").cast("double"))
+    reviews = unified_reviews(tables.ext_reviews, tables.user_reviews)
+    dish, review = menu.select(F.struct(*_MENU).alias("x")).schema[0].dataType, reviews.select(F.struct(*_REVIEW).alias("x")).schema[0].dataType
+    first = [F.lit(0).cast("long"), F.lit(0), F.col("id"), F.coalesce("name", F.lit(""))]
+    second = [*sort_key(), F.lit("")]
+    dishes = _nested(menu, _MENU, first, "dish", "review", review, 0)
+    listed = _nested(reviews, _REVIEW, second, "review", "dish", dish, 1)
+    return dishes.unionByName(listed)
+
+
+def profile_parts(tables: Tables, part_bytes: int = PART_BYTES) -> DataFrame:
+    """(restaurant_id, part, menu_items, reviews): parts 0, 1, ... of every place that has rows, none of them empty but for gaps
+    that a single row larger than a part leaves in the numbers."""
+    order = ["restaurant_id", "rank", "key"]
+    ordered = _rows(tables).repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = cut_lineage(ordered.select("restaurant_id", "bytes", "dish", "review", F.monotonically_increasing_id().alias("place")))
+    task = F.shiftright("place", _TASK_BIT).alias("task")
+    sums = placed.groupBy(task, "restaurant_id").agg(F.sum("bytes").alias("held"))
+    # only places that go on from one task to the next have anything before: two per task at most
+    several = sums.groupBy("restaurant_id").agg(F.min("task").alias("low"), F.max("task").alias("high")).filter("low < high")
+    earlier = Window.partitionBy("restaurant_id").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    shared = sums.join(several.select("restaurant_id"), "restaurant_id")
+    before = shared.select("restaurant_id", "task", F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("before"))
+    running = Window.partitionBy("task", "restaurant_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    summed = placed.withColumn("task", task).withColumn("running", F.coalesce(F.sum("bytes").over(running), F.lit(0)))
+    offset = F.col("running") + F.coalesce("before", F.lit(0))
+    parted = summed.join(F.broadcast(before), ["task", "restaurant_id"], "left").withColumn("part", F.floor(offset / part_bytes))
+
+    def listed(name: str) -> Column:
+        """In order; a list holds only rows that have the column."""
+        found = F.collect_list(F.when(F.col(name).isNotNull(), F.struct("place", name)))
+        return F.transform(F.array_sort(found), lambda item: item[name])
+
+    return parted.groupBy("restaurant_id", "part").agg(listed("dish").alias("menu_items"), listed("review").alias("reviews"))
+
+
+def profile_heads(tables: Tables) -> DataFrame:
+    """One row per place: its own columns, with ``rating`` and ``review_count`` computed, and ``average_rating``."""
+    stats = review_stats(tables.ext_reviews, tables.user_reviews).select(
+        F.col("restaurant_id").alias("id"), "average_rating", F.col("review_count").alias("_reviews")
+    )
+    joined = tables.places.drop("rating", "review_count").join(stats, "id", "left")
+    return joined.select(
+        *[c for c in tables.places.columns if c not in ("rating", "review_count")],
+        F.col("average_rating").alias("rating"),
+        "average_rating",
+        F.coalesce("_reviews", F.lit(0).cast("long")).alias("review_count"),
+    )
 
 
 def place_profiles(
-    tables: Tables, part_rows: int = PART_ROWS, ids: list[str] | DataFrame | None = None
+    tables: Tables, part_bytes: int = PART_BYTES, ids: list[str] | DataFrame | None = None
 ) -> DataFrame:
-    """One row per place and part; of the places with the given ``ids`` only, where there are any.
+    """Heads and parts as one frame with the key (id, part); of the places with the given ``ids`` only, where there are any.
 
-    The ids reach all four scans, so a few profiles cost no more than their rows.
-    A place with at most ``part_rows`` dishes and reviews is one row with part 0. A larger one continues in
-    parts 1, 2, ... in order, so nothing is cut off and no array grows without bound.
+    Every place has a part 0, with empty arrays where it has no dishes and no reviews. The ids reach all four scans, so a few profiles
+    cost no more than their rows.
     """
     if ids is not None:
         tables = Tables(
@@ -63,32 +122,10 @@ def place_profiles(
             by_ids(tables.user_reviews, ids, "restaurant_id"),
             by_ids(tables.ext_reviews, ids, "restaurant_id"),
         )
-    reviews = unified_reviews(tables.ext_reviews, tables.user_reviews)
-    menu = tables.menu_items.withColumn("price", F.col("price").cast("double"))
-
-    def number_menu(rows: DataFrame) -> DataFrame:
-        by_prefix = [(f"id{n}", F.substring("id", 1, n)) for n in (3, 6)]
-        total_order = [F.col("id"), F.col("name"), F.col("price"), F.xxhash64(*_MENU)]
-        return with_position(rows, ["restaurant_id"], by_prefix, total_order, "position", part_rows)
-
-    review_parts = _gather(
-        _split(reviews, lambda rows: ranked_reviews(rows, part_rows), part_rows),
-        sort_key(),
-        _REVIEW,
-        "reviews",
-    )
-    menu_parts = _gather(_split(menu, number_menu, part_rows), [F.col("id")], _MENU, "menu_items")
-    parts = menu_parts.join(review_parts, ["restaurant_id", "part"], "full")
-    stats = review_stats(tables.ext_reviews, tables.user_reviews).select(
-        F.col("restaurant_id").alias("id"), "average_rating", F.col("review_count").alias("_reviews")
-    )
-    head = tables.places.drop("rating", "review_count").join(stats, "id", "left")
+    head, parts = profile_heads(tables), profile_parts(tables, part_bytes)
     joined = head.join(parts, head["id"] == parts["restaurant_id"], "left")
     return joined.select(
-        *[c for c in tables.places.columns if c not in ("rating", "review_count")],
-        F.col("average_rating").alias("rating"),
-        "average_rating",
-        F.coalesce("_reviews", F.lit(0).cast("long")).alias("review_count"),
+        *head.columns,
         F.coalesce("part", F.lit(0).cast("long")).alias("part"),
         F.coalesce("menu_items", F.array().cast(parts.schema["menu_items"].dataType)).alias("menu_items"),
         F.coalesce("reviews", F.array().cast(parts.schema["reviews"].dataType)).alias("reviews"),

@@ -73,18 +73,6 @@ def sort_key() -> list[Column]:
     return [latest_first, F.when(F.col("source") == EXTERNAL, 0).otherwise(1), F.col("id")]
 
 
-def _levels() -> list[tuple[str, Column]]:
-    """Day, second, microsecond, source and id prefix: each follows ``sort_key``."""
-    micros = F.coalesce(-F.unix_micros("sort_ts"), F.lit(2**63 - 1))
-    return [
-        ("day", F.floor(micros / F.lit(86_400_000_000))),
-        ("second", F.floor(micros / F.lit(1_000_000))),
-        ("micros", micros),
-        ("source", F.when(F.col("source") == EXTERNAL, 0).otherwise(1)),
-        ("id", F.substring("id", 1, 4)),
-    ]
-
-
 def ranked_reviews(reviews: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Add ``position``, 1 for the first review shown at a place."""
-    return with_position(reviews, ["restaurant_id"], _levels(), sort_key(), "position", hot_rows)
+    return with_position(reviews, ["restaurant_id"], sort_key(), "position", hot_rows)

@@ -7,15 +7,19 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, functions as F
 
 from larder.functions.text import search_pattern
-from larder.operators.numbering import numbered
 from larder.operators.ordering import flag
+from larder.operators.selection import page_rows
 from larder.operators.stats import review_stats
+from larder.operators.text_index import TextIndex, build_text_index, places_with_text, searchable_texts
+from larder.session import cut_lineage
 from larder.sources.tables import by_ids
 
 SORTS = ("name", "rating", "created_at")
 DEFAULT_LIMIT, MAX_LIMIT = 20, 100
-# Up to this depth a page is a bounded top-k; deeper ones come from positions in the whole order.
+# Up to this depth a page is a bounded top-k; deeper ones are selected range by range.
 TOP_K_DEPTH = 500
+# Up to so many matches, only their reviews are aggregated.
+FEW_PLACES = 100_000
 
 _OWN_TEXT = ["name", "description", "city", "district", "category"]
 _LIST_COLUMNS = [
@@ -91,7 +95,18 @@ def _ids_with_text(tables: Tables, pattern: str) -> DataFrame:
     return hits[0].unionByName(hits[1]).unionByName(hits[2]).distinct()
 
 
-def _filtered(tables: Tables, query: Query) -> DataFrame:
+def build_index(tables: Tables, path: str) -> TextIndex:
+    """The trigram index over all texts that a search looks at."""
+    columns = {
+        "places": (tables.places, "id", _OWN_TEXT),
+        "menu_items": (tables.menu_items, "restaurant_id", ["name"]),
+        "user_reviews": (tables.user_reviews, "restaurant_id", ["comment"]),
+        "ext_reviews": (tables.ext_reviews, "restaurant_id", ["review_text"]),
+    }
+    return build_text_index(searchable_texts(columns), path)
+
+
+def _filtered(tables: Tables, query: Query, index: TextIndex | None = None) -> DataFrame:
     """Places that pass every filter but the rating."""
     df = tables.places
     if query.city is not None:
@@ -103,6 +118,9 @@ def _filtered(tables: Tables, query: Query) -> DataFrame:
         keys = serving.select(F.col("restaurant_id").alias("id")).distinct()
         df = df.join(keys, "id", "left_semi")
     pattern = search_pattern(query.search)
+    indexed = places_with_text(index, pattern) if index is not None and pattern is not None else None
+    if indexed is not None:
+        return df.join(indexed.withColumnRenamed("restaurant_id", "id"), "id", "left_semi")
     if pattern is not None:
         mentioned = _ids_with_text(tables, pattern).withColumnRenamed("restaurant_id", "id")
         own = F.lit(False)
@@ -135,48 +153,64 @@ def _order(sort: str) -> list[Column]:
     return first + [F.col("id").asc()]
 
 
-def matching_places(tables: Tables, query: Query) -> DataFrame:
-    """All matches with their statistics, unsorted and unpaged."""
-    df = _with_stats(_filtered(tables, query), tables)
+def _ascending(sort: str) -> list[Column]:
+    """The same order as keys that ascend."""
+    newest = -F.unix_micros("created_at")
+    average = F.col("average_exact")
+    first = {"name": [F.col("name")], "rating": [average.isNull(), -average], "created_at": []}[sort]
+    return [*first, newest, F.col("id")]
+
+
+def matching_places(tables: Tables, query: Query, index: TextIndex | None = None) -> DataFrame:
+    """All matches with their statistics, unsorted and unpaged.
+
+    Where the filters leave few places, only the reviews of these are aggregated.
+    """
+    df = _filtered(tables, query, index)
+    if any(x is not None for x in (query.city, query.district, query.category, search_pattern(query.search))):
+        df = cut_lineage(df)
+        if df.count() <= FEW_PLACES:
+            keys = F.broadcast(df.select(F.col("id").alias("restaurant_id")))
+            near = {
+                name: getattr(tables, name).join(keys, "restaurant_id", "left_semi") for name in ("user_reviews", "ext_reviews")
+            }
+            tables = replace(tables, **near)
+    df = _with_stats(df, tables)
     if query.minimum_rating is not None:
         df = df.filter(F.col("average_exact") >= F.lit(float(query.minimum_rating)))
     return df
 
 
-def search_total(tables: Tables, query: Query) -> DataFrame:
+def search_total(tables: Tables, query: Query, index: TextIndex | None = None) -> DataFrame:
     """One row with the number of matches. Statistics are read only where the rating filters."""
     rated = query.minimum_rating is not None
-    df = matching_places(tables, query) if rated else _filtered(tables, query)
+    df = matching_places(tables, query, index) if rated else _filtered(tables, query, index)
     return df.agg(F.count(F.lit(1)).alias("total"))
 
 
-def _cut_page(df: DataFrame, query: Query) -> DataFrame:
-    order = _order(query.sort)
-    if query.offset + query.limit <= TOP_K_DEPTH:
-        return df.orderBy(*order).offset(query.offset).limit(query.limit)
-    placed = numbered(df, order, "_at")
-    wanted = F.col("_at").between(query.offset + 1, query.offset + query.limit)
-    return placed.filter(wanted).drop("_at")
-
-
-def search_places(tables: Tables, query: Query) -> DataFrame:
+def search_places(tables: Tables, query: Query, index: TextIndex | None = None) -> DataFrame:
     """One page. ``rating`` and ``average_rating`` both hold the computed value.
 
-    Where neither the filter nor the order needs ratings, the page is cut first. Its rows (at most
-    ``MAX_LIMIT``) are fetched, and only their reviews are read: the ids reach the scan as a filter.
+    The page is cut from narrow rows, which hold statistics only where ratings filter or sort. Its ids (at most ``MAX_LIMIT``)
+    are fetched; with them the places, and the reviews where statistics are missing, are read by a pushed-down filter.
     """
-    if query.minimum_rating is None and query.sort != "rating":
-        page = _cut_page(_filtered(tables, query), query)
-        rows = page.collect()
-        ids = [row["id"] for row in rows]
+    rated = query.minimum_rating is not None or query.sort == "rating"
+    found = matching_places(tables, query, index) if rated else _filtered(tables, query, index)
+    figures = ["average_exact", "average_rating", "review_count"] if rated else []
+    narrow = found.select("id", "name", "created_at", *figures)
+    rows = page_rows(narrow, _ascending(query.sort), query.offset, query.limit, TOP_K_DEPTH)
+    ids = [row["id"] for row in rows]
+    df = by_ids(tables.places, ids)
+    if rated:
+        stats = df.sparkSession.createDataFrame(rows, narrow.schema).select("id", *figures)
+        df = df.drop("rating", "review_count").join(F.broadcast(stats), "id")
+    else:
         near = replace(
             tables,
             user_reviews=by_ids(tables.user_reviews, ids, "restaurant_id"),
             ext_reviews=by_ids(tables.ext_reviews, ids, "restaurant_id"),
         )
-        df = _with_stats(page.sparkSession.createDataFrame(rows, page.schema), near)
-    else:
-        df = _cut_page(matching_places(tables, query), query)
+        df = _with_stats(df, near)
     shown = df.withColumn("rating", F.col("average_rating"))
     return shown.orderBy(*_order(query.sort)).select(*_LIST_COLUMNS)
 

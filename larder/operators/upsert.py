@@ -3,14 +3,13 @@
 A review is known by its provider id or else by its fingerprint. Rows act in page order: each one meets the
 state that the rows before it left. Nearly all identities are plain (one fingerprint, or one provider id with
 fingerprints of its own); these are settled with aggregates and joins. The rest, where the result depends on how
-ids and fingerprints alternate, is replayed in order, one small connected component at a time.
+ids and fingerprints alternate, is settled in rounds (``operators/tangled.py``).
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from larder import model
@@ -20,7 +19,9 @@ from larder.functions.ids import stable_id
 from larder.functions.text import nonblank
 from larder.operators.contacts import sync_targets
 from larder.operators.components import components
+from larder.operators.feed import feed_rows, image
 from larder.operators.ordering import HOT_ROWS, with_previous
+from larder.operators.tangled import replay
 from larder.session import cut_lineage
 from larder.sources.pages import REVIEW_LISTS, fetched_pages, page_items
 
@@ -64,13 +65,14 @@ def _narrow(reviews: DataFrame, extra: list[str]) -> DataFrame:
         *extra,
         F.coalesce(known, F.lit("")).alias("pid"),
         "review_hash",
+        "rating",
         state_digest().alias("digest"),
     )
 
 
 def _stored_by(stored: DataFrame, key: str, prefix: str) -> DataFrame:
     """One stored row per key, as a struct named ``prefix``."""
-    fields = F.struct("id", "digest", "pid", "review_hash", "created_at")
+    fields = F.struct("id", "digest", "pid", "review_hash", "created_at", "rating")
     usable = stored.filter(F.col(key) != "")
     return usable.groupBy("restaurant_id", key).agg(F.max(fields).alias(prefix))
 
@@ -158,77 +160,6 @@ def _identities(rows: DataFrame, stored: DataFrame) -> DataFrame:
     )
 
 
-_REPLAYED = (
-    "restaurant_id string, page_index int, pos long, digest string, label string, "
-    "stored_id string, stored_digest string, stored_created timestamp, status string, "
-    "reject_reason string, is_last boolean"
-)
-
-
-def _replay(rows: pd.DataFrame) -> pd.DataFrame:
-    """Tangled rows of one component in page order, against the states that earlier rows left."""
-    rows = rows.sort_values(["page_index", "pos"]).reset_index(drop=True)
-    objects: dict[str, dict] = {}
-    by_pid: dict[str, str] = {}
-    by_hash: dict[str, str] = {}
-    for row in rows.itertuples():
-        for side, table, key in (("p", by_pid, row.pid), ("h", by_hash, row.review_hash)):
-            stored_id = getattr(row, f"{side}_id")
-            if stored_id is not None and key:
-                table[key] = stored_id
-                objects.setdefault(
-                    stored_id,
-                    {
-                        "digest": getattr(row, f"{side}_digest"),
-                        "first": getattr(row, f"{side}_digest"),
-                        "pid": getattr(row, f"{side}_pid"),
-                        "hash": getattr(row, f"{side}_hash"),
-                        "created": getattr(row, f"{side}_created"),
-                        "stored": stored_id,
-                        "last": None,
-                    },
-                )
-    names, statuses = [], []
-    for row in rows.itertuples():
-        name = by_pid.get(row.pid) if row.pid else None
-        name = name or by_hash.get(row.review_hash)
-        if name is None:
-            name, status = f"n{row.page_index}:{row.pos}", "imported"
-            objects[name] = {"first": None, "created": None, "stored": None}
-        else:
-            status = "skipped" if objects[name]["digest"] == row.digest else "updated"
-        objects[name]["last"] = row.Index
-        if status != "skipped":
-            objects[name].update(digest=row.digest, pid=row.pid, hash=row.review_hash)
-            by_hash[row.review_hash] = name
-            if row.pid:
-                by_pid[row.pid] = name
-        names.append(name)
-        statuses.append(status)
-    # Two rows of the table would share a provider id or a fingerprint: nothing of the component is applied.
-    owners: dict[tuple, str] = {}
-    broken = False
-    for name, state in objects.items():
-        for key in (("h", state["hash"]), ("p", state["pid"])):
-            broken |= bool(key[1]) and owners.setdefault(key, name) != name
-    owner = [objects[name] for name in names]
-    return pd.DataFrame(
-        {
-            "restaurant_id": rows["restaurant_id"],
-            "page_index": rows["page_index"],
-            "pos": rows["pos"],
-            "digest": rows["digest"],
-            "label": names,
-            "stored_id": [state["stored"] for state in owner],
-            "stored_digest": [state["first"] for state in owner],
-            "stored_created": pd.Series([state["created"] for state in owner], dtype="datetime64[ns]"),
-            "status": ["rejected"] * len(rows) if broken else statuses,
-            "reject_reason": ["key_conflict" if broken else None] * len(rows),
-            "is_last": [not broken and state["last"] == at for at, state in enumerate(owner)],
-        }
-    )
-
-
 def _components(edges: DataFrame) -> DataFrame:
     """Add ``component`` to tangled pairs: those linked by a fingerprint, a provider id or a stored row share it."""
 
@@ -249,41 +180,36 @@ def _components(edges: DataFrame) -> DataFrame:
     return named.join(components(links, "one", "other"), "node").select(*_EDGE, "component")
 
 
-def _replay_tangled(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Replay component by component. One component acts in sequence; all of them run side by side."""
-    grouped = rows.join(_components(pairs), _EDGE)
-    flat = grouped.select(
+def _replay_tangled(rows: DataFrame, pairs: DataFrame, hot_rows: int) -> DataFrame:
+    """Verdicts of tangled rows; a conflict rejects what is linked with it."""
+    linked = rows.join(_components(pairs).withColumnRenamed("component", "linked"), _EDGE)
+    names = [*SEQUENCE, "pid", "review_hash", "digest", "at_pid", "at_hash", "linked"]
+    return _settled(replay(linked.select(*names), hot_rows).withColumnRenamed("stored", "target"))
+
+
+def _settled(judged: DataFrame) -> DataFrame:
+    """The columns that all verdicts share, with the stored row ``target`` taken apart."""
+    return judged.select(
         *SEQUENCE,
-        "component",
-        "pid",
-        "review_hash",
         "digest",
-        *[
-            F.col(f"{column}.{name}").alias(f"{side}_{short}")
-            for side, column in (("p", "at_pid"), ("h", "at_hash"))
-            for name, short in (
-                ("id", "id"),
-                ("digest", "digest"),
-                ("pid", "pid"),
-                ("review_hash", "hash"),
-                ("created_at", "created"),
-            )
-        ],
+        "label",
+        F.col("target.id").alias("stored_id"),
+        F.col("target.digest").alias("stored_digest"),
+        F.col("target.created_at").alias("stored_created"),
+        F.col("target.rating").alias("stored_rating"),
+        "status",
+        "reject_reason",
+        "is_last",
     )
-    return flat.groupBy("restaurant_id", "component").applyInPandas(_none_for_missing, _REPLAYED)
-
-
-def _none_for_missing(rows: pd.DataFrame) -> pd.DataFrame:
-    plain = rows.astype(object)
-    return _replay(plain.where(plain.notna(), None))
 
 
 @dataclass(frozen=True)
 class Upserted:
-    """``outcomes``: one row per incoming review with ``status`` and ``reject_reason``; ``table``: the new state."""
+    """``outcomes``: one row per incoming review with ``status`` and ``reject_reason``; ``table``: the new state; ``feed``: what changed."""
 
     outcomes: DataFrame
     table: DataFrame
+    feed: DataFrame
 
 
 def upsert_reviews(
@@ -304,7 +230,6 @@ def upsert_reviews(
     plain = with_previous(
         matched.filter(F.col("label").isNotNull()).select(*SEQUENCE, "digest", "label", "target"),
         ["restaurant_id", "label"],
-        [("page", F.col("page_index")), ("pos", F.floor(F.col("pos") / 1000))],
         [F.col("page_index"), F.col("pos")],
         "digest",
         hot_rows,
@@ -315,28 +240,22 @@ def upsert_reviews(
         .when(before == F.col("digest"), "skipped")
         .otherwise("updated")
     )
-    settled = plain.select(
-        *SEQUENCE,
-        "digest",
-        "label",
-        F.col("target.id").alias("stored_id"),
-        F.col("target.digest").alias("stored_digest"),
-        F.col("target.created_at").alias("stored_created"),
-        status.alias("status"),
-        F.lit(None).cast("string").alias("reject_reason"),
-        "is_last",
-    )
+    settled = _settled(plain.withColumns({"status": status, "reject_reason": F.lit(None).cast("string")}))
     tangled = identities.filter(F.col("label").isNull())
     judged = settled
     if not tangled.isEmpty():
-        replayed = _replay_tangled(matched.filter(F.col("label").isNull()), tangled)
+        replayed = _replay_tangled(matched.filter(F.col("label").isNull()).drop("label"), tangled, hot_rows)
         judged = settled.unionByName(replayed)
     changed = judged.filter(
         F.col("is_last") & (F.col("stored_id").isNull() | (F.col("stored_digest") != F.col("digest")))
     )
+    new_id = F.coalesce("stored_id", stable_id(F.col("restaurant_id"), F.col("label"), as_of))
+    before = F.when(F.col("stored_id").isNotNull(), image("restaurant_id", "stored_rating"))
+    ratings = rows.select(*SEQUENCE, "rating")
+    feed = feed_rows(changed.join(ratings, SEQUENCE), new_id, before, image("restaurant_id", "rating"))
     written = incoming.join(changed.drop("digest"), SEQUENCE).withColumns(
         {
-            "id": F.coalesce("stored_id", stable_id(F.col("restaurant_id"), F.col("label"), as_of)),
+            "id": new_id,
             "created_at": F.coalesce("stored_created", as_of),
             "updated_at": as_of,
         }
@@ -344,7 +263,7 @@ def upsert_reviews(
     replaced = changed.filter(F.col("stored_id").isNotNull()).select(F.col("stored_id").alias("id"))
     kept = stored.join(replaced, "id", "left_anti")
     table = model.conform(kept, model.EXT_REVIEWS).unionByName(model.conform(written, model.EXT_REVIEWS))
-    return Upserted(judged.select(*SEQUENCE, "status", "reject_reason"), table)
+    return Upserted(judged.select(*SEQUENCE, "status", "reject_reason"), table, feed)
 
 
 def sync_stats(outcomes: DataFrame, pages: DataFrame | None = None) -> DataFrame:

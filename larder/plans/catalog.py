@@ -4,7 +4,7 @@ from importlib import import_module
 
 from larder.plans.registry import ORACLES, QUERIES
 
-for _module in ("finding", "reading", "loading", "changing"):
+for _module in ("finding", "reading", "loading", "changing", "tangling", "following"):
     import_module(f"larder.plans.{_module}")
 
 __all__ = ["ORACLES", "QUERIES"]

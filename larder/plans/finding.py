@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -10,6 +10,7 @@ from larder.operators import search as S, stats
 from larder.plans.oracle import SHOWN, over_domain
 from larder.plans.registry import domain, register
 from larder.sources import testdata as D
+from larder.staging import new_folder
 
 _LIST = ["id", "name", "city", "district", "category", "rating", "average_rating", "review_count", "created_at"]
 _AVERAGE = SHOWN.format("rating_sum", "rated_count")
@@ -101,6 +102,31 @@ def search_review_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _matches(spark, sf_dir, text=True, search="theron")
 
 
+_TERMS = ["theron", "LARGE%w_dget", "ring", "e_", "EUROPE", "tion the"]
+
+
+@register(
+    "search_indexed",
+    over_domain(
+        "terms AS (SELECT unnest([" + ", ".join(f"'{term}'" for term in _TERMS) + "]) AS term)",
+        """
+texts AS (
+  SELECT id, unnest([name, city, district, category]) AS text FROM places UNION ALL SELECT restaurant_id, name FROM menu_items
+  UNION ALL SELECT restaurant_id, comment FROM user_reviews UNION ALL SELECT restaurant_id, review_text FROM ext_reviews)""",
+        select=r"""
+SELECT DISTINCT term, id FROM terms JOIN texts ON text ILIKE '%' || term || '%' ESCAPE '\' WHERE id IN (SELECT id FROM places)""",
+    ),
+)
+def search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several terms through one trigram index; one of them has no trigram and scans."""
+    t = domain(spark, sf_dir, text=True)
+    index = S.build_index(t, new_folder(spark))
+    found = [
+        S.matching_places(t, S.Query(search=term), index).select(F.lit(term).alias("term"), "id") for term in _TERMS
+    ]
+    return reduce(DataFrame.union, found)
+
+
 @register(
     "search_category_semi",
     over_domain(
@@ -163,7 +189,7 @@ def page_by_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _page(spark, sf_dir)
 
 
-# Deep pages: positions in the whole order instead of a bounded top-k.
+# Deep pages: selected range by range instead of a bounded top-k.
 for _name, _sort, _by in (
     ("name", "name", "name, created_at DESC, id"),
     ("rating", "rating", "exact DESC NULLS LAST, created_at DESC, id"),

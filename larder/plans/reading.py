@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from larder.functions.details import LINK_KEYS, link_parameter
 from larder.operators import contacts, favorites as fav
@@ -12,6 +12,7 @@ from larder.operators.reviews import ranked_reviews, unified_reviews
 from larder.operators.stats import review_stats
 from larder.plans.oracle import SHOWN, over_domain
 from larder.plans.registry import domain, register
+from larder.session import cut_lineage
 from larder.sources import testdata as D
 from larder.sources.tables import by_ids
 
@@ -114,14 +115,15 @@ def profiles_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def profile_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The review arrays of the nested profiles, element by element."""
-    part_rows = 1_000
-    parts = place_profiles(domain(spark, sf_dir, text=True), part_rows)
-    listed = parts.select(
-        F.col("id").alias("restaurant_id"), "part", F.posexplode("reviews").alias("at", "review")
+    parts = cut_lineage(place_profiles(domain(spark, sf_dir, text=True), 1 << 16).select("id", "part", "reviews"))
+    earlier = Window.partitionBy("id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = parts.select("id", "part", F.coalesce(F.sum(F.size("reviews")).over(earlier), F.lit(0)).alias("before"))
+    listed = parts.join(sizes, ["id", "part"]).select(
+        F.col("id").alias("restaurant_id"), "before", F.posexplode("reviews").alias("at", "review")
     )
     return listed.select(
         "restaurant_id",
-        (F.col("part") * part_rows + F.col("at") + 1).alias("position"),
+        (F.col("before") + F.col("at") + 1).cast("long").alias("position"),
         F.col("review.id").alias("review_id"),
         "review.source",
         "review.rating",
@@ -130,6 +132,64 @@ def profile_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_PART_BYTES = 4096
+
+
+@register(
+    "place_profile_parts",
+    over_domain(
+        _UNIFIED,
+        _RANKED,
+        """
+dishes AS (SELECT * REPLACE (id || ':' || CAST(CAST(price AS DOUBLE) AS VARCHAR) AS id) FROM menu_items)""",
+        """
+rows_of AS (
+  SELECT restaurant_id, 0 AS rank, 0 AS position, id, name AS shown, category AS more, price AS figure,
+    64 + strlen(id) + strlen(name) + strlen(category) AS bytes FROM dishes
+  UNION ALL
+  SELECT restaurant_id, 1, position, id, source, coalesce(user_id, author_name), rating,
+    64 + strlen(id) + coalesce(strlen(user_id), 0) + coalesce(strlen(comment), 0) + coalesce(strlen(author_name), 0) + strlen(source)
+  FROM ranked)""",
+        f"""
+parted AS (
+  SELECT *, coalesce(sum(bytes) OVER (PARTITION BY restaurant_id ORDER BY rank, position, id
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // {_PART_BYTES} AS part FROM rows_of)""",
+        """
+listed AS (
+  SELECT restaurant_id, part, string_agg(id || '/' || shown || '/' || more, ';' ORDER BY id) FILTER (rank = 0) AS menu,
+    string_agg(id || '/' || shown || '/' || more, ';' ORDER BY position) FILTER (rank = 1) AS reviews,
+    sum(CASE WHEN rank = 0 THEN CAST(round(figure * 100) AS BIGINT) END) AS cents, sum(CASE WHEN rank = 1 THEN figure END) AS ratings
+  FROM parted GROUP BY 1, 2)""",
+        select=f"""
+SELECT p.id, p.name, {_AVERAGE} AS average_rating, coalesce(s.review_count, 0) AS review_count,
+  CAST(coalesce(l.part, 0) AS BIGINT) AS part, coalesce(menu, '') AS menu, coalesce(reviews, '') AS reviews,
+  CAST(coalesce(cents, 0) AS BIGINT) AS cents, CAST(coalesce(ratings, 0) AS BIGINT) AS ratings
+FROM places p LEFT JOIN stats s ON s.restaurant_id = p.id LEFT JOIN listed l ON l.restaurant_id = p.id""",
+    ),
+)
+def profile_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles in small parts: what each part holds, in order."""
+    parts = place_profiles(domain(spark, sf_dir, text=True), _PART_BYTES)
+
+    def joined(name: str, *fields) -> Column:
+        return F.array_join(F.transform(name, lambda item: F.concat_ws("/", *[field(item) for field in fields])), ";")
+
+    def total(name: str, value) -> Column:
+        return F.aggregate(name, F.lit(0).cast("long"), lambda sum_, item: sum_ + value(item))
+
+    return parts.select(
+        "id",
+        "name",
+        "average_rating",
+        "review_count",
+        "part",
+        joined("menu_items", lambda x: x["id"], lambda x: x["name"], lambda x: x["category"]).alias("menu"),
+        joined("reviews", lambda x: x["id"], lambda x: x["source"], lambda x: F.coalesce(x["user_id"], x["author_name"])).alias("reviews"),
+        total("menu_items", lambda x: F.round(x["price"] * 100).cast("long")).alias("cents"),
+        total("reviews", lambda x: x["rating"].cast("long")).alias("ratings"),
+    )
+
+
 _CHOSEN = ["1", "2", "3", "50", "51", "none"]
 
 

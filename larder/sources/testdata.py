@@ -289,8 +289,7 @@ def review_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 def review_pages(spark: SparkSession, sf_dir: str, stops: bool = False) -> DataFrame:
     """Review pages of ten per place; the token is nested or flat and, with ``stops``, on some pages blank or missing."""
     items = review_items(spark, sf_dir)
-    levels = [("thousand", F.floor(F.col("event_id") / 1000)), ("event", F.col("event_id"))]
-    placed = with_position(items, ["restaurant_id"], levels, [F.col("event_id")])
+    placed = with_position(items, ["restaurant_id"], [F.col("event_id").asc()])
     rows = placed.select(
         "restaurant_id",
         F.floor((F.col("position") - 1) / 10).cast("int").alias("page_index"),

@@ -17,14 +17,6 @@ def rows(spark):
     return data, spark.createDataFrame(data, "g string, t int, id string, v int").repartition(7).cache()
 
 
-def levels():
-    return [
-        ("tens", F.coalesce(F.floor(F.col("t") / 10), F.lit(10**6))),
-        ("t", F.coalesce(F.col("t"), F.lit(10**6))),
-        ("id", F.substring("id", 1, 3)),
-    ]
-
-
 def order():
     return [F.col("t").asc_nulls_last(), F.col("id")]
 
@@ -40,7 +32,7 @@ def test_position_in_groups(rows, hot):
     for group in {r[0] for r in data}:
         for at, row in enumerate(sorted((r for r in data if r[0] == group), key=key), 1):
             expected[row[2]] = at
-    got = with_position(df, ["g"], levels(), order(), "at", hot)
+    got = with_position(df, ["g"], order(), "at", hot)
     assert got.columns == ["g", "t", "id", "v", "at"]
     assert {r.id: r["at"] for r in got.collect()} == expected
 
@@ -54,7 +46,7 @@ def test_previous(rows, hot):
         for at, row in enumerate(ordered):
             before = ordered[at - 1][3] if at else None
             expected[row[2]] = (before, at == 0, at == len(ordered) - 1)
-    got = with_previous(df, ["g"], levels(), order(), "v", hot)
+    got = with_previous(df, ["g"], order(), "v", hot)
     assert {r.id: (r.previous, r.is_first, r.is_last) for r in got.collect()} == expected
 
 

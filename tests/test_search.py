@@ -5,9 +5,11 @@ from pyspark.sql import functions as F
 
 from larder import model
 from larder.operators import search as S
-from larder.operators.profiles import place_profiles
+from larder.operators.profiles import ROW_BYTES, place_profiles
 from larder.operators.reviews import ranked_reviews, unified_reviews
+from larder.operators.selection import page_rows
 from larder.operators.stats import combine_stats, review_stats, source_stats
+from larder.operators.text_index import build_text_index, candidates, literal_runs, open_text_index, places_with_text, trigrams_of
 from larder.plans.registry import domain
 
 DAY = datetime.datetime(2024, 1, 1)
@@ -153,12 +155,15 @@ def test_unified_order(tables):
     assert (unrated.rating, unrated.created_at) == (0, DAY)
 
 
-@pytest.mark.parametrize("part_rows", [3, 10_000])
-def test_profiles_keep_everything_in_order(spark, tables, part_rows):
-    whole = {}
-    for row in place_profiles(tables, part_rows).orderBy("id", "part").collect():
+@pytest.mark.parametrize("part_bytes", [1, 250, 1 << 20])
+def test_profiles_keep_everything_in_order(spark, tables, part_bytes):
+    whole, numbers = {}, {}
+    for row in place_profiles(tables, part_bytes).orderBy("id", "part").collect():
         menu, reviews = whole.setdefault(row.id, ([], []))
-        assert len(row.menu_items) <= part_rows and len(row.reviews) <= part_rows
+        numbers.setdefault(row.id, []).append(row.part)
+        held = [len(i.id) + len(i.name) + len(i.category) + ROW_BYTES for i in row.menu_items]
+        held += [sum(len(x or "") for x in (r.id, r.user_id, r.comment, r.source)) + ROW_BYTES for r in row.reviews]
+        assert sum(held[:-1]) <= part_bytes
         menu += [item.id for item in row.menu_items]
         reviews += [review.id for review in row.reviews]
     assert set(whole) == set("123456")
@@ -167,4 +172,59 @@ def test_profiles_keep_everything_in_order(spark, tables, part_rows):
         order = ranked.filter(F.col("restaurant_id") == place).orderBy("position")
         assert whole[place][1] == [r.id for r in order.collect()]
         assert whole[place][0] == sorted(whole[place][0]) and len(whole[place][0]) == 3
-    assert whole["5"] == ([], [])
+    assert whole["5"] == ([], []) and numbers["5"] == [0]
+    assert all(len(set(found)) == len(found) for found in numbers.values())
+    if part_bytes == 1 << 20:
+        assert all(found == [0] for found in numbers.values())
+    assert place_profiles(tables, part_bytes).schema == place_profiles(tables).schema
+
+
+def test_profile_parts_do_not_depend_on_the_partitions(spark, tables):
+    found = []
+    for partitions in (1, 7):
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        parts = place_profiles(tables, 300).select("id", "part", "menu_items.id", "reviews.id")
+        found.append(sorted(map(str, parts.collect())))
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert found[0] == found[1]
+
+
+PATTERNS = ["  ", "a%b soup", "lentil", "100\\% l", "DISH 4", "axxb", "a_xb", "zzz", "ish", "ENTI", "t", "e 3", "great%soup", "\\LENT"]
+
+
+def test_index_finds_what_a_scan_finds(spark, tables):
+    from larder.staging import new_folder
+
+    path = new_folder(spark)
+    S.build_index(tables, path)
+    index = open_text_index(spark, path)
+    for pattern in PATTERNS:
+        plain, found = (ids(S.matching_places(tables, S.Query(search=pattern), x)) for x in (None, index))
+        assert found == plain, pattern
+
+
+def test_index_reads_candidates_only(spark, tables, monkeypatch):
+    from larder.staging import new_folder
+
+    texts = spark.range(5000).selectExpr("'t' AS source", "CAST(id % 50 AS string) AS restaurant_id", "concat('note ', id, ' end') AS text")
+    index = build_text_index(texts, new_folder(spark), block_rows=64)
+    assert candidates(index, trigrams_of(spark, "%e 1234 e%")).select("text").collect() == [("note 1234 end",)]
+    assert candidates(index, trigrams_of(spark, "%nope%")).isEmpty()
+    assert sorted(r[0] for r in places_with_text(index, "%e 12_4 e%").collect()) == sorted({str((1204 + 10 * k) % 50) for k in range(10)})
+    assert index.postings.selectExpr("max(size(slots))").first()[0] <= 64
+    assert places_with_text(index, "%1_3%") is None
+    assert literal_runs("%a\\%b_c\\\\%") == ["a%b", "c\\"]
+
+
+def test_pages_of_a_long_order(spark):
+    rows = [(k * 7919 % 3001, ["b", "a", None][k % 3], k % 5) for k in range(3001)]
+    df = spark.createDataFrame(rows, "id long, name string, x int").repartition(5)
+    keys = [F.col("x"), F.col("name").isNull(), F.col("name"), F.col("id")]
+    expected = sorted(rows, key=lambda r: (r[2], r[1] is None, r[1] or "", r[0]))
+    for offset, limit in ((0, 10), (1234, 25), (2990, 40), (2999, 1), (3001, 5), (9000, 5)):
+        got = [tuple(r) for r in page_rows(df, keys, offset, limit, depth=20)]
+        assert got == expected[offset : offset + limit]
+    assert page_rows(df.limit(0), keys, 50, 10, depth=20) == []
