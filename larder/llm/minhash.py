@@ -30,6 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from larder.llm.names import free_names
 from larder.llm.shingles import mixed, shingle_set
 from larder.operators.components import components
 from larder.staging import stage
@@ -126,6 +127,13 @@ def _sets(docs: DataFrame, banding: Banding) -> DataFrame:
     return docs.mapInArrow(full, "id long, shingles array<long>")
 
 
+def _of_fitting_sizes(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Those of the ``pairs`` whose set sizes allow the similarity: the smaller set holds all that is shared."""
+    one, other = (sizes.select(F.col("id").alias(name), F.col("n").alias(f"_n_{name}")) for name in ("one", "other"))
+    fit = F.least("_n_one", "_n_other") * 100 >= percent * F.greatest("_n_one", "_n_other")
+    return pairs.join(one, "one").join(other, "other").filter(fit).select("one", "other")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the ``pairs`` (one, other) whose full sets are similar enough."""
     left = sets.select(F.col("id").alias("one"), F.col("shingles").alias("_left"))
@@ -226,7 +234,7 @@ def _links(classes: DataFrame, docs: DataFrame, banding: Banding) -> DataFrame:
     sets = stage(_sets(docs.join(candidates, "id", "left_semi").select("id", "text"), banding))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        return stage(_verified(pairs.distinct(), sets, banding.percent))
+        return stage(_verified(_of_fitting_sizes(pairs.distinct(), classes, banding.percent), sets, banding.percent))
 
     def labelled(found: DataFrame) -> DataFrame:
         known = found.select(F.col("node").alias("id"), "component")
@@ -293,14 +301,16 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text", ban
     Of rows that share that id one stays, the one whose text and then whose other columns hash least.
     """
     verdicts = stage(near_duplicates(docs, id_column, text, banding))
-    gone = verdicts.filter("NOT kept").select(F.col(id_column).alias("_gone")).distinct()
-    left = docs.join(gone, docs[id_column] == F.col("_gone"), "left_anti")
-    ids = verdicts.filter(F.col(id_column).isNotNull()).groupBy(id_column).agg(F.count(F.lit(1)).alias("_n"))
-    many = ids.filter("_n > 1").select(F.col(id_column).alias("_many"))
+    gone_id, many_id, hashes = free_names(docs, "gone", "many", "hashes")
+    gone = verdicts.filter("NOT kept").select(F.col(id_column).alias(gone_id)).distinct()
+    left = docs.join(gone, F.col(id_column) == F.col(gone_id), "left_anti")
+    ids = verdicts.filter(F.col(id_column).isNotNull()).groupBy(id_column).agg(F.count(F.lit(1)).alias(many_id))
+    many = ids.filter(F.col(many_id) > 1).select(F.col(id_column).alias(many_id))
     if many.isEmpty():
         return left
-    hashed = left.withColumn("_hash", F.xxhash64(*left.columns))
-    repeated = hashed.join(many, hashed[id_column] == F.col("_many"), "left_semi")
-    chosen = repeated.groupBy(id_column).agg(F.min("_hash").alias("_hash")).join(repeated, [id_column, "_hash"])
-    once = chosen.dropDuplicates([id_column]).select(*left.columns)
-    return left.join(many, left[id_column] == F.col("_many"), "left_anti").union(once)
+    own = F.struct(F.xxhash64(id_column, text), F.xxhash64(*[F.col(f"`{name}`") for name in docs.columns]))
+    repeated = left.join(many, F.col(id_column) == F.col(many_id), "left_semi").withColumn(hashes, own)
+    least = repeated.groupBy(id_column).agg(F.min(hashes).alias(hashes))
+    once = repeated.join(least, [id_column, hashes], "left_semi").dropDuplicates([id_column])
+    once = once.select(*[F.col(f"`{name}`") for name in docs.columns])
+    return left.join(many, F.col(id_column) == F.col(many_id), "left_anti").union(once)

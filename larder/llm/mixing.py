@@ -12,8 +12,9 @@ shortest, and each document's rounding error in words is carried to the next, so
 its shortest documents of what its rates ask for. All sums are exact decimals and all orders are total, so reruns agree.
 
 Defined results: a null or empty text has size 0 and nothing of it is taken; a null source is a source of its own and comes
-last; rows that share an id are mixed each by itself; a source without words has target 0; an empty table gives an
-empty result; other columns are not read.
+last; rows that share an id are mixed each by itself; a source without words has target 0; a text of any length is counted whole; documents
+of equal size go by id, then by text; an empty table gives an empty result; other columns are not read, and are returned as they were
+whatever their names.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from larder.llm.names import free_names
 from larder.operators.numbering import numbered
 from larder.staging import stage
 
@@ -33,8 +35,10 @@ _SPLIT = "[\\x20\\x09-\\x0D]+"
 _BLOCK_ROWS = 2_000
 #: Tables of sources up to so many rows are broadcast.
 _BROADCAST_SOURCES = 10_000
-_ITERATIONS = 40
+#: Relative error of a source's words at which its variable is settled.
 _PRECISION = 1e-7
+#: Beyond this exponent a rate is 0 or the most, to the last bit.
+_EXPONENT = 700.0
 
 
 def word_count(text: Column) -> Column:
@@ -80,7 +84,7 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int
 
 
 def _rate(variable: Column, size: Column, mean: Column, most: int) -> Column:
-    exponent = F.greatest(F.least(-variable * size / mean, F.lit(700.0)), F.lit(-700.0))
+    exponent = F.greatest(F.least(-variable * size / mean, F.lit(_EXPONENT)), F.lit(-_EXPONENT))
     return F.lit(float(most)) / (1 + (most - 1) * F.exp(exponent))
 
 
@@ -88,6 +92,8 @@ def balance(sized: DataFrame, aimed: DataFrame, most: int = 3) -> DataFrame:
     """The dual variable of every source: (source, source_size, target, mean, variable).
 
     A variable is null where no words are to be taken or all are to be taken ``most`` times: those rates are 0 and ``most``.
+    The iterations go on until every source is within ``_PRECISION`` of its target, or no variable moves any more since the
+    numbers around it are used up.
     """
     spread = stage(sized.filter("size > 0").groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
     means = spread.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("_words"), F.sum("n").alias("_docs"))
@@ -104,7 +110,7 @@ def balance(sized: DataFrame, aimed: DataFrame, most: int = 3) -> DataFrame:
             F.lit(None).cast("double").alias("_high"),
         )
     )
-    for _ in range(_ITERATIONS):
+    while True:
         known = state.select(F.col("source").alias("_source"), "mean", "variable")
         rated = spread.join(known, spread["source"].eqNullSafe(known["_source"]))
         rate = _rate(F.col("variable"), F.col("size"), F.col("mean"), most)
@@ -114,15 +120,15 @@ def balance(sized: DataFrame, aimed: DataFrame, most: int = 3) -> DataFrame:
             F.sum(_exact(words * (1 - rate / most) * F.col("size") / F.col("mean"))).cast("double").alias("_slope"),
         )
         state = stage(_step(state, sums))
-        worst = state.agg(F.max(F.abs(F.col("_off")) / F.col("target"))).head()[0]
-        state = state.drop("_off")
-        if worst is None or worst <= _PRECISION:
+        worst, moved = state.agg(F.max(F.abs(F.col("_off")) / F.col("target")), F.bool_or("_moved")).head()
+        state = state.drop("_off", "_moved")
+        if worst is None or worst <= _PRECISION or not moved:
             break
     return state.drop("_low", "_high")
 
 
 def _step(state: DataFrame, sums: DataFrame) -> DataFrame:
-    """One Newton step; where it leaves the bracket, the bracket's middle instead. ``_off`` is the error before the step."""
+    """One Newton step; where it leaves the bracket, the bracket's middle instead. ``_off`` is the error before the step, ``_moved`` whether it moved."""
     joined = state.join(sums, state["source"].eqNullSafe(sums["_source"]), "left").drop("_source")
     off = joined.withColumn("_off", F.when(F.col("variable").isNotNull(), F.col("_words") - F.col("target")))
     bracketed = off.withColumns(
@@ -132,7 +138,8 @@ def _step(state: DataFrame, sums: DataFrame) -> DataFrame:
         }
     )
     newton = F.col("variable") - F.col("_off") / F.col("_slope")
-    leaping = newton.isNull() | (newton <= F.col("_low")) | (newton >= F.col("_high")) | (F.abs(newton) > 100)
+    # sizes are 1 at least, so no variable needs to lie further out
+    leaping = newton.isNull() | (newton <= F.col("_low")) | (newton >= F.col("_high")) | (F.abs(newton) > _EXPONENT * F.col("mean"))
     middle = (
         F.when(F.col("_low").isNull(), F.least(F.col("_high") * 2, F.col("_high") - 1))
         .when(F.col("_high").isNull(), F.greatest(F.col("_low") * 2, F.col("_low") + 1))
@@ -140,7 +147,9 @@ def _step(state: DataFrame, sums: DataFrame) -> DataFrame:
     )
     settled = F.abs(F.col("_off")) <= _PRECISION * F.col("target")
     following = F.when(settled, F.col("variable")).when(F.coalesce(leaping, F.lit(False)), middle).otherwise(newton)
-    return bracketed.withColumn("variable", F.when(F.col("variable").isNotNull(), following)).drop("_words", "_slope")
+    moved = bracketed.withColumn("_following", F.when(F.col("variable").isNotNull(), following))
+    moved = moved.withColumn("_moved", ~F.col("_following").eqNullSafe(F.col("variable")))
+    return moved.withColumn("variable", F.col("_following")).drop("_words", "_slope", "_following")
 
 
 def _copies(block: pd.DataFrame, most: int) -> pd.DataFrame:
@@ -151,11 +160,11 @@ def _copies(block: pd.DataFrame, most: int) -> pd.DataFrame:
         if size:
             copies[k] = min(most, max(0, math.floor(rate + carried / size + 0.5)))
             carried += (rate - copies[k]) * size
-    return block.assign(copies=copies).drop(columns=["_source", "_block"])
+    return block.assign(copies=copies).drop(columns="_block")
 
 
 def _mixed(docs: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
-    """(doc_id, _hash, size, source_size, target, rate, copies) of (doc_id, source, text)."""
+    """(doc_id, _hash, size, source_size, target, rate, _source, copies) of (doc_id, source, text)."""
     sized = stage(
         docs.select(
             "doc_id",
@@ -185,7 +194,8 @@ def _mixed(docs: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
     )
     return rated.groupBy("_source", "_block").applyInPandas(
         lambda block: _copies(block, most),
-        f"doc_id {dict(docs.dtypes)['doc_id']}, _hash long, size long, source_size long, target double, rate double, copies long",
+        f"doc_id {dict(docs.dtypes)['doc_id']}, _hash long, size long, source_size long, target double, rate double, _source string, "
+        "copies long",
     )
 
 
@@ -199,19 +209,24 @@ def mix(
 ) -> DataFrame:
     """(id, size, source_size, target, rate, copies, taken) of every document."""
     named = docs.select(F.col(id_column).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text"))
-    mixed = _mixed(named, weights, most).drop("_hash")
+    mixed = _mixed(named, weights, most).drop("_hash", "_source")
     return mixed.withColumn("taken", F.col("copies") * F.col("size")).withColumnRenamed("doc_id", id_column)
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
     """The documents, each as often as the mix takes it, all columns as they were.
 
-    Of rows that share id and text, each is taken as often as the one that is taken most.
+    Of rows that share id, source and text, each is taken as often as the one that is taken most.
     """
-    taken = _mixed(docs.select("doc_id", "source", "text"), weights, most).groupBy("doc_id", "_hash").agg(
-        F.max("copies").alias("_copies")
+    mixed = _mixed(docs.select("doc_id", "source", "text"), weights, most)
+    taken = mixed.groupBy("doc_id", "_source", "_hash").agg(F.max("copies").alias("copies")).filter("copies > 0")
+    names = free_names(docs, "mixed_id", "mixed_source", "mixed_hash", "copies", "copy")
+    known = taken.select(*[F.col(old).alias(new) for old, new in zip(("doc_id", "_source", "_hash", "copies"), names)])
+    own_id, own_source, own_hash, copies, copy = names
+    same = (
+        F.col("doc_id").eqNullSafe(F.col(own_id))
+        & F.col("source").cast("string").eqNullSafe(F.col(own_source))
+        & (F.xxhash64("text") == F.col(own_hash))
     )
-    known = taken.filter("_copies > 0").withColumnsRenamed({"doc_id": "_id", "_hash": "_its"})
-    same = docs["doc_id"].eqNullSafe(known["_id"]) & (F.xxhash64(docs["text"]) == known["_its"])
-    copies = F.explode(F.sequence(F.lit(1).cast("long"), known["_copies"])).alias("_copy")
-    return docs.join(known, same).select(*[docs[name] for name in docs.columns], copies).drop("_copy")
+    each = F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))).alias(copy)
+    return docs.join(known, same).select(*[docs[f"`{name}`"] for name in docs.columns], each).drop(copy)

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, n int, key array<int>, _row double"
 
 
@@ -37,5 +39,15 @@ def rows():
     return [row + ("clash", k, [k], 0.5) for k, row in enumerate(found)]
 
 
+#: Columns that operators might take for their own.
+CLASHING = ["_gone", "_many", "_hash", "_copy", "_its", "_in", "_words", "gone", "Hashes", "copies", "mixed_id"]
+
+
 def frame(spark, only=None):
-    return spark.createDataFrame(rows() if only is None else only, SCHEMA).repartition(3)
+    made = spark.createDataFrame(rows() if only is None else only, SCHEMA).repartition(3)
+    return made.withColumns({name: F.concat(F.lit(f"{name} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for name in CLASHING})
+
+
+def untouched(kept):
+    """Whether the clashing columns hold what they were made with."""
+    return all(r[name] == f"{name} of {'none' if r.doc_id is None else r.doc_id}" for r in kept.collect() for name in CLASHING)

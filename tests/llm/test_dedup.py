@@ -108,7 +108,7 @@ def test_odd_documents(spark):
     assert {r.n_shingles for r in found if r.doc_id in (4, 5, 6)} == {0}
     assert all(r.component_id is None and r.kept for r in found if r.doc_id is None)
     left = M.keep_one(odd.frame(spark))
-    assert left.columns == odd.frame(spark).columns
+    assert left.columns == odd.frame(spark).columns and odd.untouched(left)
     ids = [r.doc_id for r in left.collect()]
     assert sorted(i for i in ids if i is not None) == [1, 4, 5, 6, 7, 8, 9, 11, 12, 13] and ids.count(None) == 2
 

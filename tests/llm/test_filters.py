@@ -55,7 +55,7 @@ def test_op7_odd_documents(spark):
         assert counts_of(r) == plain_counts(r.text)
     labels = spark.createDataFrame([(1, 1), (1, 0), (7, 1), (None, 1), (8, None)], "doc_id long, quality int")
     kept = Q.keep_good(docs, labels)
-    assert kept.columns == docs.columns
+    assert kept.columns == docs.columns and odd.untouched(kept)
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 1, 1, 2, 3, 7]
     nothing = odd.frame(spark, [])
     assert Q.keep_good(nothing, labels.limit(0)).count() == 0
@@ -239,6 +239,6 @@ def test_op6_odd_documents(spark):
     assert len(found) == len(odd.rows())
     assert all(not r.kept and r.language is None for r in found if r.doc_id in (4, 5, 6))
     kept = L.keep_identified(odd.frame(spark))
-    assert kept.columns == odd.frame(spark).columns
+    assert kept.columns == odd.frame(spark).columns and odd.untouched(kept)
     assert not {r.doc_id for r in kept.collect()} & {4, 5, 6}
     assert L.keep_identified(odd.frame(spark, [])).count() == 0

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from larder.llm import context_mixing as C, mixing as X
@@ -76,9 +77,38 @@ def test_op8_odd_documents(spark):
     assert [r.taken for r in without] == [0, 0, 0]
     repeated = X.mixed_documents(odd.frame(spark))
     assert repeated.columns == odd.frame(spark).columns and repeated.count() > 0
+    assert odd.untouched(repeated)
     assert X.mixed_documents(odd.frame(spark, [])).count() == 0
 
 
+def test_op8_precision_with_one_long_text_among_short_ones(spark):
+    rows = [(k, "a", "word " * (1 + k % 2)) for k in range(3000)] + [(5000, "a", "word " * 900_000), (5001, "b", "word " * 400_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    sized = docs.select("source", X.word_count(F.col("text")).alias("size"))
+    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    state = {r.source: r for r in X.balance(sized, X.targets(sources)).collect()}
+    for source, row in state.items():
+        taken = 0.0
+        for _, name, text in rows:
+            size = len(text) // 5
+            if name == source:
+                taken += size * 3 / (1 + 2 * math.exp(max(-700, min(700, -row.variable * size / row.mean))))
+        assert abs(taken - row.target) <= 1.1e-7 * row.target
+
+
+def test_op8_copies_are_taken_per_source(spark):
+    rows = [(1, "same words here", "a")] * 2 + [(1, "same words here", "b")] + [(k, f"other words {k}", "b") for k in range(2, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    wanted, taken = Counter(), Counter()
+    for r in X._mixed(docs, (1, 2, 3), 3).collect():
+        key = (r.doc_id, r._source)
+        wanted[key] = max(wanted[key], r.copies)
+    for r in X.mixed_documents(docs).collect():
+        taken[r.doc_id, r.source] += 1
+    times = Counter((i, source) for i, _, source in rows)
+    assert taken == Counter({key: n * times[key] for key, n in wanted.items() if n})
+
+
 def test_targets_share_the_excess(spark):
     sizes = {"a": 100, "b": 1, "c": 50, "é": 2000, "z": 0, None: 10}
     frame = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, source_size long")
