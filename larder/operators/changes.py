@@ -376,22 +376,68 @@ def toggle_favorites(
 # --- registration ----------------------------------------------------------------------------------------------
 
 
+def _first_two(rows: DataFrame, key: str) -> DataFrame:
+    """The two earliest ``seq`` of every ``key``: columns ``first`` and ``second``, the latter NULL where there is one row."""
+    first = rows.groupBy(key).agg(F.min("seq").alias("first"))
+    later = rows.join(first, key).filter("seq > first").groupBy(key).agg(F.min("seq").alias("second"))
+    return first.join(later, key, "left")
+
+
+def _pointers(pending: DataFrame) -> DataFrame:
+    """(seq, to): where exactly one earlier row has the name or the address, that row; the row itself where none has, NULL where several have."""
+    by_name = _first_two(pending, "username").withColumnsRenamed({"first": "_n1", "second": "_n2"})
+    by_mail = _first_two(pending, "email").withColumnsRenamed({"first": "_m1", "second": "_m2"})
+    rows = pending.join(by_name, "username").join(by_mail, "email")
+    seq = F.col("seq")
+    leads_name, leads_mail = seq == F.col("_n1"), seq == F.col("_m1")
+    after_name, after_mail = F.coalesce(seq == F.col("_n2"), F.lit(False)), F.coalesce(seq == F.col("_m2"), F.lit(False))
+    to = (
+        F.when(leads_name & leads_mail, seq)
+        .when(leads_name & after_mail, F.col("_m1"))
+        .when(leads_mail & after_name, F.col("_n1"))
+        .when(after_name & after_mail & (F.col("_n1") == F.col("_m1")), F.col("_n1"))
+    )
+    return rows.select("seq", to.alias("to"))
+
+
+def _alternating(pointers: DataFrame) -> DataFrame:
+    """(seq, gets_in) of all rows whose pointers lead to a row that gets in: every second one along the way does.
+
+    Pointers are doubled, so the number of steps is the logarithm of the longest way.
+    """
+    ways = cut_lineage(pointers.filter("to IS NOT NULL").select("seq", "to", (F.col("seq") != F.col("to")).cast("int").alias("steps")))
+    while True:
+        onward = ways.select(F.col("seq").alias("to"), F.col("to").alias("_to"), F.col("steps").alias("_steps"))
+        longer = ways.join(onward, "to", "left").select(
+            "seq",
+            F.coalesce("_to", "to").alias("to"),
+            ((F.col("steps") + F.coalesce("_steps", F.lit(0))) % 2).alias("steps"),
+            (F.coalesce("_to", "to") != F.col("to")).alias("_moved"),
+        )
+        longer = cut_lineage(longer)
+        ways = longer.drop("_moved")
+        if longer.filter("_moved").isEmpty():
+            break
+    ends = pointers.filter("seq = to").select(F.col("seq").alias("to"))
+    return ways.join(ends, "to", "left_semi").select("seq", (F.col("steps") == 0).alias("gets_in"))
+
+
 def _accepted_accounts(pending: DataFrame) -> DataFrame:
     """Rows (seq, username, email) that get in when applied in order.
 
-    A row that comes first for its name and for its address gets in and shuts out all others with either. What
-    is left is judged again. Nearly all rows are settled in the first round; each round writes a checkpoint.
+    A row gets in if no earlier row that got in has its name or its address. A row that comes first for both gets in. A row with one
+    earlier rival gets in exactly if the rival does not, so chains of such rows are settled at once, by the parity of their way to a row that gets in.
+    Rows with several earlier rivals wait for the next round, in which only rivals that may still get in are left.
     """
     accepted = None
     while True:
         pending = cut_lineage(pending)
         if pending.isEmpty():
             break
-        by_name = pending.groupBy("username").agg(F.min("seq").alias("seq"))
-        by_mail = pending.groupBy("email").agg(F.min("seq").alias("seq"))
-        winners = cut_lineage(by_name.join(by_mail, "seq").select("seq", "username", "email"))
+        settled = cut_lineage(_alternating(_pointers(pending)))
+        winners = cut_lineage(pending.join(settled.filter("gets_in"), "seq", "left_semi").select("seq", "username", "email"))
         accepted = winners if accepted is None else accepted.unionByName(winners)
-        pending = pending.join(winners.select("username"), "username", "left_anti").join(
+        pending = pending.join(settled, "seq", "left_anti").join(winners.select("username"), "username", "left_anti").join(
             winners.select("email"), "email", "left_anti"
         ).select("seq", "username", "email")
     return pending if accepted is None else accepted

@@ -96,6 +96,40 @@ def with_previous(
     )
 
 
+def with_last(
+    df: DataFrame, keys: list[str], order: list[Column], column: str, name: str, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Add ``name``: the latest value of ``column`` that is not NULL, of the row itself or of those before it in its group.
+
+    Rows of hot groups are dealt to tasks by ranges of keys and order; what a task starts with comes from the last values of the tasks before.
+    """
+    window = Window.partitionBy(*keys).orderBy(*order)
+    plain = F.last(column, ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, 0))
+    hot = hot_groups(df, keys, hot_rows)
+    if hot is None:
+        return df.withColumn(name, plain)
+    rows = mark_hot(df, keys, hot)
+    small = rows.filter(~F.col("_hot")).drop("_hot").withColumn(name, plain)
+    dealt = [*[F.col(key).asc() for key in keys], *order]
+    ranged = rows.filter("_hot").drop("_hot").repartitionByRange(*dealt).sortWithinPartitions(*dealt)
+    placed = cut_lineage(ranged.withColumn("_place", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_task", F.call_function("shiftright", "_place", F.lit(33)))
+    own = Window.partitionBy("_task", *keys).orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
+    known = placed.filter(F.col(column).isNotNull())
+    ends = known.groupBy("_task", *keys).agg(F.max_by(column, "_place").alias("_end"))
+    here = placed.select("_task", *keys).distinct()
+    same = [here[key].eqNullSafe(ends[key]) for key in ["_task", *keys]]
+    ends = here.join(ends, reduce(lambda a, b: a & b, same), "left").select(*[here[key] for key in ["_task", *keys]], "_end")
+    earlier = Window.partitionBy(*keys).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    before = ends.select(
+        *[F.col(key).alias(f"_before_{key}") for key in ["_task", *keys]], F.last("_end", ignorenulls=True).over(earlier).alias("_before")
+    )
+    match = reduce(lambda a, b: a & b, [placed[key].eqNullSafe(before[f"_before_{key}"]) for key in ["_task", *keys]])
+    local = F.last(column, ignorenulls=True).over(own)
+    joined = placed.withColumn(name, local).join(before, match).withColumn(name, F.coalesce(name, "_before"))
+    return small.unionByName(joined.select(*df.columns, name))
+
+
 def first_wins(df: DataFrame, keys: list[str], sequence: list[str]) -> DataFrame:
     """``sequence`` of the earliest row of each group, from a minimum that is combined before the shuffle.
 

@@ -224,3 +224,53 @@ def test_long_email_is_rejected(spark, users):
     rows = spark.createDataFrame(asked, "seq long, username string, email string, hashed_password string")
     outcomes = {r.seq: r.reject_reason for r in C.register_users(rows, users, as_of()).outcomes.collect()}
     assert outcomes == {1: "too_long", 2: None}
+
+
+def one_by_one_accounts(rows):
+    """Rows that get in when applied in order."""
+    names, mails, accepted = set(), set(), set()
+    for seq, name, mail in sorted(rows):
+        if name not in names and mail not in mails:
+            names.add(name)
+            mails.add(mail)
+            accepted.add(seq)
+    return accepted
+
+
+def counted_writes(monkeypatch):
+    writes, plain = [], C.cut_lineage
+    monkeypatch.setattr(C, "cut_lineage", lambda df: writes.append(1) or plain(df))
+    return writes
+
+
+def test_a_long_chain_of_accounts_takes_few_rounds(spark, monkeypatch):
+    # each row shares its name with the row before, or its address, in turn
+    rows = [(k, f"n{(k + 1) // 2}", f"m{k // 2}") for k in range(10_000)]
+    writes = counted_writes(monkeypatch)
+    pending = spark.createDataFrame(rows, "seq long, username string, email string").repartition(4)
+    got = {r.seq for r in C._accepted_accounts(pending).collect()}
+    assert got == set(range(0, 10_000, 2)) == one_by_one_accounts(rows)
+    assert len(writes) <= 20  # 15 steps of pointers, and what a round writes besides
+
+
+def test_accounts_equal_row_by_row(spark):
+    rnd = random.Random(9)
+    rows = [(k, f"n{rnd.randrange(25)}", f"m{rnd.randrange(40) if k % 3 else 0}") for k in range(400)]
+    rows += [(k, f"n{rnd.randrange(300)}", f"m{rnd.randrange(300)}") for k in range(400, 900)]
+    pending = spark.createDataFrame(rows, "seq long, username string, email string").repartition(4)
+    assert {r.seq for r in C._accepted_accounts(pending).collect()} == one_by_one_accounts(rows)
+    assert C._accepted_accounts(pending.limit(0)).count() == 0
+
+
+def test_quality_report_counts_real_keys_where_hashes_collide(spark, users, places, monkeypatch):
+    from larder.operators import quality
+
+    plain = quality._key
+    monkeypatch.setattr(quality, "_key", lambda columns: plain(columns) if len(columns) == 1 else F.lit("same"))
+    rows = [
+        {"id": f"f{k}", "user_id": str(k % 5), "restaurant_id": "0", "created_at": T0}
+        for k in range(7)
+    ]
+    report = quality_report({"users": users, "places": places, "favorites": frame(spark, "favorites", rows)})
+    found = {(r.rule, r.columns): r.violations for r in report.filter("table_name = 'favorites'").collect()}
+    assert found["unique", "user_id,restaurant_id"] == 2 and found["unique", "id"] == 0

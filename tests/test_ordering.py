@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from larder.operators.ordering import first_wins, flag, with_position, with_previous
+from larder.operators.ordering import first_wins, flag, with_last, with_position, with_previous
 
 
 @pytest.fixture(scope="module")
@@ -50,6 +50,21 @@ def test_previous(rows, hot):
     assert {r.id: (r.previous, r.is_first, r.is_last) for r in got.collect()} == expected
 
 
+@pytest.mark.parametrize("hot", [3, 10**6])
+def test_last(rows, hot):
+    data, df = rows
+    marked = df.withColumn("w", F.when(F.col("v") == 0, F.col("id")))
+    expected = {}
+    for group in {r[0] for r in data}:
+        last = None
+        for row in sorted((r for r in data if r[0] == group), key=key):
+            last = row[2] if row[3] == 0 else last
+            expected[row[2]] = last
+    got = with_last(marked, ["g"], order(), "w", "last", hot)
+    assert got.columns == ["g", "t", "id", "v", "w", "last"]
+    assert {r.id: r["last"] for r in got.collect()} == expected
+
+
 def test_first_wins_goes_back_over_the_sequence(rows):
     data, df = rows
     first = first_wins(df, ["g", "v"], ["id"])
