@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from larder import model
@@ -9,7 +11,10 @@ from larder.operators import changes as C
 from larder.operators.quality import quality_report
 from larder.plans.oracle import over_domain
 from larder.plans.registry import register
+from larder.session import cut_lineage
 from larder.sources import tables as T, testdata as D
+from larder.sources.buckets import read_buckets, replace_places, write_buckets
+from larder.staging import new_folder
 
 # Actors of the change sets: 1 and 26 are administrators, 10 is inactive, "nobody" does not exist.
 
@@ -328,7 +333,7 @@ final AS (
   FROM asked a LEFT JOIN users u ON u.id = a.actor)""")
 
 
-def _place_edits(spark: SparkSession, sf_dir: str) -> C.Changed:
+def _edit_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _customers(spark, sf_dir).select("k", F.lit(0).alias("turn"))
     rows = rows.unionByName(rows.filter(F.col("k") % 4 == 0).withColumn("turn", F.lit(1)))
     k, turn = F.col("k"), F.col("turn")
@@ -341,13 +346,16 @@ def _place_edits(spark: SparkSession, sf_dir: str) -> C.Changed:
         .otherwise(F.concat(F.lit("New "), turn.cast("string"))),
     )
     where = F.create_map(F.lit("latitude"), F.when(k % 19 == 0, "north").otherwise("12.25"))
-    asked = rows.select(
+    return rows.select(
         (k * 4 + turn).alias("seq"),
         _actor(),
         F.when(k % 17 == 0, F.concat(F.lit("none"), k.cast("string"))).otherwise(k.cast("string")).alias("id"),
         F.map_concat(name, where, F.when(turn == 0, clear).otherwise(F.expr("map()").cast("map<string,string>"))).alias("changes"),
     )
-    return C.update_places(asked, D.users(spark, sf_dir), D.places(spark, sf_dir), D.as_of())
+
+
+def _place_edits(spark: SparkSession, sf_dir: str) -> C.Changed:
+    return C.update_places(_edit_requests(spark, sf_dir), D.users(spark, sf_dir), D.places(spark, sf_dir), D.as_of())
 
 
 @register("update_places_outcome", over_domain(*_PLACE_EDITS, select=f"SELECT {_OUTCOME} FROM final"))
@@ -355,26 +363,39 @@ def update_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _place_edits(spark, sf_dir).outcomes
 
 
-@register(
-    "update_places_state",
-    over_domain(
-        *_PLACE_EDITS,
-        """
+_EDITED = over_domain(
+    *_PLACE_EDITS,
+    """
 last AS (SELECT id, max(turn) AS turn FROM final WHERE reason IS NULL GROUP BY id)""",
-        select="""
+    select="""
 SELECT p.id, CASE WHEN l.id IS NULL THEN p.name ELSE 'New ' || l.turn END AS name, p.city,
   CASE WHEN l.id IS NULL THEN p.latitude ELSE 12.25 END AS latitude,
   CASE WHEN l.id IS NULL THEN p.website END AS website,
   CASE WHEN l.id IS NULL THEN p.created_at ELSE TIMESTAMP '2025-01-01' END AS updated_at
 FROM places p LEFT JOIN last l ON l.id = p.id""",
-    ),
 )
+
+
+@register("update_places_state", _EDITED)
 def update_places_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _place_edits(spark, sf_dir).table.select(
         "id", "name", "city", "latitude", "website", "updated_at"
     )
 
 
+@register("update_places_in_buckets", _EDITED)
+def update_places_in_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same edits on a bucketed table: one city's first, then all others; each reads and rewrites the buckets it touches."""
+    table = write_buckets(D.places(spark, sf_dir), new_folder(spark), "places", 16)
+    users, asked = D.users(spark, sf_dir), cut_lineage(_edit_requests(spark, sf_dir))
+    first = D.places(spark, sf_dir).filter("city = 'NATION_7'").select("id")
+    for requests in (asked.join(first, "id", "left_semi"), asked.join(first, "id", "left_anti")):
+        keys = requests.select("id")
+        state = C.update_places(requests, users, read_buckets(spark, table, keys), D.as_of()).table
+        replace_places(spark, table, state, keys)
+    return read_buckets(spark, table).select("id", "name", "city", "latitude", "website", "updated_at")
+
+
 _CASCADE = (f"""
 asked AS (SELECT c_custkey AS seq, {_ACTORS.replace("k %", "c_custkey %")} AS actor, CAST(c_custkey AS VARCHAR) AS id
   FROM customer WHERE c_custkey % 10 < 5)""", """
@@ -390,7 +411,7 @@ def _cascade(spark: SparkSession, sf_dir: str) -> C.Cascade:
         "places": D.places(spark, sf_dir),
         "menu_items": D.menu_items(spark, sf_dir),
         "user_reviews": D.user_reviews(spark, sf_dir),
-        "ext_reviews": D.ext_reviews(spark, sf_dir, text=False),
+        "ext_reviews": D.ext_reviews(spark, sf_dir),
         "favorites": D.favorites(spark, sf_dir),
     }
     return C.delete_places(asked, D.users(spark, sf_dir), tables)
@@ -416,6 +437,37 @@ def cascade_delete_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cascade(spark, sf_dir).removed
 
 
+_LEFT = {
+    "places": ("id", "name", "city", "category"),
+    "menu_items": ("restaurant_id", "name", "category", ""),
+    "user_reviews": ("restaurant_id", "id", "user_id", "comment"),
+    "ext_reviews": ("restaurant_id", "id", "provider_review_id", "review_text"),
+    "favorites": ("restaurant_id", "user_id", "", ""),
+}
+
+
+@register(
+    "cascade_delete_states",
+    over_domain(
+        *_CASCADE,
+        select=" UNION ALL ".join(
+            f"SELECT '{name}' AS table_name, {columns[0]} AS place, "
+            f"md5(concat_ws('|', {', '.join(f'coalesce({c}, {chr(39) * 2})' if c else chr(39) * 2 for c in columns[1:])})) AS digest "
+            f"FROM {name} WHERE {columns[0]} NOT IN (SELECT id FROM gone)"
+            for name, columns in _LEFT.items()
+        ),
+    ),
+)
+def cascade_delete_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the cascade leaves in each of the five tables, texts included."""
+    after = _cascade(spark, sf_dir).tables
+    rows = []
+    for name, (place, *others) in _LEFT.items():
+        shown = [F.coalesce(F.col(c), F.lit("")) if c else F.lit("") for c in others]
+        rows.append(after[name].select(F.lit(name).alias("table_name"), F.col(place).alias("place"), F.md5(F.concat_ws("|", *shown)).alias("digest")))
+    return reduce(DataFrame.unionByName, rows)
+
+
 @register(
     "cascade_delete_state",
     over_domain(

@@ -245,7 +245,7 @@ def page_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"""
 fresh AS (SELECT CAST(o_custkey AS VARCHAR) AS restaurant_id,
     CAST(substring(o_orderpriority, 1, 1) AS INTEGER) + o_orderkey % 2 AS rating
-  FROM orders WHERE o_orderstatus = 'O')""",
+  FROM orders WHERE o_orderstatus <> 'F')""",
         """
 counted AS (SELECT restaurant_id, sum(CASE WHEN rating BETWEEN 1 AND 5 THEN rating END) AS s,
     count(CASE WHEN rating BETWEEN 1 AND 5 THEN 1 END) AS n, count(*) AS c FROM fresh GROUP BY 1)""",
@@ -257,10 +257,10 @@ merged AS (SELECT restaurant_id, sum(rating_sum) AS rating_sum, CAST(sum(rated_c
     ),
 )
 def rating_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Open orders come in as new reviews, each of them twice, together with all known ones."""
+    """Orders that are not finished come in as new reviews, each of them twice, together with all known ones."""
     t = domain(spark, sf_dir)
     known = t.user_reviews
-    rows = D.read(spark, sf_dir, "orders").filter("o_orderstatus <> 'P'")
+    rows = D.read(spark, sf_dir, "orders")
     digit = F.substring("o_orderpriority", 1, 1).cast("int")
     once = rows.select(
         F.col("o_orderkey").cast("string").alias("id"),

@@ -273,8 +273,9 @@ def favorite_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TOGGLES = ("""
 asked AS (
   SELECT event_id AS seq, json_extract_string(props, '$.k') AS actor,
-    CASE WHEN event_id % 5 = 0 THEN 'nowhere' ELSE CAST(user_id AS VARCHAR) END AS restaurant_id
-  FROM events WHERE event_type IN ('purchase', 'click') AND event_id % 3 <> 0)""", """
+    CASE WHEN event_id % 5 = 0 THEN 'nowhere' WHEN event_id % 3 = 0 THEN CAST(user_id + 1 AS VARCHAR)
+      ELSE CAST(user_id AS VARCHAR) END AS restaurant_id
+  FROM events WHERE event_type IN ('purchase', 'click'))""", """
 judged AS (
   SELECT a.*, CASE WHEN u.id IS NULL THEN 'unknown_actor' WHEN NOT u.is_active THEN 'inactive_actor'
     WHEN p.id IS NULL THEN 'no_place' END AS reason
@@ -283,13 +284,13 @@ counted AS (SELECT actor, restaurant_id, count(*) AS n FROM judged WHERE reason
 
 
 def _toggled(spark: SparkSession, sf_dir: str) -> Changed:
-    events = D.read(spark, sf_dir, "events").filter(
-        F.col("event_type").isin("purchase", "click") & (F.col("event_id") % 3 != 0)
-    )
+    events = D.read(spark, sf_dir, "events").filter(F.col("event_type").isin("purchase", "click"))
+    # some ask for the place next door, so that favorites remain that nobody toggles
+    place = F.col("user_id") + F.when(F.col("event_id") % 3 == 0, 1).otherwise(0)
     asked = events.select(
         F.col("event_id").alias("seq"),
         F.get_json_object("props", "$.k").alias("actor_id"),
-        F.when(F.col("event_id") % 5 == 0, F.lit("nowhere")).otherwise(F.col("user_id").cast("string")).alias("restaurant_id"),
+        F.when(F.col("event_id") % 5 == 0, F.lit("nowhere")).otherwise(place.cast("string")).alias("restaurant_id"),
     )
     favorites = D.favorites(spark, sf_dir)
     return toggle_favorites(asked, D.users(spark, sf_dir), D.places(spark, sf_dir), favorites, D.as_of())

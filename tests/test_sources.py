@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from larder import model
 from larder.functions import payload as P
 from larder.operators import area_import as A, ingest as I, upsert as U
-from larder.sources import pages as S, tables as T
+from larder.sources import buckets as B, pages as S, tables as T
 
 
 def write_page(folder, source, index, body):
@@ -196,3 +196,53 @@ def test_kind_tests_do_not_mix_types(spark):
     f = P.read_fields(F.col("j"), list("abcde"))
     got = rows.select(*[P.is_list(f[k]) for k in "abcde"], *[P.is_object(f[k]) for k in "abcde"]).first()
     assert list(got) == [False, True, False, False, False, False, False, False, True, False]
+
+
+def files_of(root, name):
+    """Data files by bucket."""
+    found = {}
+    for folder in os.listdir(f"{root}/{name}"):
+        if folder.startswith("bucket="):
+            found[int(folder[7:])] = {f for f in os.listdir(f"{root}/{name}/{folder}") if f.endswith(".parquet")}
+    return found
+
+
+def test_a_change_rewrites_its_buckets_only(spark, tmp_path):
+    rows = spark.range(1000).selectExpr(
+        "CAST(id AS string) AS id", "CAST(id % 200 AS string) AS restaurant_id", "CAST(id AS string) AS user_id", "TIMESTAMP '2024-01-01' AS created_at"
+    )
+    table = B.write_buckets(rows, str(tmp_path), "favorites", 32)
+    before = files_of(tmp_path, "favorites")
+    keys = spark.createDataFrame([("7",), ("19",), ("nowhere",)], "restaurant_id string")
+    numbers = B.touched(keys, 32)
+    part = B.read_buckets(spark, table, keys)
+    read = {r[0] for r in part.select(F.input_file_name()).distinct().collect()}
+    assert read and all(any(f"bucket={n}/" in f for n in numbers) for f in read)
+    # place 7 loses its rows, place 19 gets one more
+    more = rows.filter("id = '19'").selectExpr("'new' AS id", "restaurant_id", "user_id", "created_at")
+    assert B.replace_places(spark, table, part.filter("restaurant_id <> '7'").unionByName(more), keys) == numbers
+    after = files_of(tmp_path, "favorites")
+    for number in set(before) - set(numbers):
+        assert after[number] == before[number]
+    assert all(after[n].isdisjoint(before[n]) for n in set(numbers) & set(after) & set(before))
+    expected = {(str(k), str(k % 200)) for k in range(1000) if k % 200 != 7} | {("new", "19")}
+    assert {(r.id, r.restaurant_id) for r in B.read_buckets(spark, table).collect()} == expected
+    # a bucket that loses all rows loses its files
+    alone = spark.createDataFrame([(str(k),) for k in range(200)], "restaurant_id string")
+    bucket = numbers[0]
+    gone = alone.filter(B.bucket_of("restaurant_id", 32) == bucket)
+    B.replace_places(spark, table, B.read_buckets(spark, table, gone).limit(0), gone)
+    assert bucket not in files_of(tmp_path, "favorites")
+    assert B.replace_places(spark, table, rows, keys.limit(0)) == []
+
+
+def test_a_large_bucket_has_several_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(B, "FILE_ROWS", 100)
+    rows = spark.range(1000).selectExpr(
+        "CAST(id AS string) AS id", "'1' AS restaurant_id", "CAST(id AS string) AS user_id", "TIMESTAMP '2024-01-01' AS created_at"
+    )
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    table = B.write_buckets(rows, str(tmp_path), "favorites", 4)
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum(map(len, files_of(tmp_path, "favorites").values())) > 1
+    assert B.read_buckets(spark, table).count() == 1000
