@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from larder.functions.text import strip
+from larder.functions.text import repair_text, strip
 
 # Keys are consumed by the first branch (an empty group); the second captures text values at any depth.
 _TEXT_VALUES = r'"(?:[^"\\]|\\.)*"\s*:|"((?:[^"\\]|\\.)*)"'
@@ -148,3 +148,26 @@ def mentions_area(json: Column, town_spellings: list[str], area_spellings: list[
         return hit
 
     return F.coalesce(any_of(town_spellings) & any_of(area_spellings), F.lit(False))
+
+
+# A text with the colon that makes it a key, or all that is no text. Nothing is ever read twice, so long texts are no problem.
+_TOKEN = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"(?:\s*+:)?+|[^"]++'
+
+
+def repaired(json: Column) -> Column:
+    """JSON text in which every text value at any depth is repaired; keys, numbers, order and spelling of all else stay.
+
+    A value is decoded and spelled anew only where it is not plain ASCII or holds escapes. NULL and text that is no JSON stay as they are.
+    """
+
+    def spelled(token: Column) -> Column:
+        text = F.get(F.from_json(F.concat(F.lit("["), token, F.lit("]")), "array<string>"), F.lit(0))
+        whole = F.to_json(F.array(repair_text(text)))
+        return F.coalesce(F.substring(whole, F.lit(2), F.length(whole) - 2), token)
+
+    def mended(token: Column) -> Column:
+        is_text = F.startswith(token, F.lit('"')) & ~F.endswith(token, F.lit(":"))
+        return F.when(is_text & token.rlike(r"[^\x{00}-\x{7f}]|\\u"), spelled(token)).otherwise(token)
+
+    tokens = F.regexp_extract_all(json, F.lit(_TOKEN), F.lit(0))
+    return F.when(F.try_parse_json(json).isNotNull(), F.array_join(F.transform(tokens, mended), "")).otherwise(json)

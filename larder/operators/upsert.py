@@ -23,7 +23,7 @@ from larder.operators.feed import feed_rows, image
 from larder.operators.ordering import HOT_ROWS, with_previous
 from larder.operators.tangled import replay
 from larder.session import cut_lineage
-from larder.sources.pages import REVIEW_LISTS, fetched_pages, page_items
+from larder.sources.pages import REVIEW_LISTS, fetched_pages, page_facts, page_items, reached_pages
 
 SEQUENCE = ["restaurant_id", "page_index", "pos"]
 
@@ -319,3 +319,61 @@ def sync_reviews(
     incoming = typed_reviews(page_items(good, REVIEW_LISTS), default_language)
     result = upsert_reviews(incoming, stored, as_of)
     return Synced(result.outcomes, result.table, sync_stats(result.outcomes, good))
+
+
+LEDGER = "restaurant_id string, page_index int, digest string, readable boolean, ends boolean, applied boolean"
+
+
+@dataclass(frozen=True)
+class Resynced:
+    """``parsed``: the pages whose bodies had to be read as JSON for their facts; ``applied``: those whose reviews were merged."""
+
+    outcomes: DataFrame
+    table: DataFrame
+    ledger: DataFrame
+    parsed: DataFrame
+    applied: DataFrame
+
+
+def sync_new_pages(
+    places: DataFrame,
+    landed: DataFrame,
+    stored: DataFrame,
+    ledger: DataFrame,
+    as_of: Column,
+    max_pages: int = 10,
+    default_language: str | None = None,
+) -> Resynced:
+    """Review sync that leaves alone what an earlier sync has applied.
+
+    The ``ledger`` (see ``LEDGER``; an empty frame at first) holds a digest and the facts of every page. A page with a known digest is not parsed. Where a
+    place has only further pages, these are applied; where a page that was applied has changed, or is no longer reached since the chain
+    of tokens now ends before it, all pages of the place are applied again, as older ones may then be the last to speak of a review. The table is
+    that of a full sync; a full sync also touches ``updated_at`` of reviews that its own pages change back and forth.
+    A place with an unreadable page is left alone and keeps its entries.
+    """
+    pages = pages_of_places(places, landed).filter(F.col("page_index") < max(1, max_pages))
+    hashed = pages.withColumn("digest", F.sha2(F.col("body").cast("binary"), 256))
+    page = ["restaurant_id", "page_index"]
+    ledger = cut_lineage(ledger)
+    known = ledger.select(*page, "digest", "readable", "ends")
+    old = hashed.join(known, [*page, "digest"])
+    new = page_facts(hashed.join(known, [*page, "digest"], "left_anti").select(*page, "digest", "body"))
+    facts = cut_lineage(new.select(*page, "digest", "readable", "ends"))
+    every = facts.unionByName(old.select(*facts.columns))
+    good = cut_lineage(reached_pages(every, "restaurant_id").filter(~F.col("source_failed")).select(*facts.columns))
+    before = ledger.filter("applied").select(*page, F.col("digest").alias("_before"))
+    there = good.select("restaurant_id").distinct()
+    same = before.join(good, page, "left").withColumn("_same", F.coalesce(F.col("digest") == F.col("_before"), F.lit(False)))
+    changed = same.join(there, "restaurant_id", "left_semi").filter(~F.col("_same")).select("restaurant_id").distinct()
+    fresh = good.join(before, page, "left_anti").join(changed, "restaurant_id", "left_anti")
+    applied = cut_lineage(good.join(changed, "restaurant_id", "left_semi").unionByName(fresh).select(*page))
+    bodies = pages.join(applied, page)
+    incoming = typed_reviews(page_items(bodies, REVIEW_LISTS), default_language)
+    result = upsert_reviews(incoming, stored, as_of)
+    # places that were read whole get new entries, others keep theirs and add the facts of pages that were parsed
+    kept = ledger.join(there, "restaurant_id", "left_anti")
+    looked = every.join(good.select(*page, F.lit(True).alias("applied")), page, "left").withColumn("applied", F.coalesce("applied", F.lit(False)))
+    fresh_facts = looked.join(kept.select(*page), page, "left_anti")
+    entries = cut_lineage(kept.unionByName(fresh_facts.select(*kept.columns)))
+    return Resynced(result.outcomes, result.table, entries, facts.select(*page), applied)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from larder import model
@@ -619,3 +621,67 @@ def review_sync_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
         max_pages=ALL_PAGES,
     )
     return synced.stats.select("restaurant_id", "changed")
+
+
+_RUNS = _REVIEW_PAGES[0] + """,
+eligible AS (SELECT p.* FROM paged p JOIN places q ON q.id = CAST(p.user_id AS VARCHAR) WHERE p.user_id % 2 = 0 OR p.user_id % 3 = 0),
+runs AS (SELECT 1 AS run, * FROM eligible WHERE page_index = 0 UNION ALL SELECT 3, * FROM eligible WHERE page_index > 0)"""
+
+
+@register(
+    "review_sync_again",
+    over_domain(
+        _RUNS,
+        select="""
+SELECT run, count(DISTINCT (user_id, page_index)) AS pages_parsed, count(DISTINCT (user_id, page_index)) AS pages_applied,
+  count(*) FILTER (event_id % 2 = 1) AS imported, count(*) FILTER (event_id % 2 = 0) AS skipped,
+  (SELECT count(*) FROM events WHERE event_id % 2 = 0)
+    + (SELECT count(*) FROM runs o WHERE o.run <= r.run AND o.event_id % 2 = 1) AS reviews
+FROM runs r GROUP BY run
+UNION ALL
+SELECT 2, 0, 0, 0, 0, (SELECT count(*) FROM events WHERE event_id % 2 = 0) + (SELECT count(*) FROM runs WHERE run = 1 AND event_id % 2 = 1)""",
+    ),
+)
+def review_sync_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First pages, the same pages once more, then all pages: what each sync parses, applies and changes."""
+    landed = cut_lineage(D.landed_review_pages(spark, sf_dir))
+    first = landed.filter("page_index = 0")
+    table, ledger = _stored_reviews(spark, sf_dir), spark.createDataFrame([], U.LEDGER)
+    lines = []
+    for run, pages in enumerate((first, first, landed), 1):
+        done = U.sync_new_pages(D.places(spark, sf_dir), pages, table, ledger, D.as_of(), max_pages=ALL_PAGES)
+        table, ledger = cut_lineage(done.table), done.ledger
+        totals = U.sync_totals(U.sync_stats(done.outcomes)).select("imported", "skipped")
+        counts = [
+            done.parsed.agg(F.count(F.lit(1)).alias("pages_parsed")),
+            done.applied.agg(F.count(F.lit(1)).alias("pages_applied")),
+            totals,
+            table.agg(F.count(F.lit(1)).alias("reviews")),
+        ]
+        lines.append(reduce(lambda a, b: a.join(b, "run"), [df.withColumn("run", F.lit(run)) for df in counts]))
+    return reduce(DataFrame.unionByName, lines).select(
+        "run", "pages_parsed", "pages_applied", "imported", "skipped", "reviews"
+    )
+
+
+@register(
+    "payload_repair",
+    "SELECT doc_id, text AS named, text AS listed, text AS deep, '1.5' AS number, 'Ã¼' AS damaged_key FROM documents",
+)
+def payload_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged texts in nested lists and objects; keys, even damaged ones, and numbers stay."""
+    rows = D.spread(D.read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    text = F.to_json(F.array(D.misread(F.col("text"))))
+    value = F.substring(text, F.lit(2), F.length(text) - 2)
+    json = F.concat(
+        F.lit('{"name":'), value, F.lit(',"list":[1,'), value, F.lit(',{"more":[['), value, F.lit(',1.5]],"Ã¼":null}]}')
+    )
+    mended = rows.select("doc_id", P.repaired(json).alias("j"))
+    return mended.select(
+        "doc_id",
+        F.get_json_object("j", "$.name").alias("named"),
+        F.get_json_object("j", "$.list[1]").alias("listed"),
+        F.get_json_object("j", "$.list[2].more[0][0]").alias("deep"),
+        F.get_json_object("j", "$.list[2].more[0][1]").alias("number"),
+        F.element_at(F.json_object_keys(F.get_json_object("j", "$.list[2]")), -1).alias("damaged_key"),
+    )

@@ -32,28 +32,36 @@ def next_page_token(body: Column) -> Column:
     return F.coalesce(nonblank(nested), nonblank(P.only_text(fields["next_page_token"])))
 
 
-def fetched_pages(pages: DataFrame, key: str, max_pages: int) -> DataFrame:
-    """Pages that a reader following the tokens would have seen, with ``source_failed``.
+def page_facts(pages: DataFrame) -> DataFrame:
+    """Add what one parse of a body tells about the page: ``readable``, and ``ends``, whether it names no next page."""
+    return pages.withColumns(
+        {"readable": P.is_object(F.try_parse_json("body")), "ends": next_page_token(F.col("body")).isNull()}
+    )
+
 
-    At most ``max(1, max_pages)`` pages per source, up to the first one without a token. A source with an
-    unreadable page among these is marked as failed as a whole.
+def reached_pages(known: DataFrame, key: str) -> DataFrame:
+    """Of pages with their facts, those up to the first that ends, with ``source_failed``.
+
+    A source with an unreadable page among these is marked as failed as a whole.
     """
-    within = pages.filter(F.col("page_index") < max(1, max_pages))
-    known = within.withColumns(
-        {
-            "_readable": P.is_object(F.try_parse_json("body")),
-            "_ends": next_page_token(F.col("body")).isNull(),
-        }
-    )
     stops = known.groupBy(key).agg(
-        F.min(F.when(F.col("_ends"), F.col("page_index"))).alias("_stop"),
-        F.min(F.when(~F.col("_readable"), F.col("page_index"))).alias("_bad"),
+        F.min(F.when(F.col("ends"), F.col("page_index"))).alias("_stop"),
+        F.min(F.when(~F.col("readable"), F.col("page_index"))).alias("_bad"),
     )
     reached = known.join(stops, key).filter(
         F.col("_stop").isNull() | (F.col("page_index") <= F.col("_stop"))
     )
     failed = F.coalesce(F.col("_bad") <= F.coalesce("_stop", "_bad"), F.lit(False))
-    return reached.select(*pages.columns, failed.alias("source_failed"))
+    return reached.withColumn("source_failed", failed).drop("_stop", "_bad")
+
+
+def fetched_pages(pages: DataFrame, key: str, max_pages: int) -> DataFrame:
+    """Pages that a reader following the tokens would have seen, with ``source_failed``.
+
+    At most ``max(1, max_pages)`` pages per source, up to the first one without a token.
+    """
+    within = pages.filter(F.col("page_index") < max(1, max_pages))
+    return reached_pages(page_facts(within), key).drop("readable", "ends")
 
 
 def page_items(pages: DataFrame, lists: list[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -242,3 +243,37 @@ def test_area_filters(spark):
     no_quarter = json.dumps({"a": "Kırıkkale", "b": "center"}, ensure_ascii=False)
     cedilla = json.dumps({"a": "kırıkkale yenişehir"}, ensure_ascii=False)
     assert apply(spark, [quarter, no_quarter, cedilla], in_quarter) == [True, False, True]
+
+
+def walked(value):
+    """Repair of all text values, by a plain walk."""
+    if isinstance(value, str):
+        return dict(REPAIRS).get(value, value)
+    if isinstance(value, list):
+        return [walked(item) for item in value]
+    if isinstance(value, dict):
+        return {key: walked(item) for key, item in value.items()}
+    return value
+
+
+def test_deep_repair_equals_a_plain_walk(spark):
+    rnd = random.Random(4)
+    texts = [text for text, _ in REPAIRS if text is not None] + ["a\"b", "back\\\\slash", "tab\there", ": \"x\": "]
+
+    def grown(depth):
+        kind = rnd.randrange(7 if depth else 4)
+        if kind < 2:
+            return rnd.choice(texts)
+        if kind < 4:
+            return rnd.choice([1, 2.5, True, None, -3e10])
+        if kind < 6:
+            return [grown(depth - 1) for _ in range(rnd.randrange(4))]
+        return {rnd.choice(texts) + str(k): grown(depth - 1) for k in range(rnd.randrange(4))}
+
+    values = [{"top": grown(6), "list": [grown(5), grown(3)]} for _ in range(60)]
+    bodies = [json.dumps(v, ensure_ascii=k % 2 == 0, indent=[None, 1][k % 3 == 0]) for k, v in enumerate(values)]
+    found = apply(spark, [*bodies, None, "no json Ã©", "[\"CafÃ©\"]"], P.repaired)
+    assert [json.loads(text) for text in found[: len(values)]] == [walked(value) for value in values]
+    assert found[len(values) :] == [None, "no json Ã©", "[\"Café\"]"]
+    long = json.dumps({"a": ["x\\" * 50_000 + "CafÃ©", {"b": "CafÃ© " * 20_000}]}, ensure_ascii=False)
+    assert json.loads(apply(spark, [long], P.repaired)[0])["a"][1]["b"] == "Café " * 20_000

@@ -154,3 +154,49 @@ def test_id_arriving_later_updates(spark):
     result = upsert_reviews(new, old, as_of())
     assert [r.status for r in result.outcomes.orderBy("pos").collect()] == ["imported", "updated"]
     assert [r.provider_review_id for r in result.table.collect()] == ["p1"]
+
+
+def test_a_sync_with_a_ledger_parses_what_is_new(spark):
+    import json
+
+    from larder.operators import upsert as U
+
+    places = spark.createDataFrame([("1", "0x1"), ("2", "0x2")], "id string, serpapi_data_id string")
+    places = model.conform(places, model.PLACES)
+
+    def body(reviews, more):
+        listed = [{"review_id": i, "rating": 3, "snippet": text, "iso_date": "2024-01-01"} for i, text in reviews]
+        return json.dumps({"reviews": listed} | ({"serpapi_pagination": {"next_page_token": "t"}} if more else {}))
+
+    def landed(pages):
+        rows = [(f"0x{place}", index, text) for (place, index), text in pages.items()]
+        return spark.createDataFrame(rows, "target_id string, page_index int, body string")
+
+    def state(table):
+        return sorted((r.restaurant_id, r.provider_review_id, r.review_text) for r in table.collect())
+
+    def pairs(df):
+        return sorted(map(tuple, df.collect()))
+
+    empty = spark.createDataFrame([], model.EXT_REVIEWS)
+    pages = {("1", 0): body([("a", "one"), ("b", "two")], True), ("1", 1): body([("c", "three")], True), ("2", 0): body([("a", "x")], True)}
+    table, ledger = empty, spark.createDataFrame([], U.LEDGER)
+    steps = [
+        ({("3", 0): "{}"}, [("1", 0), ("1", 1), ("2", 0)], [("1", 0), ("1", 1), ("2", 0)]),
+        ({}, [], []),
+        ({("1", 2): body([("d", "four")], False)}, [("1", 2)], [("1", 2)]),
+        # a changed page: the place is applied from its first page on
+        ({("1", 1): body([("c", "other"), ("a", "again")], True)}, [("1", 1)], [("1", 0), ("1", 1), ("1", 2)]),
+        # an unreadable page leaves its place alone; the chain of the other ends earlier
+        ({("2", 1): "no json", ("1", 0): body([("a", "one")], False)}, [("1", 0), ("2", 1)], [("1", 0)]),
+    ]
+    full = empty
+    for change, parsed, applied in steps:
+        pages |= change
+        done = U.sync_new_pages(places, landed(pages), table, ledger, as_of())
+        assert pairs(done.parsed) == parsed
+        assert pairs(done.applied) == applied
+        table, ledger = U.cut_lineage(done.table), done.ledger
+        if change:
+            full = U.cut_lineage(U.sync_reviews(places, landed(pages), full, as_of()).table)
+    assert state(table) == state(full)
