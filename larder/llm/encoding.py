@@ -17,6 +17,8 @@ import numpy as np
 #: A worker forgets what the current batch does not need when it knows so many words; this bounds its memory and changes no result.
 _REMEMBERED = 1_500_000
 _MARK = "¦"
+#: Two white-space characters in a row, and all but the space and the line feed.
+_IRREGULAR = ["  ", "\n\n", " \n", "\n ", *[chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]]
 
 
 class Encoder:
@@ -33,6 +35,7 @@ class Encoder:
         self._spaced = described["normalizer"] is None
         self._known: dict[str, bytes] = {}
         self._feed = self._whole("\n")
+        # what stands between new words that are encoded together; regular words hold no line feed
         self._mark = "\n" if self._spaced else f"\n{_MARK}\n"
 
     def _whole(self, text: str) -> bytes:
@@ -41,14 +44,15 @@ class Encoder:
     def _keys(self, text: str | None) -> list[str] | None:
         """The words to look up, those at the start of a line with the line feed before them; None for irregular white space.
 
-        Only single spaces and line feeds between words are regular: then there are as many words as any white space makes.
+        Only one space or line feed at a time, between words, is regular.
         """
         if not text:
             return []
         if not self._spaced:
             return text.replace("\n", " ").split(" ")
-        keys = ("\n" + text.replace("\n", " \n")).split(" ")
-        return keys if len(keys) == len(text.split()) else None
+        if text[0] in " \n" or text[-1] in " \n" or any(odd in text for odd in _IRREGULAR):
+            return None
+        return ("\n" + text.replace("\n", " \n")).split(" ")
 
     def _learn(self, keys: set[str]) -> None:
         if not self._spaced:
@@ -64,8 +68,10 @@ class Encoder:
         separator = np.frombuffer(self._whole(self._mark), "<u4")
         width, odd = len(separator), []
         for start in range(0, len(words), 20_000):
-            part = [k for k in range(start, min(start + 20_000, len(words))) if _MARK not in words[k]]
-            odd += [k for k in range(start, min(start + 20_000, len(words))) if _MARK in words[k]]
+            part = list(range(start, min(start + 20_000, len(words))))
+            if not self._spaced:
+                odd += [k for k in part if _MARK in words[k]]
+                part = [k for k in part if _MARK not in words[k]]
             joined = self._mark.join([words[k] for k in part])
             ids = np.array(self._library.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
             hits = np.flatnonzero(ids == separator[-1])

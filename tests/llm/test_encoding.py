@@ -25,6 +25,7 @@ ODD = [
     "12 345 !!! ---",
     " lead",
     "trail\n",
+    "x\t  y z\tw",
 ]
 
 
