@@ -2,6 +2,10 @@
 
 Quality rules and language identification reject documents, near-duplicate detection keeps one document of each group, the mix
 repeats or drops documents so that sources meet their targets, and packing gives every piece its place in a sequence.
+
+Defined results, stage by stage, are those of the operators: null and empty texts have no words and go in the first stage; texts of any length are
+read whole; rows that share an id and a text are judged alike, of rows that share an id one stays after the third stage; ties go by id; an
+empty table passes all stages; columns that the stages don't know are returned as they were by all stages but the last.
 """
 
 from __future__ import annotations

@@ -13,8 +13,9 @@ A document is rejected if its text has no letter, if its best language stays bel
 an accepted one.
 
 Defined results: a null or empty text is no evidence for any language and is rejected; a null or unknown declaration, suffix or host adds nothing
-but what rows with the same gap tell; every input row gives one output row; an empty table gives an empty result; other columns
-are not read.
+but what rows with the same gap tell; every input row gives one output row; a text of any length is read whole; of languages that are
+equally likely the first in the list is taken; an empty table gives an empty result; other columns are not read, and ``keep_identified`` returns them as
+they were whatever their names.
 """
 
 from __future__ import annotations

@@ -9,7 +9,7 @@ and one more will do for t = 0.8. What is left is compared with the templates th
 
 All steps are SQL functions over the row itself: no shuffle, no Python.
 
-Defined results: a null or empty text has no licence; every input row gives one output row, repeated ids included; of templates
+Defined results: a null or empty text has no licence; a text of any length is compared passage by passage, and as a whole; every input row gives one output row, repeated ids included; of templates
 with one coefficient the first by name wins; an empty table gives an empty result; other columns pass through
 untouched, except those with the names of the result's own columns, which are replaced.
 """

@@ -7,6 +7,8 @@ keys; documents that share a bucket are candidates, and candidates count as link
 their full shingle sets. With 60 bands of 10 coordinates a pair at the default limit of 0.85 misses all buckets with a
 probability of 2e-6, one at 0.9 with 1e-11.
 
+Shingles are compared by 64-bit hashes.
+
 Equal sets are one class before anything else, found by an aggregate; only the class with its least id goes on. In a bucket
 nobody is compared with everybody. Each bucket first hangs its classes under its least one; verified links are merged to
 components, and a bucket whose classes are one component is done, as further links would change nothing. In the buckets still
@@ -17,7 +19,8 @@ link is lost.
 
 Defined results: a null or empty text has no shingles and no links; rows that share an id count as one document, whatever
 their texts; a row with a null id is linked with nothing and stays, with a null component; every input row gives one output
-row; an empty table gives an empty result; other columns are not read.
+row; a text of any length is one set, read in blocks; of equal similarities none is preferred, as all links count; an empty table gives an
+empty result; other columns are not read, and ``keep_one`` returns them as they were whatever their names.
 """
 
 from __future__ import annotations

@@ -43,14 +43,3 @@ def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
     total = mixed(total)
     total.sort()
     return total if n == 1 else total[np.concatenate(([True], total[1:] != total[:-1]))]
-
-
-def overlap(one: np.ndarray, other: np.ndarray) -> int:
-    """Size of the intersection of two sorted sets."""
-    if len(one) > len(other):
-        one, other = other, one
-    if not len(one):
-        return 0
-    at = np.searchsorted(other, one)
-    at[at == len(other)] = len(other) - 1
-    return int(np.count_nonzero(other[at] == one))

@@ -13,7 +13,7 @@ A task writes under a name of its own and renames at the end, so that lost execu
 their content does not depend on the attempt.
 
 Defined results: a null or empty text is the end id alone; rows that share an id stand side by side, by text; rows without an id
-come first; an empty table gives no file and an empty result; other columns are not read.
+come first; a text of any length is encoded whole; an empty table gives no file and an empty result; other columns are not read.
 """
 
 from __future__ import annotations

@@ -12,7 +12,7 @@ All steps are SQL functions and joins. Verdicts are made once per distinct URL.
 short; a longer one is joined by token.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path and gets the verdict of no rule; every input
-row gives one output row; an empty table gives an empty result; other columns pass through untouched,
+row gives one output row; a URL of any length is read whole; an empty table gives an empty result; other columns pass through untouched,
 except those with the names of the result's own columns, which are replaced.
 """
 
