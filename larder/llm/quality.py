@@ -10,8 +10,9 @@ exist, the rule rejects nothing.
 The labels are used for nothing else, so all of them are a holdout. The test takes them as independent draws.
 
 Defined results: a null text counts as an empty one; a null stratum is a stratum of its own; a label that is null, or labels
-of one id that contradict each other, are left out; every input row gives one output row, repeated ids included; an empty
-table gives an empty result; other columns pass through untouched.
+of one id that contradict each other, are left out; every input row gives one output row, repeated ids included; a text of any
+length is counted whole; of cutoffs that catch equally much the higher one is taken; an empty table gives an empty result; other columns pass
+through untouched, and ``keep_good`` returns them whatever their names.
 """
 
 from __future__ import annotations
