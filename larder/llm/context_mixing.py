@@ -10,7 +10,7 @@ errors made so far, block after block, so that every bit is predicted from what
 
 The counts are gathered from all training documents. Each task adds up its own dense tables; tables are merged in rounds of a
 bounded number of pieces, until one is left; its size is a parameter and does not depend on the corpus. Pieces whose sums pass 32
-bits are kept in 64. The weights start from a fit on a bounded sample of training documents,
+bits are kept in 64. The weights start from a fit on all training documents,
 each of which is taken out of the counts while it is predicted.
 
 The base score is a word model with add-one smoothing. Frequent words are looked up where the text is; the counts of all others come by
@@ -65,13 +65,13 @@ _STEP = 1 / 32
 
 @dataclass(frozen=True)
 class Mixing:
-    """Parameters: words that are symbols and how often they occur at least, cells per table, sampled documents, bits per block,
-    rates of learning."""
+    """Parameters: words that are symbols and how often they occur at least, cells per table, documents that the starting weights
+    are fitted on (None: all training documents), bits per block, rates of learning."""
 
     words: int = 65_536
     least: int = 2
     table_bits: int = 21
-    sample: int = 1_000
+    sample: int | None = None
     block: int = 192
     fit_rate: float = 0.02
     own_rate: float = 0.02
@@ -431,8 +431,8 @@ def mix(
     return logs
 
 
-def _fit(sample: DataFrame, shared, mixing: Mixing) -> np.ndarray:
-    """Starting weights from the sampled training documents: each task learns online, the results are averaged."""
+def _fit(training: DataFrame, shared, mixing: Mixing) -> np.ndarray:
+    """Starting weights from the given training documents: each task learns online, the results are averaged."""
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -444,13 +444,15 @@ def _fit(sample: DataFrame, shared, mixing: Mixing) -> np.ndarray:
                 mix(found, *tables.read_without(found), weights, mixing, True)
                 seen += len(texts)
         if seen:
-            yield pa.RecordBatch.from_pydict({"seen": [seen], "weights": [weights.tobytes()]})
+            task = TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_pydict({"task": [task], "seen": [seen], "weights": [weights.tobytes()]})
 
-    rows = sample.repartition(4, "_hash").select("text").mapInArrow(learn, "seen long, weights binary").collect()  # 4 rows
-    if not rows:
-        return first_weights()
-    total = sum(np.frombuffer(row.weights, np.float32).astype(np.float64) * row.seen for row in rows)
-    return (total / sum(row.seen for row in rows)).astype(np.float32).reshape(-1, _GATES)
+    learned = training.select("text").mapInArrow(learn, "task long, seen long, weights binary")
+    total, seen = np.zeros(first_weights().size), 0
+    for row in sorted(learned.collect(), key=lambda row: row.task):  # about a kilobyte per task
+        total += np.frombuffer(row.weights, np.float32).astype(np.float64) * row.seen
+        seen += row.seen
+    return (total / seen).astype(np.float32).reshape(-1, _GATES) if seen else first_weights()
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -561,9 +563,10 @@ def score_documents(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     # as many pieces as the parameters say
     pieces = {row.piece: bytes(row.counts) for row in _merged(_gather(training, code, mixing)).collect()}
     shared = context.broadcast(Model(uuid.uuid4().hex, code, pieces, mixing))
-    hashed = training.withColumn("_hash", F.xxhash64("id", "text"))
-    sample = hashed.orderBy("_hash", "text").limit(mixing.sample)
-    weights = _fit(sample, shared, mixing)
+    fitted = training
+    if mixing.sample is not None:
+        fitted = training.withColumn("_hash", F.xxhash64("id", "text")).orderBy("_hash", "text").limit(mixing.sample)
+    weights = _fit(fitted, shared, mixing)
     rows = stage(_scored(named, shared, weights, frequent, tokens, kinds, ends))
 
     pairs = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("_pair"))

@@ -267,3 +267,16 @@ def test_pipeline_takes_odd_documents(spark):
     for _, step in corpus_pipeline.STAGES:
         nothing = stage(step(spark, nothing, SF))
     assert nothing.count() == 0
+
+
+def test_op9_starting_weights_come_from_all_training_documents(spark, monkeypatch):
+    fitted, fit = [], C._fit
+
+    def counted(training, shared, mixing):
+        fitted.append(training.count())
+        return fit(training, shared, mixing)
+
+    monkeypatch.setattr(C, "_fit", counted)
+    docs = spark.createDataFrame([(k, f"one two {k}") for k in range(1_500)], "doc_id long, text string")
+    C.score_documents(docs, mixing=C.Mixing(words=4, table_bits=12, block=16))
+    assert fitted == [docs.filter(~C.held_out("doc_id")).count()] and fitted[0] > 1_000
