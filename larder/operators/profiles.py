@@ -1,10 +1,11 @@
 """Nested place profiles: the place, its statistics, its menu and its reviews.
 
 A profile has one head row per place (``profile_heads``) and parts with the key (place, part), which hold its dishes and then its reviews, in
-order (``profile_parts``). All rows of all places are sorted by ranges of place and order; a running sum of their bytes, taken
-inside each task and shifted by what the place has in earlier tasks, says in which part a row lies. A part starts where the sum passes a
+order (``profile_parts``). A running sum of the bytes of a place's rows says in which part a row lies. A part starts where the sum passes a
 multiple of ``part_bytes``, so it holds at most that many bytes and the rest of one row, whatever the size of the place, and which
-rows share a part depends on the place alone. A place of a third of all rows costs each task its share.
+rows share a part depends on the place alone. Rows are shuffled once, by their place. Places of more than ``PROFILE_ROWS`` rows are sorted by ranges
+of place and order instead; the sum is taken inside each task and shifted by what the place has in earlier tasks, so a place of a third of all
+rows costs each task its share.
 """
 
 from __future__ import annotations
@@ -13,13 +14,16 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from larder.operators.reviews import sort_key, unified_reviews
+from larder.operators.ordering import hot_groups, mark_hot
+from larder.operators.reviews import EXTERNAL, sort_key, unified_reviews
 from larder.operators.search import Tables
 from larder.operators.stats import review_stats
 from larder.session import cut_lineage
 from larder.sources.tables import by_ids
 
 PART_BYTES = 1 << 20
+#: Places with more rows are dealt to several tasks.
+PROFILE_ROWS = 100_000
 #: What a row counts for besides its texts.
 ROW_BYTES = 64
 #: ``monotonically_increasing_id`` keeps the task above this bit.
@@ -40,57 +44,88 @@ _REVIEW = [
 ]
 
 
-def _nested(df: DataFrame, fields: list[str], order: list[Column], name: str, other: str, kind: T.DataType, rank: int) -> DataFrame:
-    """Rows as (restaurant_id, rank, key, bytes, ``name``, ``other``); ``key`` is the text-sortable order inside the place."""
-    texts = [f.name for f in df.schema.fields if f.name in fields and isinstance(f.dataType, T.StringType)]
-    size = reduce(lambda a, b: a + b, [F.coalesce(F.octet_length(text), F.lit(0)) for text in texts], F.lit(ROW_BYTES))
-    keys = [key.alias(f"k{i}") for i, key in enumerate(order)]
-    return df.select(
-        "restaurant_id",
-        F.lit(rank).alias("rank"),
-        F.struct(*keys).alias("key"),
-        size.cast("long").alias("bytes"),
-        F.struct(*fields).alias(name),
-        F.lit(None).cast(kind).alias(other),
-    )
-
-
 def _rows(tables: Tables) -> DataFrame:
-    """Dishes by id, then reviews newest first, as one frame."""
+    """Dishes and reviews as one frame (restaurant_id, latest, dish, review); what the structs tell is worked out after the shuffle."""
     menu = tables.menu_items.withColumn("price", F.col("price").cast("double"))
     reviews = unified_reviews(tables.ext_reviews, tables.user_reviews)
-    dish, review = menu.select(F.struct(*_MENU).alias("x")).schema[0].dataType, reviews.select(F.struct(*_REVIEW).alias("x")).schema[0].dataType
-    first = [F.lit(0).cast("long"), F.lit(0), F.col("id"), F.coalesce("name", F.lit(""))]
-    second = [*sort_key(), F.lit("")]
-    dishes = _nested(menu, _MENU, first, "dish", "review", review, 0)
-    listed = _nested(reviews, _REVIEW, second, "review", "dish", dish, 1)
-    return dishes.unionByName(listed)
+    dishes = menu.select("restaurant_id", F.lit(0).cast("long").alias("latest"), F.struct(*_MENU).alias("dish"))
+    listed = reviews.select("restaurant_id", sort_key()[0].alias("latest"), F.struct(*_REVIEW).alias("review"))
+    return dishes.unionByName(listed, allowMissingColumns=True)
 
 
-def profile_parts(tables: Tables, part_bytes: int = PART_BYTES) -> DataFrame:
-    """(restaurant_id, part, menu_items, reviews): parts 0, 1, ... of every place that has rows, none of them empty but for gaps
-    that a single row larger than a part leaves in the numbers."""
-    order = ["restaurant_id", "rank", "key"]
-    ordered = _rows(tables).repartitionByRange(*order).sortWithinPartitions(*order)
+def _placed(rows: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``rows`` with their ``bytes`` and the columns of their order inside a place: dishes by id, then reviews newest first."""
+
+    def size(name: str) -> Column:
+        texts = [f.name for f in rows.schema[name].dataType.fields if isinstance(f.dataType, T.StringType)]
+        return reduce(lambda a, b: a + b, [F.coalesce(F.octet_length(F.col(name)[text]), F.lit(0)) for text in texts], F.lit(ROW_BYTES))
+
+    is_dish = F.col("dish").isNotNull()
+    keys = {
+        "rank": F.when(is_dish, 0).otherwise(1),
+        "turn": F.when(is_dish | (F.col("review.source") == EXTERNAL), 0).otherwise(1),
+        "row_id": F.when(is_dish, F.col("dish.id")).otherwise(F.col("review.id")),
+        "row_name": F.when(is_dish, F.coalesce("dish.name", F.lit(""))).otherwise(F.lit("")),
+    }
+    sizes = F.when(is_dish, size("dish")).otherwise(size("review")).cast("long")
+    return rows.withColumns({**keys, "bytes": sizes}), ["rank", "latest", "turn", "row_id", "row_name"]
+
+
+def _lists(parted: DataFrame) -> DataFrame:
+    """The rows of every (restaurant_id, part) as two lists in the order of ``place``."""
+
+    def listed(name: str) -> Column:
+        """In order; a list holds only rows that have the column."""
+        found = F.collect_list(F.when(F.col(name).isNotNull(), F.struct("place", name)))
+        return F.transform(F.array_sort(found), lambda item: item[name])
+
+    return parted.groupBy("restaurant_id", "part").agg(listed("dish").alias("menu_items"), listed("review").alias("reviews"))
+
+
+def _parts_by_place(rows: DataFrame, part_bytes: int) -> DataFrame:
+    """Parts of places that a task can hold: one shuffle by the place serves the sum, the lists and the join with the heads."""
+    placed, order = _placed(rows.repartition("restaurant_id"))
+    window = Window.partitionBy("restaurant_id").orderBy(*order)
+    running = F.coalesce(F.sum("bytes").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    summed = placed.select(
+        "restaurant_id", "dish", "review", F.row_number().over(window).alias("place"), F.floor(running / part_bytes).alias("part")
+    )
+    return _lists(summed)
+
+
+def _parts_by_ranges(rows: DataFrame, part_bytes: int) -> DataFrame:
+    """Parts of hot places, whose rows are dealt to tasks by ranges of place and order."""
+    placed, order = _placed(rows)
+    order = ["restaurant_id", *order]
+    ordered = placed.repartitionByRange(*order).sortWithinPartitions(*order)
     placed = cut_lineage(ordered.select("restaurant_id", "bytes", "dish", "review", F.monotonically_increasing_id().alias("place")))
     task = F.shiftright("place", _TASK_BIT).alias("task")
     sums = placed.groupBy(task, "restaurant_id").agg(F.sum("bytes").alias("held"))
     # only places that go on from one task to the next have anything before: two per task at most
     several = sums.groupBy("restaurant_id").agg(F.min("task").alias("low"), F.max("task").alias("high")).filter("low < high")
     earlier = Window.partitionBy("restaurant_id").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    shared = sums.join(several.select("restaurant_id"), "restaurant_id")
-    before = shared.select("restaurant_id", "task", F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("before"))
+    several = several.select(F.col("restaurant_id").alias("_several"))
+    shared = sums.join(several, sums["restaurant_id"].eqNullSafe(several["_several"]))
+    before = shared.select(
+        F.col("restaurant_id").alias("_id"), F.col("task").alias("_task"), F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("before")
+    )
     running = Window.partitionBy("task", "restaurant_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     summed = placed.withColumn("task", task).withColumn("running", F.coalesce(F.sum("bytes").over(running), F.lit(0)))
     offset = F.col("running") + F.coalesce("before", F.lit(0))
-    parted = summed.join(F.broadcast(before), ["task", "restaurant_id"], "left").withColumn("part", F.floor(offset / part_bytes))
+    here = (F.col("task") == F.col("_task")) & F.col("restaurant_id").eqNullSafe(F.col("_id"))
+    return _lists(summed.join(F.broadcast(before), here, "left").withColumn("part", F.floor(offset / part_bytes)))
 
-    def listed(name: str) -> Column:
-        """In order; a list holds only rows that have the column."""
-        found = F.collect_list(F.when(F.col(name).isNotNull(), F.struct("place", name)))
-        return F.transform(F.array_sort(found), lambda item: item[name])
 
-    return parted.groupBy("restaurant_id", "part").agg(listed("dish").alias("menu_items"), listed("review").alias("reviews"))
+def profile_parts(tables: Tables, part_bytes: int = PART_BYTES, hot_rows: int = PROFILE_ROWS) -> DataFrame:
+    """(restaurant_id, part, menu_items, reviews): parts 0, 1, ... of every place that has rows, none of them empty but for gaps
+    that a single row larger than a part leaves in the numbers."""
+    rows = _rows(tables)
+    hot = hot_groups(rows, ["restaurant_id"], hot_rows)
+    if hot is None:
+        return _parts_by_place(rows, part_bytes)
+    marked = mark_hot(rows, ["restaurant_id"], hot)
+    small = _parts_by_place(marked.filter(~F.col("_hot")).drop("_hot"), part_bytes)
+    return small.unionByName(_parts_by_ranges(marked.filter("_hot").drop("_hot"), part_bytes))
 
 
 def profile_heads(tables: Tables) -> DataFrame:

@@ -115,7 +115,12 @@ def profiles_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def profile_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The review arrays of the nested profiles, element by element."""
-    parts = cut_lineage(place_profiles(domain(spark, sf_dir, text=True), 1 << 16).select("id", "part", "reviews"))
+    shown = F.transform(
+        "reviews",
+        lambda r: F.struct(r["id"].alias("id"), r["source"].alias("source"), r["rating"].alias("rating"), r["created_at"].alias("created_at"),
+            F.unhex(F.md5(r["comment"])).alias("digest")),
+    )
+    parts = cut_lineage(place_profiles(domain(spark, sf_dir, text=True), 1 << 16).select("id", "part", shown.alias("reviews")))
     earlier = Window.partitionBy("id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = parts.select("id", "part", F.coalesce(F.sum(F.size("reviews")).over(earlier), F.lit(0)).alias("before"))
     listed = parts.join(sizes, ["id", "part"]).select(
@@ -128,7 +133,7 @@ def profile_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
         "review.source",
         "review.rating",
         "review.created_at",
-        F.md5("review.comment").alias("comment_md5"),
+        F.lower(F.hex("review.digest")).alias("comment_md5"),
     )
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from larder import model
 from larder.operators import search as S
-from larder.operators.profiles import ROW_BYTES, place_profiles
+from larder.operators.profiles import ROW_BYTES, place_profiles, profile_parts
 from larder.operators.reviews import ranked_reviews, unified_reviews
 from larder.operators.selection import page_rows
 from larder.operators.stats import combine_stats, review_stats, source_stats
@@ -192,6 +192,20 @@ def test_profile_parts_do_not_depend_on_the_partitions(spark, tables):
     assert found[0] == found[1]
 
 
+def test_profile_parts_of_hot_places_are_the_same(spark, tables):
+    found = [
+        sorted(map(str, profile_parts(tables, 300, hot_rows).select("restaurant_id", "part", "menu_items.id", "reviews.id").collect()))
+        for hot_rows in (0, 4, 1000)
+    ]
+    assert found[0] == found[1] == found[2]
+
+
+def test_profile_rows_are_shuffled_once(spark, tables):
+    """The rows of places that a task can hold are neither staged nor shuffled again for the sums and the lists."""
+    plan = profile_parts(tables, 300)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "staged-" not in plan
+
+
 PATTERNS = ["  ", "a%b soup", "lentil", "100\\% l", "DISH 4", "axxb", "a_xb", "zzz", "ish", "ENTI", "t", "e 3", "great%soup", "\\LENT"]
 
 
