@@ -2,16 +2,22 @@
 
 All texts (five columns of a place, dish names, comments, external reviews) are put in one order by table and place and cut into blocks of
 ``BLOCK_ROWS`` rows. For every trigram of the lower-cased texts and every block there is one posting list, the slots of the block
-whose text has the trigram; the files are sorted by trigram. A search takes the trigrams of the pattern's literal runs,
+whose text has the trigram; every file holds the lists of its blocks, sorted by trigram. A search takes the trigrams of the pattern's literal runs,
 intersects their lists block by block, reads the texts in these slots and checks them with ``ilike``. Lists are bounded by the block, however
 frequent a trigram or large a place is. A pattern without three literal characters in a row has no trigrams: it is a scan.
 """
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from larder.operators.numbering import numbered
@@ -20,8 +26,12 @@ from larder.session import cut_lineage
 BLOCK_ROWS = 4096
 #: So many blocks are named in the filter of the text scan; more are joined.
 _NAMED_BLOCKS = 1000
-#: Overlapping runs of three characters.
-_TRIGRAM = "(?s)(?=(.{3}))"
+_POSTINGS = "trigram string, block long, slots array<int>"
+#: So many characters are turned into trigrams at a time.
+_PIECE = 1 << 20
+
+# The functions that run in Python workers go there by value: executors need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 @dataclass(frozen=True)
@@ -41,6 +51,89 @@ def searchable_texts(columns: dict[str, tuple[DataFrame, str, list[str]]]) -> Da
     return reduce(DataFrame.unionByName, found).filter("text IS NOT NULL")
 
 
+def _code_points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of all texts one after the other, and where each text ends."""
+    lengths = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+    ends, data = np.cumsum(lengths), b"".join(texts.cast(pa.binary()).to_pylist())
+    try:
+        whole = data.decode("utf-8")
+    except UnicodeDecodeError:  # as Spark shows such texts
+        shown = [text.decode("utf-8", "replace") for text in texts.cast(pa.binary()).to_pylist()]
+        whole, ends = "".join(shown), np.cumsum([len(text) for text in shown])
+    else:
+        starts = np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
+        ends = np.where(ends > 0, np.append(starts, 0)[ends - 1], 0)
+    return np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64), ends
+
+
+def _pairs(slots: np.ndarray, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Distinct pairs of a trigram (21 bits per character) and a slot, piece by piece, sorted inside a piece."""
+    points, ends = _code_points(texts)
+    rows = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+    for low in range(0, max(len(points) - 2, 0), _PIECE):
+        here, of = points[low : low + _PIECE + 2], rows[low : low + _PIECE + 2]
+        inside = of[2:] == of[:-2]
+        present = np.zeros(0x110000, bool)
+        present[here] = True
+        alphabet = np.flatnonzero(present)
+        rank = np.zeros(0x110000, np.int64)
+        rank[alphabet] = np.arange(len(alphabet))
+        wide, slot = int(len(alphabet)).bit_length(), slots[of[2:][inside]]
+        low_bits = int(slot.max(initial=0)).bit_length()
+        if 3 * wide + low_bits <= 63:  # nearly always: one sort of one number each
+            ranks = rank[here]
+            codes = (ranks[:-2] << 2 * wide | ranks[1:-1] << wide | ranks[2:])[inside]
+            both = np.sort(codes << low_bits | slot)
+            both = both[np.diff(both, prepend=-1) != 0]
+            codes, mask = both >> low_bits, (1 << wide) - 1
+            spelled = alphabet[codes >> 2 * wide] << 42 | alphabet[codes >> wide & mask] << 21 | alphabet[codes & mask]
+            yield spelled, both & ((1 << low_bits) - 1)
+        else:
+            codes, which = np.unique((here[:-2] << 42 | here[1:-1] << 21 | here[2:])[inside], return_inverse=True)
+            both = np.unique(which.astype(np.int64) << 32 | slot)
+            yield codes[both >> 32], both & 0xFFFFFFFF
+
+
+def _block_lists(block: int, pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch | None:
+    """The posting lists of one block."""
+    if not pairs:
+        return None
+    if len(pairs) == 1:
+        listed, slots = pairs[0]
+    else:
+        codes, which = np.unique(np.concatenate([codes for codes, _ in pairs]), return_inverse=True)
+        both = np.unique(which.astype(np.int64) << 32 | np.concatenate([slots for _, slots in pairs]))
+        listed, slots = codes[both >> 32], both & 0xFFFFFFFF
+    firsts = np.flatnonzero(np.diff(listed, prepend=-1))
+    codes, at = listed[firsts], np.append(firsts, len(listed)).astype(np.int32)
+    mask = (1 << 21) - 1
+    points = np.stack([codes >> 42, codes >> 21 & mask, codes & mask], axis=1).astype("<u4")
+    spelled = points.tobytes().decode("utf-32-le", "surrogatepass")
+    trigrams = pa.array([spelled[k : k + 3] for k in range(0, len(spelled), 3)], pa.string())
+    lists = pa.ListArray.from_arrays(pa.array(at), pa.array(slots.astype(np.int32)))
+    return pa.RecordBatch.from_arrays([trigrams, pa.array(np.full(len(codes), block, np.int64)), lists], ["trigram", "block", "slots"])
+
+
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Posting lists of texts (block, slot, text) that come block by block; a block is held as its distinct pairs."""
+    current, pairs = None, []
+    for batch in batches:
+        blocks = batch["block"].to_numpy(zero_copy_only=False)
+        slots = batch["slot"].to_numpy(zero_copy_only=False).astype(np.int64)
+        cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
+        for low, high in zip(cuts, cuts[1:]):
+            if low == high:
+                continue
+            if blocks[low] != current:
+                if (lists := _block_lists(current, pairs)) is not None:
+                    yield lists
+                current, pairs = blocks[low], []
+            found = [pair for pair in _pairs(slots[low:high], batch["text"].slice(low, high - low)) if len(pair[0])]
+            pairs += found
+    if (lists := _block_lists(current, pairs)) is not None:
+        yield lists
+
+
 def build_text_index(texts: DataFrame, path: str, block_rows: int = BLOCK_ROWS) -> TextIndex:
     """Write the index of ``texts`` (as ``searchable_texts`` gives them) to a new folder."""
     spark = texts.sparkSession
@@ -49,11 +142,10 @@ def build_text_index(texts: DataFrame, path: str, block_rows: int = BLOCK_ROWS)
     block, slot = F.floor(at / block_rows).alias("block"), F.pmod(at, F.lit(block_rows)).cast("int").alias("slot")
     placed.select(block, slot, "restaurant_id", "text").write.parquet(f"{path}/texts")
     written = spark.read.parquet(f"{path}/texts")
-    trigrams = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_TRIGRAM), F.lit(1)))
-    listed = written.select("block", "slot", F.explode(trigrams).alias("trigram"))
-    postings = listed.groupBy("trigram", "block").agg(F.sort_array(F.collect_set("slot")).alias("slots"))
-    order = ["trigram", "block"]
-    postings.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(f"{path}/postings")
+    # ranges hold equal numbers of rows, but long texts lie together: blocks are dealt anew, each to one task
+    lowered = written.select("block", "slot", F.lower("text").alias("text"))
+    postings = lowered.repartition("block").sortWithinPartitions("block").mapInArrow(_postings, _POSTINGS)
+    postings.sortWithinPartitions("trigram", "block").write.parquet(f"{path}/postings")
     return open_text_index(spark, path)
 
 

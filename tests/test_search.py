@@ -233,6 +233,27 @@ def test_index_reads_candidates_only(spark, tables, monkeypatch):
     assert literal_runs("%a\\%b_c\\\\%") == ["a%b", "c\\"]
 
 
+def test_index_lists_every_trigram_of_every_block(spark, monkeypatch):
+    from larder.operators import text_index
+    from larder.staging import new_folder
+
+    found = ["", "ab", "İIß 😀😀😀x", "a\0b\0", "line\nline", "ÀÉÎ çöğ", "note " * 50, "\U0010ffff\U0010ffffz"]
+    rows = [("t", str(k % 7), found[k % len(found)] + (str(k) if k % 3 else "")) for k in range(200)]
+    texts = spark.createDataFrame(rows, "source string, restaurant_id string, text string")
+    index = build_text_index(texts, new_folder(spark), block_rows=16)
+    expected = {}
+    for row in index.texts.selectExpr("block", "slot", "lower(text) AS text").collect():
+        for k in range(len(row.text) - 2):
+            expected.setdefault((row.text[k : k + 3], row.block), set()).add(row.slot)
+    got = {(r.trigram, r.block): r.slots for r in index.postings.collect()}
+    assert index.postings.count() == len(got)
+    assert got == {key: sorted(slots) for key, slots in expected.items()}
+    monkeypatch.setattr(text_index, "_PIECE", 5)  # pieces end inside texts
+    lowered = index.texts.selectExpr("block", "slot", "lower(text) AS text").sort("block").toArrow()
+    again = [row for batch in text_index._postings(iter(lowered.to_batches(7))) for row in batch.to_pylist()]
+    assert {(r["trigram"], r["block"]): r["slots"] for r in again} == got and len(again) == len(got)
+
+
 def test_pages_of_a_long_order(spark):
     rows = [(k * 7919 % 3001, ["b", "a", None][k % 3], k % 5) for k in range(3001)]
     df = spark.createDataFrame(rows, "id long, name string, x int").repartition(5)
