@@ -337,6 +337,7 @@ class Tables:
 
     def __init__(self, known: dict[int, bytes], code: Code, mixing: Mixing, keep_counts: bool = True) -> None:
         step, self.counts, self.packed, number = 1 << _PIECE_BITS, [], [], 0
+        self._last: dict[int, np.ndarray] = {}
         for size in _sizes(code, mixing.table_bits):
             last = number + -(-2 * size // step)
             wide = any(known.get(k, b"").startswith(_WIDE) for k in range(number, last))
@@ -374,16 +375,28 @@ class Tables:
 
     def read_without(self, found: Bits) -> tuple[np.ndarray, np.ndarray]:
         """The same for training documents, each taken out of the counts."""
-        packed = []
-        document = found.documents() << 40
-        for table, cells in zip(self.counts, found.cells):
-            _, own = np.unique(document + cells, return_inverse=True)
-            ones = np.bincount(own, found.bits)[own]
-            zeros = np.bincount(own, 1 - found.bits)[own]
-            left = np.maximum(table[cells] - np.stack((zeros, ones), axis=1), 0).astype(np.float32)
-            packed.append(self._packed(left[:, 0], left[:, 1]))
+        document = found.documents().astype(np.int16)
+        order = np.argsort(document, kind="stable")  # of 16 bits: a radix sort
+        bounds = np.searchsorted(document[order], np.arange(len(found.sizes) + 1))
+        packed = [np.empty(len(order), np.int16) for _ in self.counts]
+        for k in range(len(found.sizes)):
+            places = order[bounds[k] : bounds[k + 1]]
+            bits = found.bits[places]
+            for table, cells, values in zip(self.counts, found.cells, packed):
+                cells = cells[places]
+                left = np.maximum(table.take(cells, axis=0) - self._own_counts(cells, bits, len(table)), 0).astype(np.float32)
+                values[places] = self._packed(left[:, 0], left[:, 1])
         return self._inputs(packed, found)
 
+    def _own_counts(self, cells: np.ndarray, bits: np.ndarray, size: int) -> np.ndarray:
+        """Zeros and ones in the cell of every bit among these bits. A cell remembers one of its bits, which counts for all: nothing is sorted."""
+        if size not in self._last:
+            self._last[size] = np.zeros(size, np.int32)
+        last = self._last[size]
+        last[cells] = np.arange(len(cells), dtype=np.int32)
+        one = last.take(cells)
+        return np.bincount(2 * one + bits, minlength=2 * len(cells)).reshape(-1, 2).take(one, axis=0)
+
 
 _loaded: dict[str, Tables] = {}
 

@@ -280,3 +280,21 @@ def test_op9_starting_weights_come_from_all_training_documents(spark, monkeypatc
     docs = spark.createDataFrame([(k, f"one two {k}") for k in range(1_500)], "doc_id long, text string")
     C.score_documents(docs, mixing=C.Mixing(words=4, table_bits=12, block=16))
     assert fitted == [docs.filter(~C.held_out("doc_id")).count()] and fitted[0] > 1_000
+
+
+def test_documents_leave_the_counts_without_sorting_cells(monkeypatch):
+    code, mixing = C.Code([b"a", b"b"], np.ones(C._FIRST_WORD + 2)), C.Mixing(table_bits=6, block=8)
+    found = C.Bits(code, [[b"a", b"b", b"q"] * 30, [], [b"zz", b"a"] * 9, [b"a"]], 6, 8)
+    tables, rng = C.Tables({}, code, mixing), np.random.default_rng(5)
+    for counts in tables.counts:
+        counts[:] = rng.integers(0, 40, counts.shape)
+    packed, document = [], found.documents()
+    for counts, cells in zip(tables.counts, found.cells):
+        own = Counter(zip(document.tolist(), cells.tolist(), found.bits.tolist()))
+        left = [
+            [max(int(counts[c, bit]) - own[d, c, bit], 0) for bit in (0, 1)] for d, c in zip(document.tolist(), cells.tolist())
+        ]
+        packed.append(tables._packed(*np.array(left, np.float32).T))
+    monkeypatch.delattr(np, "unique")
+    for one, other in zip(tables.read_without(found), tables._inputs(packed, found)):
+        assert (one == other).all()
