@@ -14,7 +14,8 @@ import os
 
 import numpy as np
 
-#: A worker forgets what the current batch does not need when it knows so many words; this bounds its memory and changes no result.
+#: A worker forgets what the current batch does not need when it knows so many words, unless its caller names another number; this
+#: bounds its memory and changes no result.
 _REMEMBERED = 1_500_000
 _MARK = "¦"
 #: Two white-space characters in a row, and all but the space and the line feed.
@@ -24,7 +25,7 @@ _IRREGULAR = ["  ", "\n\n", " \n", "\n ", *[chr(c) for c in range(0x3001) if chr
 class Encoder:
     """Encodes batches of texts to the bytes of little-endian unsigned 32-bit ids, without special tokens."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, remembered: int | None = None) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
         from tokenizers import Tokenizer
 
@@ -34,6 +35,7 @@ class Encoder:
         #: Whether a word keeps the space before it; else white space only ends words.
         self._spaced = described["normalizer"] is None
         self._known: dict[str, bytes] = {}
+        self._remembered = remembered
         self._feed = self._whole("\n")
         # what stands between new words that are encoded together; regular words hold no line feed
         self._mark = "\n" if self._spaced else f"\n{_MARK}\n"
@@ -93,7 +95,7 @@ class Encoder:
         ids = list(map(self._known.get, flat))
         new = [k for k, found in enumerate(ids) if found is None]
         if new:
-            if len(self._known) + len(new) > _REMEMBERED:
+            if len(self._known) + len(new) > (self._remembered or _REMEMBERED):
                 self._known = {key: found for key, found in zip(flat, ids) if found is not None}
             self._learn({flat[k] for k in new})
             for k in new:
@@ -110,11 +112,12 @@ class Encoder:
         return result
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int | None], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder per worker and vocabulary file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, remembered: int | None = None) -> Encoder:
+    """One encoder per worker, vocabulary file and number of words to remember."""
+    key = path, remembered
+    if key not in _encoders:
+        _encoders[key] = Encoder(path, remembered)
+    return _encoders[key]

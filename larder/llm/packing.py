@@ -32,9 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from larder.llm.encoding import encoder
+from larder.session import batches_of
 from larder.staging import stage
 
-_TEXTS = 512
+_TEXTS = 128
+#: Words that a worker remembers, and the text that Spark hands it at once. An executor may keep several idle workers, each with its own.
+_REMEMBERED = 500_000
+_BATCH_BYTES = "4m"
 #: Pieces of one length are ranked in buckets of the whole table's pieces of about this size, 16 at least.
 _BUCKET_ROWS = 100_000
 #: Configurations that column generation tries; the mix it has by then is a valid one, if not yet the best.
@@ -260,7 +264,7 @@ def _pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> Data
                     (document, at // step, at // 4, min(step, len(ids) - at) // 4, zlib.crc32(ids[at : at + step]))
                     for document, ids in zip(
                         part.column(0).to_pylist(),
-                        (ids + end for ids in encoder(tokenizer).encode(part.column(1).to_pylist())),
+                        (ids + end for ids in encoder(tokenizer, _REMEMBERED).encode(part.column(1).to_pylist())),
                     )
                     for at in range(0, len(ids), step)
                 ]
@@ -318,7 +322,8 @@ def pack(
 ) -> DataFrame:
     """Every piece of every document with its place in a sequence."""
     named = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    pieces = stage(_pieces(named, tokenizer, end_id, capacity))
+    with batches_of(docs.sparkSession, _BATCH_BYTES):
+        pieces = stage(_pieces(named, tokenizer, end_id, capacity))
     histogram = {row.length: row.n for row in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     plan = make_plan(histogram, capacity, groups)
     ranked = _ranked(pieces, sum(histogram.values()))

@@ -66,3 +66,13 @@ def test_any_text(file, texts):
     path = public_tokenizers.path(file)
     own = encoding.encoder(path)
     assert own.encode(texts) == [plain(own._library, text) for text in texts]
+
+
+@pytest.mark.parametrize("file", FILES)
+def test_caller_bounds_the_memory(file):
+    path = public_tokenizers.path(file)
+    own, library = encoding.encoder(path, 9), Tokenizer.from_file(path)
+    assert own is encoding.encoder(path, 9) and own is not encoding.encoder(path)
+    texts = [f"w{k} w{k + 1} a b" for k in range(40)]
+    assert [own.encode([text])[0] for text in texts] == [plain(library, text) for text in texts]
+    assert len(own._known) <= 9

@@ -6,11 +6,14 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from larder.llm import packing as P, token_files as T
 from larder.llm.catalog import QUERIES
+from larder.session import batches_of
 from larder.staging import new_folder
 from llm import odd
 
@@ -187,3 +190,25 @@ def test_op10_odd_documents(spark):
     rows = T.round_trip(odd.frame(spark), BYTE, 0, new_folder(spark)).withColumnRenamed("id", "doc_id").collect()
     check_files(rows, [(row[0], row[1]) for row in odd.rows()])
     assert T.round_trip(odd.frame(spark, []), BYTE).count() == 0
+
+
+def test_packing_gets_texts_in_batches_of_bounded_bytes(spark, monkeypatch):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, seen = spark.conf.get(name), []
+    docs = spark.range(64).select(F.col("id").alias("doc_id"), F.repeat(F.lit("ab "), 1000).alias("text")).coalesce(1)
+    own = P._pieces
+
+    def counted(*args):
+        seen.append(spark.conf.get(name))
+        return own(*args)
+
+    monkeypatch.setattr(P, "_pieces", counted)
+    assert P.pack(docs, WORD).count() == 64
+    assert seen == [P._BATCH_BYTES] and spark.conf.get(name) == before
+
+    def rows(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    with batches_of(spark, "30k"):
+        assert max(row.n for row in docs.select("text").mapInArrow(rows, "n long").collect()) < 32
