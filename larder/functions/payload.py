@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from larder.functions.text import repair_text, strip
+from larder.functions.text import bound, repair_text_once, strip
 
 # Keys are consumed by the first branch (an empty group); the second captures text values at any depth.
 _TEXT_VALUES = r'"(?:[^"\\]|\\.)*"\s*:|"((?:[^"\\]|\\.)*)"'
@@ -162,8 +162,8 @@ def repaired(json: Column) -> Column:
 
     def spelled(token: Column) -> Column:
         text = F.get(F.from_json(F.concat(F.lit("["), token, F.lit("]")), "array<string>"), F.lit(0))
-        whole = F.to_json(F.array(repair_text(text)))
-        return F.coalesce(F.substring(whole, F.lit(2), F.length(whole) - 2), token)
+        inner = bound(F.to_json(F.array(repair_text_once(text))), lambda whole: F.substring(whole, F.lit(2), F.length(whole) - 2))
+        return F.coalesce(inner, token)
 
     def mended(token: Column) -> Column:
         is_text = F.startswith(token, F.lit('"')) & ~F.endswith(token, F.lit(":"))

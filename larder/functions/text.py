@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 # All Unicode white space, not only the blank that ``trim`` removes.
@@ -63,6 +65,20 @@ def repair_text(text: Column) -> Column:
     return _only_beyond_ascii(text, _read_cp1252_as_utf8(_read_latin1_as_utf8(text)))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, for use inside lambdas, where Spark works out every mention anew."""
+    return F.get(F.transform(F.array(value), lambda once: use(once)), F.lit(0))
+
+
+def repair_text_once(text: Column) -> Column:
+    """``repair_text`` for a text that is costly to work out, inside lambdas."""
+
+    def repaired(given: Column) -> Column:
+        return _only_beyond_ascii(given, bound(_read_latin1_as_utf8(given), _read_cp1252_as_utf8))
+
+    return bound(text, repaired)
+
+
 def repair_columns(df: DataFrame, names: list[str]) -> DataFrame:
     """``repair_text`` for many columns, one projection per step, so that no input is worked out twice."""
     for step in (_read_latin1_as_utf8, _read_cp1252_as_utf8):

@@ -671,12 +671,13 @@ def review_sync_again(spark: SparkSession, sf_dir: str) -> DataFrame:
 def payload_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Damaged texts in nested lists and objects; keys, even damaged ones, and numbers stay."""
     rows = D.spread(D.read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
-    text = F.to_json(F.array(D.misread(F.col("text"))))
-    value = F.substring(text, F.lit(2), F.length(text) - 2)
+    # one projection per step, so that no text is spelled more than once
+    spelled = rows.select("doc_id", F.to_json(F.array(D.misread(F.col("text")))).alias("spelled"))
+    value = F.substring("spelled", F.lit(2), F.length("spelled") - 2)
     json = F.concat(
         F.lit('{"name":'), value, F.lit(',"list":[1,'), value, F.lit(',{"more":[['), value, F.lit(',1.5]],"Ã¼":null}]}')
     )
-    mended = rows.select("doc_id", P.repaired(json).alias("j"))
+    mended = spelled.select("doc_id", json.alias("json")).select("doc_id", P.repaired(F.col("json")).alias("j"))
     return mended.select(
         "doc_id",
         F.get_json_object("j", "$.name").alias("named"),

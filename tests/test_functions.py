@@ -277,3 +277,11 @@ def test_deep_repair_equals_a_plain_walk(spark):
     assert found[len(values) :] == [None, "no json Ã©", "[\"Café\"]"]
     long = json.dumps({"a": ["x\\" * 50_000 + "CafÃ©", {"b": "CafÃ© " * 20_000}]}, ensure_ascii=False)
     assert json.loads(apply(spark, [long], P.repaired)[0])["a"][1]["b"] == "Café " * 20_000
+
+
+def test_repaired_payload_spells_each_text_once(spark):
+    rows = spark.createDataFrame([('{"a":"cafÃ©","b":["ünï \\u00fc",null]}',), ("no JSON é",), (None,)], "j string")
+    mended = rows.select(P.repaired(F.col("j")).alias("j"))
+    assert [row.j for row in mended.collect()] == ['{"a":"café","b":["ünï ü",null]}', "no JSON é", None]
+    plan = mended._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1 and plan.count("to_json") == 1
