@@ -21,3 +21,15 @@ def short_digest(text: Column) -> Column:
 def place_key(kind: str, name: Column) -> Column:
     """What stands for a name of a kind at the place ``restaurant_id``; NULL where either is NULL."""
     return short_digest(F.concat("restaurant_id", F.lit(f"\x1f{kind}"), name))
+
+
+def pack_hex(text: Column) -> Column:
+    """A text in few bytes: 64 lower-case hex digits, which a fingerprint is, take 33."""
+    digits = F.concat(F.lit(b"x"), F.unhex(text))
+    return F.when(text.rlike(r"^[0-9a-f]{64}\z"), digits).otherwise(F.concat(F.lit(b"t"), text.cast("binary")))
+
+
+def unpack_hex(packed: Column) -> Column:
+    """The text that ``pack_hex`` was given."""
+    rest = F.substring(packed, 2, 2**31 - 1)
+    return F.when(F.substring(packed, 1, 1) == F.lit(b"x"), F.lower(F.hex(rest))).otherwise(rest.cast("string"))
