@@ -481,7 +481,8 @@ def sync_new_pages(
     A place with an unreadable page is left alone and keeps its entries.
     """
     pages = pages_of_places(places, landed).filter(F.col("page_index") < max(1, max_pages))
-    hashed = pages.withColumn("digest", F.sha2(F.col("body").cast("binary"), 256))
+    # staged, as five steps read the pages, most of them without the bodies
+    hashed = cut_lineage(pages.withColumn("digest", F.sha2(F.col("body").cast("binary"), 256)))
     page = ["restaurant_id", "page_index"]
     ledger = cut_lineage(ledger)
     known = ledger.select(*page, "digest", "readable", "ends")
@@ -496,7 +497,7 @@ def sync_new_pages(
     changed = same.join(there, "restaurant_id", "left_semi").filter(~F.col("_same")).select("restaurant_id").distinct()
     fresh = good.join(before, page, "left_anti").join(changed, "restaurant_id", "left_anti")
     applied = cut_lineage(good.join(changed, "restaurant_id", "left_semi").unionByName(fresh).select(*page))
-    bodies = pages.join(applied, page)
+    bodies = hashed.drop("digest").join(applied, page)
     incoming = typed_reviews(page_items(bodies, REVIEW_LISTS), default_language)
     result = upsert_reviews(incoming, stored, as_of)
     # places that were read whole get new entries, others keep theirs and add the facts of pages that were parsed

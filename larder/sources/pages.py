@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from larder.functions import payload as P
 from larder.functions.text import nonblank
+from larder.session import cut_lineage
 
 # Members that may hold the places of a search page, in order of preference.
 PLACE_LISTS = ["local_results", "place_results", "places"]
@@ -58,10 +59,11 @@ def reached_pages(known: DataFrame, key: str) -> DataFrame:
 def fetched_pages(pages: DataFrame, key: str, max_pages: int) -> DataFrame:
     """Pages that a reader following the tokens would have seen, with ``source_failed``.
 
-    At most ``max(1, max_pages)`` pages per source, up to the first one without a token.
+    At most ``max(1, max_pages)`` pages per source, up to the first one without a token. Pages are staged with their facts, so that
+    they are fetched and parsed once, though each source's end is looked for before its pages are read.
     """
     within = pages.filter(F.col("page_index") < max(1, max_pages))
-    return reached_pages(page_facts(within), key).drop("readable", "ends")
+    return reached_pages(cut_lineage(page_facts(within)), key).drop("readable", "ends")
 
 
 def page_items(pages: DataFrame, lists: list[str]) -> DataFrame:
