@@ -8,7 +8,7 @@ seen, picks one set of weights; the predictors' log odds are added under these w
 learned online, block of bits after block, by logistic regression; the counts stay as they are while a text is scored. While a document is scored, its own correction of the weights follows the
 errors made so far, block after block, so that every bit is predicted from what comes before it alone.
 
-The counts are gathered from all training documents. Each task adds up its own dense tables; tables are merged in rounds of a
+The counts are gathered from all training documents. Each task adds up its own dense tables, equal symbols under equal contexts at once; tables are merged in rounds of a
 bounded number of pieces, until one is left; its size is a parameter and does not depend on the corpus. Pieces whose sums pass 32
 bits are kept in 64. The weights start from a fit on all training documents,
 each of which is taken out of the counts while it is predicted.
@@ -28,13 +28,12 @@ import heapq
 import math
 import uuid
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -53,8 +52,10 @@ _MERGED = 32
 _TEXTS = 64
 #: They have so many characters together at most, unless one text alone has more; this bounds a task's memory.
 _CHARACTERS = 150_000
-#: Bits whose cells are counted together.
-_COUNTED = 1_000_000
+#: Characters of texts that are cut into words together.
+_CUT = 1 << 21
+#: Symbols that are counted together, and those of them whose cells are worked out together.
+_COUNTED, _SPREAD = 1 << 20, 1 << 12
 #: Bits that a task counts before it gives its tables away and starts new ones: no cell of 32 bits can pass this.
 _FULL = (1 << 31) - 1
 _WIDE = b"L"
@@ -81,30 +82,63 @@ def held_out(id_column: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def _tokens(text: str | None) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+@dataclass(frozen=True)
+class Words:
+    """Lower-case words of texts, one after another, and how many each text has."""
 
+    flat: pa.BinaryArray
+    sizes: np.ndarray
 
-def _portions(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
-    """Rows that are handled together, and their texts."""
-    low = 0
-    while low < batch.num_rows:
-        texts, held = [], 0
-        for value in batch.column(column).slice(low, _TEXTS):
-            text = value.as_py()
-            held += len(text or "")
-            if texts and held > _CHARACTERS:
-                break
-            texts.append(text)
-        yield batch.slice(low, len(texts)), texts
-        low += len(texts)
+    @staticmethod
+    def of(texts: pa.Array) -> Words:
+        """Words lie between ASCII white space."""
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+        flat = lists.flatten()
+        full = pc.greater(pc.binary_length(flat), 0)
+        before = np.concatenate(([0], np.cumsum(full.to_numpy(zero_copy_only=False))))
+        offsets = lists.offsets.to_numpy()
+        return Words(flat.filter(full).cast(pa.binary()), np.diff(before[offsets - offsets[0]]))
+
+    @staticmethod
+    def listed(documents: list[list[bytes]]) -> Words:
+        flat = pa.array([word for words in documents for word in words], pa.binary())
+        return Words(flat, np.fromiter(map(len, documents), np.int64, len(documents)))
+
+
+def _portions(batch: pa.RecordBatch, column: int, code: Code) -> Iterator[tuple[pa.RecordBatch, Words, np.ndarray]]:
+    """Rows that are handled together, the words of their texts and the words' symbols."""
+    texts = batch.column(column)
+    lengths = pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False).tolist()
+    bounds, held = [0], 0
+    for row, length in enumerate(lengths):
+        held += length
+        if row > bounds[-1] and (row == bounds[-1] + _TEXTS or held > _CHARACTERS):
+            bounds.append(row)
+            held = length
+    bounds.append(batch.num_rows)
+    first = 0
+    while first < len(bounds) - 1 and batch.num_rows:
+        last, held = first + 1, sum(lengths[bounds[first] : bounds[first + 1]])
+        while last < len(bounds) - 1 and held < _CUT:
+            held += sum(lengths[bounds[last] : bounds[last + 1]])
+            last += 1
+        low = bounds[first]
+        words = Words.of(texts.slice(low, bounds[last] - low))
+        known = code.look_up(words.flat)
+        at = np.concatenate(([0], np.cumsum(words.sizes)))
+        for k in range(first, last):
+            begin, end = bounds[k] - low, bounds[k + 1] - low
+            mine = slice(at[begin], at[end])
+            own = Words(words.flat[mine], words.sizes[begin:end])
+            yield batch.slice(bounds[k], end - begin), own, known[mine]
+        first = last
 
 
 class Code:
     """Symbols of words and the Huffman code of the symbols."""
 
     def __init__(self, words: list[bytes], weights: np.ndarray) -> None:
-        self.symbols = {word: k + _FIRST_WORD for k, word in enumerate(words)}
+        self.words = pa.array(words, pa.binary())
         heap = [(int(w), k, None) for k, w in enumerate(weights.tolist())]
         heapq.heapify(heap)
         n = len(heap)
@@ -131,34 +165,80 @@ class Code:
         depth = np.arange(len(nodes)) - np.repeat(self.starts, self.lengths)
         self.path = (nodes << 4) | (np.minimum(depth >> 1, _DEPTHS - 1).astype(np.int32) << 1) | bits
 
-    def of(self, documents: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
-        """Symbols of all documents, the first symbol of each one's token, the number of symbols of each document, spelled words."""
-        sizes = np.fromiter(map(len, documents), np.int64, len(documents))
-        flat = [word for words in documents for word in words]
-        known = np.fromiter(map(self.symbols.get, flat, repeat(-1)), np.int32, len(flat))
+    def look_up(self, words: pa.BinaryArray) -> np.ndarray:
+        """Symbols of words; -1 for those that are spelled."""
+        found = pc.index_in(words, value_set=self.words).fill_null(-1 - _FIRST_WORD)
+        return found.to_numpy(zero_copy_only=False) + np.int32(_FIRST_WORD)
+
+    def symbols(self, words: Words, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Symbols of all documents, the first symbol of each one's token, the number of symbols of each document."""
+        documents = len(words.sizes)
         unknown = np.flatnonzero(known < 0)
-        spelled = [flat[k] for k in unknown.tolist()]
-        width = np.ones(len(flat), np.int64)
-        width[unknown] = np.fromiter(map(len, spelled), np.int64, len(spelled)) + 1
-        owner = np.repeat(np.arange(len(documents)), sizes)
-        totals = np.bincount(owner, width, minlength=len(documents)).astype(np.int64) + 1
+        spelled = words.flat.take(pa.array(unknown))
+        letters = pc.binary_length(spelled).to_numpy(zero_copy_only=False).astype(np.int64)
+        width = np.ones(len(known), np.int64)
+        width[unknown] = letters + 1
+        owner = np.repeat(np.arange(documents), words.sizes)
+        totals = np.bincount(owner, width, minlength=documents).astype(np.int64) + 1
         ends = np.cumsum(totals) - 1
         places = np.cumsum(width) - width + owner  # one end symbol for each document before
         symbols = np.full(int(totals.sum()), -1, np.int32)
         symbols[ends] = _END
-        symbols[places[known >= 0]] = known[known >= 0]
-        symbols[symbols < 0] = np.frombuffer(b"".join([word + b" " for word in spelled]), np.uint8)
-        tokens = np.sort(np.concatenate((places, ends)))
-        heads = np.repeat(tokens, np.diff(np.append(tokens, len(symbols))))
-        bounds = np.searchsorted(owner[unknown], np.arange(len(documents) + 1))
-        return symbols, heads, totals, [spelled[bounds[k] : bounds[k + 1]] for k in range(len(documents))]
+        symbols[places] = known
+        symbols[places[unknown] + letters] = _BLANK
+        if len(spelled):
+            _, offsets, data = spelled.buffers()
+            offsets = np.frombuffer(offsets, np.int32)[spelled.offset : spelled.offset + len(spelled) + 1]
+            symbols[symbols < 0] = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]]
+        tokens = np.zeros(len(symbols), bool)
+        tokens[places] = tokens[ends] = True
+        tokens = np.flatnonzero(tokens)
+        return symbols, np.repeat(tokens, np.diff(np.append(tokens, len(symbols)))), totals
+
+    def of(self, documents: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
+        """Symbols of documents given as lists of words, and the spelled words of each."""
+        words = Words.listed(documents)
+        known = self.look_up(words.flat)
+        return *self.symbols(words, known), _spelled(words, known)
+
 
+def _spelled(words: Words, known: np.ndarray) -> list[list[bytes]]:
+    """The words of each document that are no symbols."""
+    unknown = np.flatnonzero(known < 0)
+    spelled = words.flat.take(pa.array(unknown)).to_pylist()
+    bounds = np.searchsorted(unknown, np.concatenate(([0], np.cumsum(words.sizes))))
+    return [spelled[low:high] for low, high in zip(bounds, bounds[1:])]
 
-def _by_block(sizes: np.ndarray, block: int) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
+
+def _spelled_counts(words: Words, known: np.ndarray) -> tuple[np.ndarray, pa.ListArray, pa.ListArray]:
+    """Of each document: the number of words that are no symbols, the different ones, and how often each occurs."""
+    unknown, n = np.flatnonzero(known < 0), len(words.sizes)
+    found = words.flat.take(pa.array(unknown)).dictionary_encode()
+    kinds = max(1, len(found.dictionary))
+    owner = np.repeat(np.arange(n), words.sizes)[unknown]
+    keys, times = np.unique(owner * kinds + found.indices.to_numpy(zero_copy_only=False), return_counts=True)
+    bounds = pa.array(np.searchsorted(keys, np.arange(n + 1) * kinds), pa.int32())
+    rare = found.dictionary.take(pa.array(keys % kinds))
+    return np.bincount(owner, minlength=n), pa.ListArray.from_arrays(bounds, rare), pa.ListArray.from_arrays(bounds, pa.array(times, pa.int64()))
+
+
+@dataclass(frozen=True)
+class Round:
+    """Bits that are mixed together: a block of up to ``step`` bits of each document that is ``alive``, ``sizes`` of them and from ``heads`` on,
+    between two places (``low``, ``high``) in the order of mixing."""
+
+    alive: np.ndarray
+    sizes: np.ndarray
+    heads: np.ndarray
+    step: int
+    low: int
+    high: int
+
+
+def _by_block(sizes: np.ndarray, block: int) -> tuple[np.ndarray, list[Round]]:
     """Places of bits, first those of every document's first block, then of the second and so on, and the rounds of that.
 
-    A round is (first bit in a document, bits of a document, its first and its last place in the result). Blocks grow with
-    the distance from the start, so that long documents take few rounds.
+    Blocks grow with the distance from the start, so that long documents take few rounds.
     """
     starts, found, rounds, low, begin = np.cumsum(sizes) - sizes, [], [], 0, 0
     while low < int(sizes.max(initial=0)):
@@ -166,63 +246,99 @@ def _by_block(sizes: np.ndarray, block: int) -> tuple[np.ndarray, list[tuple[int
         alive = np.flatnonzero(sizes > low)
         own = np.minimum(sizes[alive] - low, step)
         ends = np.cumsum(own)
-        found.append(np.arange(int(ends[-1])) + np.repeat(starts[alive] + low - ends + own, own))
-        rounds.append((low, step, begin, begin + int(ends[-1])))
+        heads = ends - own
+        found.append(np.arange(int(ends[-1])) + np.repeat(starts[alive] + low - heads, own))
+        rounds.append(Round(alive, own, heads, step, begin, begin + int(ends[-1])))
         low, begin = low + step, begin + int(ends[-1])
     return np.concatenate(found) if found else np.empty(0, np.int64), rounds
 
 
-class Bits:
-    """The bits of some documents with the cells of every predictor; with ``block``, in the order in which they are mixed."""
+def _contexts(symbols: np.ndarray, heads: np.ndarray, totals: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """A hash of 32 bits per symbol for the context of every predictor but the first, and the symbol before."""
+    place = np.arange(len(symbols)) - np.repeat(np.cumsum(totals) - totals, totals)
+    before = [np.where(place >= k, np.roll(symbols, k), _END).astype(np.uint64) for k in range(1, max(_ORDERS) + 1)]
+    contexts = []
+    for order in _ORDERS:
+        context = np.full(len(symbols), order, np.uint64)
+        for k in range(order):
+            context = (context ^ before[k]) * np.uint64(0xD6E8FEB86659FD93)
+            context ^= context >> np.uint64(32)
+        contexts.append(context)
+    # letters weighed by their place in the word, summed up to the current one
+    inside = np.arange(len(symbols)) - heads
+    powers = np.cumprod(np.full(int(inside.max(initial=0)) + 1, 0xA0761D6478BD642F, np.uint64))
+    weighed = (symbols.astype(np.uint64) + np.uint64(7)) * np.uint64(0x9E3779B97F4A7C15) * powers[inside]
+    sums = np.cumsum(weighed) - weighed
+    context = sums - sums[heads]
+    contexts.append((context ^ (context >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F))
+    return [(context >> np.uint64(32)).astype(np.uint32) for context in contexts], before[0]
+
+
+def _hashed(mixed: np.ndarray, steps: np.ndarray, table_bits: int) -> np.ndarray:
+    """Cells of bits from the contexts, which are overwritten, and from the nodes times a constant."""
+    mixed ^= steps
+    mixed *= np.uint32(0x85EBCA6B)
+    mixed ^= mixed >> np.uint32(15)
+    mixed *= np.uint32(0xC2B2AE35)
+    mixed >>= np.uint32(32 - table_bits)
+    return mixed.astype(np.int64)
+
+
+_NODE_STEP = np.uint32(0x9E3779B1)
 
-    def __init__(self, code: Code, documents: list[list[bytes]], table_bits: int, block: int | None = None) -> None:
-        symbols, heads, totals, self.spelled = code.of(documents)
-        self.symbols, self.totals = symbols, totals
-        lengths = code.lengths[symbols].astype(np.int64)
-        first = np.cumsum(lengths) - lengths
-        document = np.repeat(np.arange(len(documents)), totals)
-        self.sizes = np.bincount(document, lengths, minlength=len(documents)).astype(np.int64)
-        owner = np.repeat(np.arange(len(symbols)), lengths)
-        at = np.arange(len(owner)) + np.repeat(code.starts[symbols] - first, lengths)
+
+class Bits:
+    """The bits of some documents with the cells of every predictor, document after document; with ``block`` also the ``order`` in which
+    they are mixed, and its ``rounds``."""
+
+    def __init__(
+        self, code: Code, documents: list[list[bytes]] | Words, table_bits: int, block: int | None = None, known: np.ndarray | None = None
+    ) -> None:
+        words = documents if isinstance(documents, Words) else Words.listed(documents)
+        symbols, heads, self.totals = code.symbols(words, code.look_up(words.flat) if known is None else known)
+        self.symbols, self._table_bits = symbols, table_bits
+        self._contexts, before = _contexts(symbols, heads, self.totals)
+        self._lengths = code.lengths[symbols].astype(np.int64)
+        self._ends = np.concatenate(([0], np.cumsum(self._lengths)))
+        self._last = np.concatenate(([0], np.cumsum(self.totals)))  # symbols before each document
+        self.sizes = np.diff(self._ends[self._last])
         if block:
-            order, self.rounds = _by_block(self.sizes, block)
-            owner, at = owner[order], at[order]
-        path = code.path[at]
-        self.bits, nodes = path & 1, path >> 4
-        self._documents = document, owner
-        place = np.arange(len(symbols)) - np.repeat(np.cumsum(totals) - totals, totals)
-        before = [np.where(place >= k, np.roll(symbols, k), _END).astype(np.uint64) for k in range(1, max(_ORDERS) + 1)]
-        contexts = []
-        for order in _ORDERS:
-            context = np.full(len(symbols), order, np.uint64)
-            for k in range(order):
-                context = (context ^ before[k]) * np.uint64(0xD6E8FEB86659FD93)
-                context ^= context >> np.uint64(32)
-            contexts.append(context)
-        # letters weighed by their place in the word, summed up to the current one
-        inside = np.arange(len(symbols)) - heads
-        powers = np.cumprod(np.full(int(inside.max(initial=0)) + 1, 0xA0761D6478BD642F, np.uint64))
-        weighed = (symbols.astype(np.uint64) + np.uint64(7)) * np.uint64(0x9E3779B97F4A7C15) * powers[inside]
-        sums = np.cumsum(weighed) - weighed
-        context = sums - sums[heads]
-        contexts.append((context ^ (context >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F))
-        self.cells = [nodes.astype(np.int64)]
-        steps = nodes.astype(np.uint32) * np.uint32(0x9E3779B1)
-        for context in contexts:
-            mixed = (context >> np.uint64(32)).astype(np.uint32)[owner]
-            mixed ^= steps
-            mixed *= np.uint32(0x85EBCA6B)
-            mixed ^= mixed >> np.uint32(15)
-            mixed *= np.uint32(0xC2B2AE35)
-            mixed >>= np.uint32(32 - table_bits)
-            self.cells.append(mixed.astype(np.int64))
-        kind = (((before[0] < _END) & (before[0] != _BLANK)) * _DEPTHS).astype(np.int64)
-        self.gate = kind[owner] + ((path >> 1) & 7)
+            self.order, self.rounds = _by_block(self.sizes, block)
+        kind = (((before < _END) & (before != _BLANK)) * _DEPTHS).astype(np.int16)
+        shift = code.starts[symbols] - self._ends[:-1]
+        self._path = np.empty(int(self._ends[-1]), np.int32)
+        self.bits, self.gate = np.empty(len(self._path), np.int32), np.empty(len(self._path), np.int16)
+        for low, high in self._runs():
+            here, lengths = slice(self._ends[low], self._ends[high]), self._lengths[low:high]
+            path = code.path[np.arange(here.start, here.stop) + np.repeat(shift[low:high], lengths)]
+            self._path[here], self.bits[here] = path, path & 1
+            self.gate[here] = np.repeat(kind[low:high], lengths) + ((path >> 1) & 7).astype(np.int16)
+
+    def _runs(self) -> Iterator[tuple[int, int]]:
+        """Bounds of runs of symbols of whole documents, whose bits fit into a core's cache where the documents are short."""
+        low = 0
+        while low < len(self.symbols):
+            high = int(self._last[min(np.searchsorted(self._last, low + _SPREAD), len(self._last) - 1)])
+            yield low, high
+            low = high
+
+    def parts(self) -> Iterator[tuple[int, int, list[np.ndarray]]]:
+        """Bounds of runs of bits of whole documents and their cells, an array per predictor."""
+        for low, high in self._runs():
+            here, lengths = slice(self._ends[low], self._ends[high]), self._lengths[low:high]
+            nodes = self._path[here] >> 4
+            steps = nodes.astype(np.uint32) * _NODE_STEP
+            hashed = [_hashed(np.repeat(context[low:high], lengths), steps, self._table_bits) for context in self._contexts]
+            yield int(here.start), int(here.stop), [nodes.astype(np.int64), *hashed]
+
+    @property
+    def cells(self) -> list[np.ndarray]:
+        found = [cells for _, _, cells in self.parts()]
+        return [np.concatenate(own) for own in zip(*found)] if found else [np.empty(0, np.int64)] * _PREDICTORS
 
     def documents(self) -> np.ndarray:
         """The document of each bit."""
-        document, owner = self._documents
-        return document[owner]
+        return np.repeat(np.arange(len(self.sizes)), self.sizes)
 
 
 def _sizes(code: Code, table_bits: int) -> list[int]:
@@ -235,29 +351,32 @@ def _gather(docs: DataFrame, code: Code, mixing: Mixing) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = shared.value
-        sizes = _sizes(code, mixing.table_bits)
-        tables = [np.zeros(2 * size, np.int32) for size in sizes]
+        tables = [np.zeros(2 * size, np.int32) for size in _sizes(code, mixing.table_bits)]
         waiting: list[list[np.ndarray]] = [[] for _ in tables]
         held, counted = 0, 0
 
         def flush() -> None:
-            for table, cells in zip(tables, waiting):
-                if cells:
-                    table += np.bincount(np.concatenate(cells), minlength=len(table)).astype(np.int32)
-                cells.clear()
+            for k, (table, keys) in enumerate(zip(tables, waiting)):
+                if keys:
+                    _count(table, code, np.concatenate(keys), mixing.table_bits if k else 0)
+                keys.clear()
 
         for batch in batches:
-            for _, texts in _portions(batch, 0):
-                found = Bits(code, [_tokens(text) for text in texts], mixing.table_bits)
-                if counted and counted + len(found.bits) > _FULL:
+            for _, words, known in _portions(batch, 0, code):
+                symbols, heads, totals = code.symbols(words, known)
+                bits = int(code.lengths[symbols].sum())
+                if counted and counted + bits > _FULL:
                     flush()
                     yield from _pieces(tables, TaskContext.get().partitionId())
                     for table in tables:
                         table.fill(0)
                     held, counted = 0, 0
-                for cells, own in zip(waiting, found.cells):
-                    cells.append(2 * own + found.bits)
-                held, counted = held + len(found.bits), counted + len(found.bits)
+                contexts, _ = _contexts(symbols, heads, totals)
+                named = symbols.astype(np.uint64)
+                waiting[0].append(named)
+                for keys, context in zip(waiting[1:], contexts):
+                    keys.append((context.astype(np.uint64) << np.uint64(32)) | named)
+                held, counted = held + len(symbols), counted + bits
                 if held >= _COUNTED:
                     flush()
                     held = 0
@@ -268,6 +387,29 @@ def _gather(docs: DataFrame, code: Code, mixing: Mixing) -> DataFrame:
     return docs.select("text").mapInArrow(count, "piece int, task long, counts binary")
 
 
+def _count(table: np.ndarray, code: Code, keys: np.ndarray, table_bits: int) -> None:
+    """Add the bits of symbols to a table; ``keys`` are the symbols below their contexts. Equal ones are sorted together and counted at once.
+
+    Without ``table_bits`` the nodes themselves are the cells.
+    """
+    keys.sort()
+    new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    times = np.diff(np.append(new, len(keys))).astype(np.int32)
+    keys = keys[new]
+    for low in range(0, len(keys), _SPREAD):
+        part = keys[low : low + _SPREAD]
+        symbols = (part & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        lengths = code.lengths[symbols].astype(np.int64)
+        first = np.cumsum(lengths) - lengths
+        path = code.path[np.arange(int(lengths.sum())) + np.repeat(code.starts[symbols] - first, lengths)]
+        nodes = path >> 4
+        cells = nodes.astype(np.int64)
+        if table_bits:
+            mixed = np.repeat((part >> np.uint64(32)).astype(np.uint32), lengths)
+            cells = _hashed(mixed, nodes.astype(np.uint32) * _NODE_STEP, table_bits)
+        np.add.at(table, 2 * cells + (path & 1), np.repeat(times[low : low + _SPREAD], lengths))
+
+
 def _zipped(counts: np.ndarray) -> bytes:
     """Counts as 32-bit numbers, or, where one does not fit, as 64-bit ones behind a mark that no zipped data begins with."""
     if counts.max(initial=0) <= np.iinfo(np.int32).max:
@@ -337,7 +479,6 @@ class Tables:
 
     def __init__(self, known: dict[int, bytes], code: Code, mixing: Mixing, keep_counts: bool = True) -> None:
         step, self.counts, self.packed, number = 1 << _PIECE_BITS, [], [], 0
-        self._last: dict[int, np.ndarray] = {}
         for size in _sizes(code, mixing.table_bits):
             last = number + -(-2 * size // step)
             wide = any(known.get(k, b"").startswith(_WIDE) for k in range(number, last))
@@ -359,54 +500,72 @@ class Tables:
 
     @staticmethod
     def _inputs(packed: list[np.ndarray], found: Bits) -> tuple[np.ndarray, np.ndarray]:
-        """Inputs of the mix, a row per predictor and one of ones, and the gates."""
+        """Inputs of the mix in its order, a row per predictor and one of ones, and the gates."""
         inputs = np.empty((_PREDICTORS + 1, len(found.bits)), np.float32)
-        longest = np.zeros(len(found.bits), np.int64)
+        longest = np.zeros(len(found.bits), np.int16)
         for k, values in enumerate(packed):
-            inputs[k] = values >> 1
             if k:
-                np.maximum(longest, (values & 1) * np.int64(k), out=longest)
-        inputs[:-1] *= np.float32(_STEP)
+                np.maximum(longest, (values & 1) * np.int16(k), out=longest)
+            np.multiply((values >> 1).take(found.order), np.float32(_STEP), out=inputs[k])
         inputs[-1] = 0.3
-        return inputs, found.gate * _PREDICTORS + longest
+        return inputs, (found.gate * np.int16(_PREDICTORS) + longest).take(found.order).astype(np.int64)
 
     def read(self, found: Bits) -> tuple[np.ndarray, np.ndarray]:
-        return self._inputs([table[cells] for table, cells in zip(self.packed, found.cells)], found)
+        packed = [np.empty(len(found.bits), np.int16) for _ in self.packed]
+        for low, high, parts in found.parts():
+            for table, cells, values in zip(self.packed, parts, packed):
+                values[low:high] = table[cells]
+        return self._inputs(packed, found)
 
     def read_without(self, found: Bits) -> tuple[np.ndarray, np.ndarray]:
-        """The same for training documents, each taken out of the counts."""
-        document = found.documents().astype(np.int16)
-        order = np.argsort(document, kind="stable")  # of 16 bits: a radix sort
-        bounds = np.searchsorted(document[order], np.arange(len(found.sizes) + 1))
-        packed = [np.empty(len(order), np.int16) for _ in self.counts]
-        for k in range(len(found.sizes)):
-            places = order[bounds[k] : bounds[k + 1]]
-            bits = found.bits[places]
-            for table, cells, values in zip(self.counts, found.cells, packed):
-                cells = cells[places]
-                left = np.maximum(table.take(cells, axis=0) - self._own_counts(cells, bits, len(table)), 0).astype(np.float32)
-                values[places] = self._packed(left[:, 0], left[:, 1])
+        """The same for training documents, each taken out of the counts while it is looked up and put back."""
+        packed = [np.empty(len(found.bits), np.int16) for _ in self.counts]
+        bounds = np.concatenate(([0], np.cumsum(found.sizes)))
+        ones = {table.dtype: np.ones(int(found.sizes.max(initial=0)), table.dtype) for table in self.counts}
+        for low, high, parts in found.parts():
+            first, last = np.searchsorted(bounds, (low, high))
+            ends = (bounds[first : last + 1] - low).tolist()
+            bits = found.bits[low:high]
+            for table, cells, values in zip(self.counts, parts, packed):
+                flat, one = table.reshape(-1), ones[table.dtype]
+                spots, left = 2 * cells + bits, np.empty((len(cells), 2), table.dtype)
+                # a pair of 32-bit counts is fetched as one number
+                pairs, out = (table, left) if table.itemsize > 4 else (table.view(np.int64)[:, 0], left.view(np.int64)[:, 0])
+                for begin, end in zip(ends, ends[1:]):
+                    own = spots[begin:end]
+                    np.subtract.at(flat, own, one[: end - begin])
+                    pairs.take(cells[begin:end], axis=0, out=out[begin:end], mode="clip")
+                    np.add.at(flat, own, one[: end - begin])
+                values[low:high] = self._packed_pairs(left)
         return self._inputs(packed, found)
 
-    def _own_counts(self, cells: np.ndarray, bits: np.ndarray, size: int) -> np.ndarray:
-        """Zeros and ones in the cell of every bit among these bits. A cell remembers one of its bits, which counts for all: nothing is sorted."""
-        if size not in self._last:
-            self._last[size] = np.zeros(size, np.int32)
-        last = self._last[size]
-        last[cells] = np.arange(len(cells), dtype=np.int32)
-        one = last.take(cells)
-        return np.bincount(2 * one + bits, minlength=2 * len(cells)).reshape(-1, 2).take(one, axis=0)
+    @staticmethod
+    def _packed_pairs(left: np.ndarray) -> np.ndarray:
+        """``_packed`` of zeros and ones side by side, which may be less than nothing, in 32 bits."""
+        np.maximum(left, 0, out=left)
+        pairs = left.astype(np.float32)
+        many = (pairs[:, 0] + pairs[:, 1]) > 1
+        pairs += np.float32(0.4)
+        odds = pairs[:, 1] / pairs[:, 0]
+        np.log(odds, out=odds)
+        odds *= np.float32(1 / _STEP)
+        np.rint(odds, out=odds)
+        packed = odds.astype(np.int16)
+        packed *= 2
+        packed += many
+        return packed
 
 
 _loaded: dict[str, Tables] = {}
 
 
-def _tables(model: Model) -> Tables:
-    """The model's tables without the counts, unzipped once per worker."""
-    if model.name not in _loaded:
+def _tables(model: Model, keep_counts: bool = False) -> Tables:
+    """The model's tables, unzipped once per worker. It is the caller's task to put them into ``_loaded`` once no count is missing."""
+    tables = _loaded.pop(model.name, None)
+    if tables is None or keep_counts > bool(tables.counts):
         _loaded.clear()
-        _loaded[model.name] = Tables(model.pieces, model.code, model.mixing, keep_counts=False)
-    return _loaded[model.name]
+        tables = Tables(model.pieces, model.code, model.mixing, keep_counts)
+    return tables
 
 
 def first_weights() -> np.ndarray:
@@ -418,25 +577,29 @@ def first_weights() -> np.ndarray:
 def mix(
     found: Bits, inputs: np.ndarray, gates: np.ndarray, weights: np.ndarray, mixing: Mixing, learn: bool = False
 ) -> np.ndarray:
-    """Natural log probability of each document. With ``learn`` the weights themselves are updated on the way."""
-    signs = found.bits.astype(np.float32) * 2 - 1
+    """Natural log probability of each document. With ``learn`` the weights themselves are updated on the way, and zeros come back."""
+    signs = found.bits.take(found.order).astype(np.float32) * 2 - 1
     logs, own = np.zeros(len(found.sizes)), np.zeros((len(weights), len(found.sizes)), np.float32)
-    for first, step, low, high in found.rounds:
-        alive = np.flatnonzero(found.sizes > first)
-        sizes = np.minimum(found.sizes[alive] - first, step)
-        heads = np.cumsum(sizes) - sizes
-        x, sign, g = inputs[:, low:high], signs[low:high], gates[low:high]
-        odds = np.zeros(high - low, np.float32)
+    for now in found.rounds:
+        x, sign, g = inputs[:, now.low : now.high], signs[now.low : now.high], gates[now.low : now.high]
+        odds = np.zeros(now.high - now.low, np.float32)
+        at = g if learn else g + np.repeat(np.arange(len(now.alive)) * _GATES, now.sizes)
         for c in range(len(weights)):
-            odds += x[c] * (weights[c][g] + np.repeat(own[c, alive], sizes))
+            used = weights[c] if learn else (own[c, now.alive, None] + weights[c]).reshape(-1)
+            weight = used[at]
+            weight *= x[c]
+            odds += weight
         np.clip(odds, -_LIMIT, _LIMIT, out=odds)
-        chance = 1 / (1 + np.exp(-sign * odds))  # of the bit that comes
+        odds *= -sign
+        chance = np.exp(odds, out=odds)
+        chance += 1
+        np.divide(1, chance, out=chance)  # of the bit that comes
+        if not learn:
+            logs[now.alive] += np.add.reduceat(np.log(chance), now.heads, dtype=np.float64)
         error = sign * (1 - chance)
-        logs[alive] += np.add.reduceat(np.log(chance), heads, dtype=np.float64)
         if not learn:
-            rate = np.float32(mixing.own_rate * 8 / step)
-            for c in range(len(weights)):
-                own[c, alive] += rate * np.add.reduceat(error * x[c], heads)
+            rate = np.float32(mixing.own_rate * 8 / now.step)
+            own[:, now.alive] += rate * np.add.reduceat(error * x, now.heads, axis=1)
         else:
             rate = mixing.fit_rate / np.sqrt(np.maximum(np.bincount(g, minlength=_GATES), 1))
             for c in range(len(weights)):
@@ -449,13 +612,14 @@ def _fit(training: DataFrame, shared, mixing: Mixing) -> np.ndarray:
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        code, tables = model.code, Tables(model.pieces, model.code, model.mixing)
+        code, tables = model.code, _tables(model, True)
         weights, seen = first_weights(), 0
         for batch in batches:
-            for _, texts in _portions(batch, 0):
-                found = Bits(code, [_tokens(text) for text in texts], mixing.table_bits, mixing.block)
+            for _, words, known in _portions(batch, 0, code):
+                found = Bits(code, words, mixing.table_bits, mixing.block, known)
                 mix(found, *tables.read_without(found), weights, mixing, True)
-                seen += len(texts)
+                seen += len(words.sizes)
+        _loaded[model.name] = tables
         if seen:
             task = TaskContext.get().partitionId()
             yield pa.RecordBatch.from_pydict({"task": [task], "seen": [seen], "weights": [weights.tobytes()]})
@@ -474,12 +638,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 4_096):
-                found: Counter = Counter()
-                for text in batch.column(0).slice(low, 4_096).to_pylist():
-                    found.update(_tokens(text))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["word", "n"]
-                )
+                found = pc.value_counts(Words.of(batch.column(0).slice(low, 4_096)).flat)
+                yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], names=["word", "n"])
 
     return docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -518,38 +678,39 @@ def _scored(
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, mixing, tables = shared.value.code, shared.value.mixing, _tables(shared.value)
+        _loaded[shared.value.name] = tables
         every = math.log10(tokens + kinds + 1)
         counts = frequent_shared.value
         of_symbol = np.zeros(len(code.lengths))
-        for word, symbol in code.symbols.items():
+        for symbol, word in enumerate(code.words.to_pylist(), _FIRST_WORD):
             of_symbol[symbol] = math.log10(counts[word] + 1) - every
         end = math.log10(ends + 1) - every
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for part, texts in _portions(batch, 2):
-                words = [_tokens(text) for text in texts]
-                found = Bits(code, words, mixing.table_bits, mixing.block)
+            for part, words, known in _portions(batch, 2, code):
+                found = Bits(code, words, mixing.table_bits, mixing.block, known)
                 logs = mix(found, *tables.read(found), weights, mixing)
-                owner = np.repeat(np.arange(len(words)), found.totals)
-                base = np.bincount(owner, of_symbol[found.symbols], minlength=len(words)) + end
-                spelled = [Counter(rare) for rare in found.spelled]
-                bounds = pa.array(np.cumsum([0, *map(len, spelled)], dtype=np.int32))
+                n = len(words.sizes)
+                owner = np.repeat(np.arange(n), found.totals)
+                base = np.bincount(owner, of_symbol[found.symbols], minlength=n) + end
+                n_spelled, rare, times = _spelled_counts(words, known)
+                size = pc.fill_null(pc.binary_length(part.column(2)), 0).cast(pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.arange(row, row + len(words))),
+                        pa.array(np.arange(row, row + n)),
                         part.column(0),
                         part.column(1),
-                        pa.array([len(w) + 1 for w in words], pa.int64()),
-                        pa.array([len(w) - len(rare) + (ends > 0) for w, rare in zip(words, found.spelled)], pa.int64()),
+                        pa.array(words.sizes + 1, pa.int64()),
+                        pa.array(words.sizes - n_spelled + (ends > 0), pa.int64()),
                         pa.array(base),
                         pa.array(logs / math.log(10)),
-                        pa.array([len((text or "").encode("utf-8", "surrogatepass")) for text in texts], pa.int64()),
-                        pa.ListArray.from_arrays(bounds, pa.array([w for rare in spelled for w in rare], pa.binary())),
-                        pa.ListArray.from_arrays(bounds, pa.array([n for rare in spelled for n in rare.values()], pa.int64())),
+                        size,
+                        rare,
+                        times,
                     ],
                     names=["row", "id", "held_out", "n_tokens", "known", "base", "score", "bytes", "rare", "times"],
                 )
-                row += len(words)
+                row += n
 
     return docs.select("id", "held_out", "text").mapInArrow(
         score,

@@ -298,3 +298,49 @@ def test_documents_leave_the_counts_without_sorting_cells(monkeypatch):
     monkeypatch.delattr(np, "unique")
     for one, other in zip(tables.read_without(found), tables._inputs(packed, found)):
         assert (one == other).all()
+
+
+def test_counting_costs_what_the_texts_have_and_not_the_tables(spark, monkeypatch):
+    """Every different symbol under a context is spread over its bits once per task; no table is added up as a whole."""
+    code, mixing = C.Code([b"a", b"b"], np.ones(C._FIRST_WORD + 2)), C.Mixing(table_bits=12)
+    texts = ["a b q" * 50, None, " A\x0bb\x1c é", "", "zz " * 9]
+    found = C.Bits(code, [(text or "").encode().lower().split() for text in texts], 12)
+    wanted = [np.zeros((size, 2), np.int64) for size in C._sizes(code, 12)]
+    for table, cells in zip(wanted, found.cells):
+        np.add.at(table, (cells, found.bits), 1)
+    dense, bincount = [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda x, *args, minlength=0: dense.append(minlength) or bincount(x, *args, minlength=minlength))
+    batches = []
+
+    class Docs:
+        sparkSession = spark
+
+        def select(self, _):
+            return self
+
+        def mapInArrow(self, function, _):
+            monkeypatch.setattr(C.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
+            batches.extend(function(iter([C.pa.RecordBatch.from_pydict({"text": C.pa.array(texts)})])))
+
+    C._gather(Docs(), code, mixing)
+    pieces = {b.column(0)[0].as_py(): b.column(2)[0].as_py() for b in batches}
+    for one, other in zip(C.Tables(pieces, code, mixing).counts, wanted):
+        assert (one == other).all()
+    assert max(dense, default=0) < 2 << 12
+
+
+def test_counts_are_whole_again_after_a_fit():
+    code, mixing = C.Code([b"a", b"b"], np.ones(C._FIRST_WORD + 2)), C.Mixing(table_bits=6, block=8)
+    tables = C.Tables({}, code, mixing)
+    for counts in tables.counts:
+        counts[:] = 3
+    tables.read_without(C.Bits(code, [[b"a", b"b", b"q"] * 30, [], [b"a"]], 6, 8))
+    assert all((counts == 3).all() for counts in tables.counts)
+
+
+def test_words_are_those_of_python():
+    texts = ["a b q", None, " A\x0bb\x1c É é\x85x\t\n", "", "\r\f", "zz" * 9]
+    words = C.Words.of(C.pa.array(texts))
+    wanted = [(text or "").encode().lower().split() for text in texts]
+    assert words.flat.to_pylist() == [word for own in wanted for word in own]
+    assert words.sizes.tolist() == [len(own) for own in wanted]
