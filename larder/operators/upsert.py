@@ -454,13 +454,17 @@ LEDGER = "restaurant_id string, page_index int, digest string, readable boolean,
 
 @dataclass(frozen=True)
 class Resynced:
-    """``parsed``: the pages whose bodies had to be read as JSON for their facts; ``applied``: those whose reviews were merged."""
+    """``parsed``: the pages whose bodies had to be read as JSON for their facts; ``applied``: those whose reviews were merged.
+
+    ``pages`` are the bodies as they were staged, which only ``table`` reads; whoever has written the table may release them.
+    """
 
     outcomes: DataFrame
     table: DataFrame
     ledger: DataFrame
     parsed: DataFrame
     applied: DataFrame
+    pages: DataFrame
 
 
 def sync_new_pages(
@@ -482,7 +486,7 @@ def sync_new_pages(
     """
     pages = pages_of_places(places, landed).filter(F.col("page_index") < max(1, max_pages))
     # staged, as five steps read the pages, most of them without the bodies
-    hashed = cut_lineage(pages.withColumn("digest", F.sha2(F.col("body").cast("binary"), 256)))
+    hashed = cut_lineage(pages.withColumn("digest", F.sha2(F.col("body").cast("binary"), 256)), "zstd")
     page = ["restaurant_id", "page_index"]
     ledger = cut_lineage(ledger)
     known = ledger.select(*page, "digest", "readable", "ends")
@@ -505,4 +509,4 @@ def sync_new_pages(
     looked = every.join(good.select(*page, F.lit(True).alias("applied")), page, "left").withColumn("applied", F.coalesce("applied", F.lit(False)))
     fresh_facts = looked.join(kept.select(*page), page, "left_anti")
     entries = cut_lineage(kept.unionByName(fresh_facts.select(*kept.columns)))
-    return Resynced(result.outcomes, result.table, entries, facts.select(*page), applied)
+    return Resynced(result.outcomes, result.table, entries, facts.select(*page), applied, hashed)

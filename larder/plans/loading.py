@@ -16,6 +16,7 @@ from larder.plans.registry import register
 from larder.session import cut_lineage
 from larder.sources import pages as S, testdata as D
 from larder.sources.tables import by_ids
+from larder.staging import release
 
 ALL_PAGES = 2**31 - 1
 
@@ -644,19 +645,22 @@ SELECT 2, 0, 0, 0, 0, (SELECT count(*) FROM events WHERE event_id % 2 = 0) + (SE
 )
 def review_sync_again(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First pages, the same pages once more, then all pages: what each sync parses, applies and changes."""
-    landed = cut_lineage(D.landed_review_pages(spark, sf_dir))
+    landed = cut_lineage(D.landed_review_pages(spark, sf_dir), "zstd")
     first = landed.filter("page_index = 0")
     table, ledger = _stored_reviews(spark, sf_dir), spark.createDataFrame([], U.LEDGER)
-    lines = []
+    lines, older = [], []
     for run, pages in enumerate((first, first, landed), 1):
         done = U.sync_new_pages(D.places(spark, sf_dir), pages, table, ledger, D.as_of(), max_pages=ALL_PAGES)
-        table, ledger = cut_lineage(done.table), done.ledger
+        table, ledger = cut_lineage(done.table, "zstd"), done.ledger
+        for staged in (*older, done.pages):  # the table before and the bodies: only the new table read them
+            release(staged)
+        older = [table]
         totals = U.sync_totals(U.sync_stats(done.outcomes)).select("imported", "skipped")
         counts = [
             done.parsed.agg(F.count(F.lit(1)).alias("pages_parsed")),
             done.applied.agg(F.count(F.lit(1)).alias("pages_applied")),
             totals,
-            table.agg(F.count(F.lit(1)).alias("reviews")),
+            cut_lineage(table.agg(F.count(F.lit(1)).alias("reviews"))),
         ]
         lines.append(reduce(lambda a, b: a.join(b, "run"), [df.withColumn("run", F.lit(run)) for df in counts]))
     return reduce(DataFrame.unionByName, lines).select(
